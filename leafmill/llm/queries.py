@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import line_dedup, mixing, packing
+from leafmill.llm import fertility, line_dedup, lm_scoring, mixing, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
+    "op2_secrets": secrets.query,
     "op3_packing": packing.query,
+    "op6_fertility": fertility.query,
     "op7_mixing": mixing.query,
+    "op10_lm_scoring": lm_scoring.query,
 }
 
 SQL: dict[str, str] = {
