@@ -40,18 +40,18 @@ def thresholds(narrow: DataFrame, shares: dict[str, float] = TARGET_SHARES, leve
     per = per.crossJoin(F.broadcast(whole)).withColumn(
         "weight", F.coalesce("named", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("taken")) / F.col("others"))
     )
-    per = per.filter("weight > 0")
+    per = materialize(per.filter("weight > 0").select("source", "have", "weight"), "mix-weights")
     per = per.crossJoin(F.broadcast(per.agg(F.min(F.col("have") / F.col("weight")).alias("total"))))
     level = F.explode(F.array(*[F.lit(float(x)) for x in levels])).alias("level")
-    # the open budgets: documents whose u has this prefix (of `done` bits) still count against `rest`
+    # A few rows a source, stored between rounds: plans would grow with each. The open budgets: documents whose u has this prefix (of `done` bits) still count against `rest`
     open_ = per.select("source", level, "total", "weight").select(
         "source", "level", F.floor(F.col("level") * F.col("total") * F.col("weight")).cast("long").alias("rest"), F.lit(0).cast("long").alias("prefix")
     )
+    open_ = materialize(open_, "mix-open")
     done = 0
     for _ in range(ROUNDS):
-        step = ROUND_BITS
-        open_ = _boundary(narrow, open_, done, done + step)
-        done += step
+        open_ = materialize(_boundary(narrow, open_, done, done + ROUND_BITS), "mix-open")
+        done += ROUND_BITS
     return _boundary(narrow, open_, done, 60).select("source", "level", F.col("prefix").alias("top"))
 
 
