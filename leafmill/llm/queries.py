@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import fertility, line_dedup, lm_scoring, mixing, packing, secrets
+from leafmill.llm import fertility, language_id, line_dedup, lm_scoring, mixing, packing, quality_classifier, secrets, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
     "op2_secrets": secrets.query,
     "op3_packing": packing.query,
+    "op4_quality_classifier": quality_classifier.query,
     "op6_fertility": fertility.query,
     "op7_mixing": mixing.query,
+    "op8_language_id": language_id.query,
+    "op9_top_k": top_k.query,
     "op10_lm_scoring": lm_scoring.query,
 }
 
@@ -21,4 +24,5 @@ SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
     "op3_packing": packing.SQL,
     "op7_mixing": mixing.SQL,
+    "op9_top_k": top_k.SQL,
 }
