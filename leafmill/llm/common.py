@@ -99,3 +99,12 @@ def words_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in batches:
         yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()
+
+
+#: Rows of a narrow table up to which it is broadcast; beyond it Spark chooses another join.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """df, a materialized narrow table, marked for broadcast if it has no more rows than the limit."""
+    return F.broadcast(df) if df.count() <= limit else df
