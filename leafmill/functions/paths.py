@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IMAGES = ("png", "jpg", "jpeg", "gif", "bmp", "tiff", "tif", "webp")
+IMAGES = tuple("png jpg jpeg gif bmp tiff tif webp".split())
 DOCUMENTS = ("pdf", "docx")
 
 

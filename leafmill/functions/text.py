@@ -17,9 +17,9 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0
 SENTENCE_ENDS = "。！？.!?"
 BULLETS = "•-*▪◦"
 #: Line ends after which a sentence goes on, line starts that go on with one, and words that open a paragraph.
-OPEN_ENDS = ("，", "、", "：", "；", '"', "（", *"的是和与在了为对向被把让给从到以因但而或及筛防密告")
-GOING_ON = ('"', "）", "。", "！", "？", "选器", "御", "码", "诉")
-OPENERS = ("所以", "因此", "但是", "然而", "首先", "其次", "最后", "总之", "例如", "比如")
+OPEN_ENDS = tuple('，、：；"（' + "的是和与在了为对向被把让给从到以因但而或及筛防密告")
+GOING_ON = ('"', *"）。！？御码诉", "选器")
+OPENERS = tuple("所以 因此 但是 然而 首先 其次 最后 总之 例如 比如".split())
 
 
 def strip(c: Column) -> Column:
