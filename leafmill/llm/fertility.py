@@ -118,7 +118,8 @@ class Vocabularies:
 
         A unit's key leaves out the space in front; "\x01" marks the first word, which has none but for the piece tokeniser.
         """
-        if self.slow.search(text) or text[0].isspace() or "\x01" in text:
+        text = text.replace("\x01", "\x02")  # another control character, of as many tokens
+        if self.slow.search(text) or text[0].isspace():
             found = self.spaced.findall(" " + text)
             return Counter([u[1:] if u[0] == " " else u for u in found]), len(self.bytes.encode_ordinary(text))
         words = text.replace("\n", " \n").split(" ")

@@ -17,8 +17,10 @@ from leafmill.llm.common import NOT_SPACE, list_values, table
 
 #: Corpus tokens in one suffix array: what a task holds at once, whatever the size of the corpus.
 SHARD_TOKENS = 2_000_000
-#: Query tokens that go to every shard in one pass; more queries take more passes over stored shards.
-PASS_TOKENS = 2_000_000
+#: Query tokens that go to every shard in one pass; more queries take more passes over the corpus.
+PASS_TOKENS = 500_000
+#: Matches are extended token by token up to this length; longer ones are found by binary search with hashed comparisons.
+DEEP = 16
 #: Weight, in occurrences, of the unigram distribution in the smoothed probability.
 ALPHA = 1.0
 #: Words that the unigram distribution has room for.
@@ -102,6 +104,41 @@ class Shard:
             bounds.append(a)
         return bounds[0], bounds[1]
 
+    def _deep(self, ids: np.ndarray):
+        """bound(starts, lengths, after): the first suffix not less than (after: greater than) those stretches of the query; lce: their common length with suffixes."""
+        text, sa, n = self.text, self.sa, len(ids)
+        power = np.full(max(len(text), n) + 1, 0x9E3779B97F4A7C15, np.uint64)
+        power[0] = 1
+        power = np.cumprod(power)
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            h = (x.astype(np.int64) + 2).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            return np.concatenate([np.zeros(1, np.uint64), np.cumsum((h ^ (h >> np.uint64(32))) * power[: len(x)])])
+
+        of_text, of_query = sums(text), sums(ids)
+
+        def lce(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+            lo, hi = np.zeros(len(a), np.int64), np.minimum(most, len(text) - a)
+            while (lo < hi).any():
+                mid = (lo + hi + 1) >> 1
+                same = (of_text[a + mid] - of_text[a]) * power[b] == (of_query[b + mid] - of_query[b]) * power[a]
+                lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+            return lo
+
+        def bound(b: np.ndarray, size: np.ndarray, after: bool) -> np.ndarray:
+            lo, hi = np.zeros(len(b), np.int64), np.full(len(b), len(sa), np.int64)
+            while (lo < hi).any():
+                mid = np.minimum((lo + hi) >> 1, len(sa) - 1)
+                a = sa[mid].astype(np.int64)
+                k = lce(a, b, size)
+                less = (a + k >= len(text)) | (text[np.minimum(a + k, len(text) - 1)] < ids[np.minimum(b + k, n - 1)])
+                right = (lo < hi) & np.where(k >= size, after, less)
+                lo, hi = np.where(right, mid + 1, lo), np.where(right | (lo >= hi), hi, mid)
+            return lo
+
+        return lce, bound
+
     def look_up(self, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each query token: the length of the longest context before it that occurs here, its occurrences,
         those that this token follows, and the token's own number.
@@ -110,21 +147,25 @@ class Shard:
         """
         n, ids = len(hashes), self.ids(hashes)
         reach = np.arange(n)  # ids[s:reach[s]] is the longest stretch from s that occurs
-        size = np.zeros(n, np.int64)  # its number of occurrences
         levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by length: starts, range
         live = np.flatnonzero(ids > 0)
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(self.sa), np.int64)
         depth = 0
-        while len(live):
+        while len(live) and depth < DEEP:
             lo, hi = self.narrow(lo, hi, depth, ids[live + depth])
             some = hi > lo
             live, lo, hi = live[some], lo[some], hi[some]
             depth += 1
             levels.append((live, lo, hi))
             reach[live] = live + depth
-            size[live] = hi - lo
             on = (live + depth < ends[live]) & (ids[np.minimum(live + depth, n - 1)] > 0)
             live, lo, hi = live[on], lo[on], hi[on]
+        if len(live):  # these go on beyond DEEP tokens
+            lce, bound = self._deep(ids)
+            left = ends[live] - live
+            at = bound(live, left, False)
+            near = [lce(self.sa[np.clip(p, 0, len(self.sa) - 1)].astype(np.int64), live, left) for p in (at - 1, at)]
+            reach[live] = live + np.maximum(*near)
         unigram = np.zeros(n, np.int64)
         if levels:
             unigram[levels[0][0]] = levels[0][2] - levels[0][1]
@@ -148,6 +189,14 @@ class Shard:
             if len(i):
                 a, b = self.narrow(l, h, d, ids[i])
                 follow[i] = b - a
+        i = np.flatnonzero(length > len(levels))
+        if len(i):
+            l, h = bound(start[i], length[i], False), bound(start[i], length[i], True)
+            context[i] = h - l
+            known = ids[i] > 0
+            i, l, h = i[known], l[known], h[known]
+            a, b = self.narrow(l, h, length[i], ids[i])
+            follow[i] = b - a
         return length, context, follow, unigram
 
 
