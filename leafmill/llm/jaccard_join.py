@@ -22,14 +22,14 @@ SKETCH_BITS = 22
 #: Counters that travel together.
 SKETCH_CHUNK = 1 << 16
 #: Documents and words that are worked on at once in a task.
-CHUNK_DOCS, CHUNK_WORDS = 8192, 1_500_000
+CHUNK_DOCS, CHUNK_WORDS = 512, 250_000
 #: Prefix n-grams of one bucket, which one task joins at once.
-BUCKET = 4_000_000
+BUCKET = 1_000_000
 #: Side of the square of pairs that one tile verifies.
 TILE = 2000
 EPS = 1e-9
 
-_DOCS = "doc_id long, size int, gsig long, fsig long, prefix binary"
+_DOCS = "doc_id long, size int, gsig long, fsig long, prefix binary, parity binary"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,13 +58,14 @@ def grams(values: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, words, offsets) of parts of a batch that has a column `words`."""
-    values, offsets = words_of(batch, "words")
-    lo = 0
-    while lo < batch.num_rows:
-        hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK_WORDS, "right")) - 1
-        hi = min(max(hi, lo + 1), lo + CHUNK_DOCS, batch.num_rows)
-        yield lo, hi, values[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        lo = hi
+    for first in range(0, batch.num_rows, CHUNK_DOCS):
+        values, offsets = words_of(batch.slice(first, CHUNK_DOCS), "words")
+        lo, n = 0, len(offsets) - 1
+        while lo < n:
+            hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK_WORDS, "right")) - 1
+            hi = min(max(hi, lo + 1), n)
+            yield first + lo, first + hi, values[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            lo = hi
 
 
 def _worded(docs: DataFrame) -> DataFrame:
@@ -119,8 +120,22 @@ def _ordered(values: np.ndarray, offsets: np.ndarray, n: int, rank: np.ndarray |
     return h[first], doc[first]
 
 
+def _parities(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For each document with n-grams a bit per hash value, how often it occurs being odd or even; 2 to 4 bits an n-gram, a power of two.
+
+    Two of them differ in no more bits than the sets do in members; one of twice the length is folded by XOR of its halves.
+    """
+    some = size[size > 0]
+    bits = np.maximum(64, 1 << np.ceil(np.log2(2 * some)).astype(np.int64)) if len(some) else some
+    ends = np.cumsum(bits)
+    of = (np.cumsum(size > 0) - 1)[doc]
+    at = (ends - bits)[of] + (_mix(h ^ np.uint64(0x2545F4914F6CDD1D)).view(np.int64) & (bits[of] - 1))
+    odd = np.packbits((np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8))
+    return [odd[(e - b) // 8 : e // 8].tobytes() for b, e in zip(bits, ends)]
+
+
 def signatures(docs: DataFrame, rank: np.ndarray, n: int = N, threshold: float = THRESHOLD, bits: int = SKETCH_BITS) -> DataFrame:
-    """_DOCS: size of the set, gsig (a hash of prefix and size), fsig (of the whole set) and the prefix, for each row with words."""
+    """_DOCS: size of the set, gsig (a hash of prefix and size), fsig (of the whole set), the prefix and the parity bits, for each row with words."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +155,8 @@ def signatures(docs: DataFrame, rank: np.ndarray, n: int = N, threshold: float =
                 gsig, fsig = _mix(heads + sizes * np.uint64(0x9E3779B97F4A7C15)), _mix(sums + sizes)
                 blobs = [h[a : a + k].tobytes() for a, k in zip(start[some], length[some])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(size[some].astype(np.int32)), pa.array(gsig.view(np.int64)), pa.array(fsig.view(np.int64)), pa.array(blobs, pa.binary())],
-                    names=["doc_id", "size", "gsig", "fsig", "prefix"],
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(size[some].astype(np.int32)), pa.array(gsig.view(np.int64)), pa.array(fsig.view(np.int64)), pa.array(blobs, pa.binary()), pa.array(_parities(h, doc, size), pa.binary())],
+                    names=["doc_id", "size", "gsig", "fsig", "prefix", "parity"],
                 )
 
     return _worded(docs).mapInArrow(run, _DOCS)
@@ -189,7 +204,12 @@ _PACKED = ["bucket", "h", "doc", "pos", "sig", "size"]
 
 
 def _candidates(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of groups that share an n-gram of their prefixes and pass the length and position filters; buckets come one after the other."""
+    """(ga, gb, n, least): pairs of groups that share n n-grams of their prefixes in a bucket and pass the length and position filters.
+
+    Similar sets pass these filters at each n-gram they share, and share `least` within their prefixes: what they
+    share beyond lies after the end of the prefix that ends first, where that set has fewer than threshold * size.
+    Buckets come one after the other.
+    """
 
     def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
@@ -212,7 +232,12 @@ def _candidates(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         s = size[doc]
         ends = np.searchsorted(h, h, "right")
         live = np.arange(len(h))
-        found, held, step = [], 0, 1
+        found, times, held, step = [], [], 0, 1
+
+        def add_up() -> None:
+            key, at = np.unique(np.concatenate(found), return_inverse=True)
+            found[:], times[:] = [key], [np.bincount(at, weights=np.concatenate(times)).astype(np.int32)]
+
         while True:
             live = live[live + step < ends[live]]
             # sizes rise within a run: once the partner is too large, later ones are as well
@@ -225,22 +250,29 @@ def _candidates(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             ok = (most >= need) & (doc[a] != doc[b])
             x, y = doc[a[ok]], doc[b[ok]]
             found.append((np.minimum(x, y) << 32) | np.maximum(x, y))
+            times.append(np.ones(len(x), np.int32))
             held += len(x)
             if held > BUCKET:
-                found = [np.unique(np.concatenate(found))]
+                add_up()
                 held = len(found[0])
                 if held > BUCKET // 2:
-                    yield out(found[0], sig)
-                    found, held = [], 0
+                    yield out(found[0], times[0], sig, size)
+                    found.clear()
+                    times.clear()
+                    held = 0
             step += 1
         if found:
-            yield out(np.unique(np.concatenate(found)), sig)
-
-    def out(key: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        x, y = sig[key >> 32], sig[key & 0xFFFFFFFF]
-        differ = x != y
-        x, y = x[differ], y[differ]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["ga", "gb"])
+            add_up()
+            yield out(found[0], times[0], sig, size)
+
+    def out(key: np.ndarray, n: np.ndarray, sig: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        i, j = key >> 32, key & 0xFFFFFFFF
+        differ = sig[i] != sig[j]
+        i, j, n = i[differ], j[differ], n[differ]
+        x, y, larger = sig[i], sig[j], np.maximum(size[i], size[j])
+        need = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - EPS)
+        least = np.maximum(1, need - np.ceil(threshold * larger - EPS) + 1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n), pa.array(least)], names=["ga", "gb", "n", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -275,17 +307,17 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows (tile, kind, a, b, grams) in the order of tile and kind, sets before pairs: the pairs that reach the threshold."""
+    """Of rows (tile, kind, a, b, size, data) in the order of tile and kind, sets before pairs: the pairs that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets = None, {}
         for batch in batches:
             out: list[tuple] = []
-            for tile, kind, a, b, blob in zip(*[c.to_pylist() for c in batch.columns]):
+            for tile, kind, a, b, _, data in zip(*[c.to_pylist() for c in batch.columns]):
                 if tile != now:
                     now, sets = tile, {}
                 if kind == 0:
-                    sets[a] = set(np.frombuffer(blob, np.int64).tolist())
+                    sets[a] = set(np.frombuffer(data, np.int64).tolist())
                     continue
                 x, y = sets[a], sets[b]
                 both = len(x & y)
@@ -298,6 +330,32 @@ def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+def _rule_out(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """As _verify, with parity bits for data: leaves out pairs whose bits differ more than similar sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
+        for batch in batches:
+            out: list[tuple] = []
+            for tile, kind, a, b, size, data in zip(*[c.to_pylist() for c in batch.columns]):
+                if tile != now:
+                    now, sets = tile, {}
+                if kind == 0:
+                    sets[a] = size, np.frombuffer(data, np.uint64)
+                    continue
+                (m, x), (n, y) = sets[a], sets[b]
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                if int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= (1 - threshold) / (1 + threshold) * (m + n) + EPS:
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b"])
+
+    return run
+
+
 def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members (doc_id, fsig), fsig being the same for equal sets; pairs (a, b, jaccard) of different fsigs, a < b."""
     signed = materialize(signatures(docs, commonness(docs, n, bits), n, threshold, bits), "join-signatures")
@@ -310,18 +368,30 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits
     total = signed.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET))
     packed = groups.mapInArrow(_postings(buckets), "bucket long, h binary, doc binary, pos binary, sig binary, size binary")
-    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(threshold), "ga long, gb long").distinct()
+    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(threshold), "ga long, gb long, n int, least int")
+    found = found.groupBy("ga", "gb").agg(F.sum("n").alias("n"), F.max("least").alias("least")).filter("n >= least").select("ga", "gb")
     # members of groups: the different sets that share a prefix, and all across a pair of groups
-    of = lambda side: variants.select(F.col("gsig").alias(f"g{side}"), F.col("fsig").alias(side))
+    several = small(variants)
+    of = lambda side: several.select(F.col("gsig").alias(f"g{side}"), F.col("fsig").alias(side))
     across = found.join(of("a"), "ga").join(of("b"), "gb").select("a", "b")
     within = of("a").join(of("b"), F.col("ga") == F.col("gb")).filter("a < b").select("a", "b")
-    pairs = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    # a set has one prefix and size: no pair comes twice
+    pairs = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs, "join-candidates")
-    return members, materialize(_verified(docs, pairs, variants, n, threshold), "join-pairs")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, variants: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Sets are sent once to each tile: the pairs whose two sides have the same least partners, as members of a cluster of copies have."""
+    # parity bits are a fraction of the sets' size and leave few pairs to compare in full
+    places = _tiled(pairs)
+    one = variants.select("fsig", F.col("lead").alias("doc_id")).join(places[1].select("fsig"), "fsig", "left_semi")
+    bits_of = signed.select("doc_id", "fsig", "size", F.col("parity").alias("data")).join(small(materialize(one.distinct(), "join-leads")), ["fsig", "doc_id"], "left_semi")
+    likely = materialize(_by_tile(bits_of.dropDuplicates(["fsig"]), *places).mapInArrow(_rule_out(threshold), "a long, b long"), "join-likely")
+    places = _tiled(likely)
+    one = variants.join(places[1].select("fsig"), "fsig", "left_semi").select(F.col("lead").alias("doc_id")).distinct()
+    some = docs.select("doc_id", "text").join(small(materialize(one, "join-leads")), "doc_id", "left_semi")
+    sets = _sets(some, n).select("fsig", F.lit(0).alias("size"), F.col("grams").alias("data"))
+    return members, materialize(_by_tile(sets, *places).mapInArrow(_verify(threshold), "a long, b long, jaccard double"), "join-pairs")
+
+
+def _tiled(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tile, a, b) and (fsig, tiles). Sets are sent once to each tile: the pairs whose two sides have the same least partners, as members of a cluster of copies have."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     hubs = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("hub"))
     hubs = small(materialize(hubs, "join-hubs"))
@@ -329,17 +399,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, variants: DataFrame, n: int, th
     tiled = tiled.withColumn("tile", F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb"))).select("a", "b", "tile")
     # a tile of many pairs is cut into squares
     cuts = tiled.groupBy("tile").agg(F.ceil(F.sqrt(F.count("*")) / TILE).cast("long").alias("cuts")).filter("cuts > 1")
+    cuts = small(materialize(cuts, "join-cuts"))
     tiled = tiled.join(cuts, "tile", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
     tiled = tiled.withColumn("tile", F.when(F.col("cuts") == 1, F.col("tile")).otherwise(F.xxhash64("tile", F.least(part("a"), part("b")), F.greatest(part("a"), part("b")))))
     tiled = materialize(tiled.select("tile", "a", "b"), "join-tiles")
     places = tiled.select("tile", F.col("a").alias("fsig")).unionByName(tiled.select("tile", F.col("b").alias("fsig"))).groupBy("fsig").agg(F.collect_set("tile").alias("tiles"))
-    places = small(materialize(places, "join-places"))
-    leads = variants.join(places.select("fsig"), "fsig", "left_semi").select(F.col("lead").alias("doc_id")).distinct()
-    some = docs.select("doc_id", "text").join(small(materialize(leads, "join-leads")), "doc_id", "left_semi")
-    sets = _sets(some, n).join(places, "fsig").select(F.explode("tiles").alias("tile"), F.lit(0).alias("kind"), F.col("fsig").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    rows = sets.unionByName(tiled.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams")))
-    return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_verify(threshold), "a long, b long, jaccard double")
+    return tiled, materialize(places, "join-places")
+
+
+def _by_tile(sets: DataFrame, tiled: DataFrame, places: DataFrame) -> DataFrame:
+    """Sets (fsig, size, data) at all their tiles and the tiles' pairs, in order."""
+    sent = sets.join(small(places), "fsig").select(F.explode("tiles").alias("tile"), F.lit(0).alias("kind"), F.col("fsig").alias("a"), F.lit(None).cast("long").alias("b"), "size", "data")
+    rows = sent.unionByName(tiled.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(0).alias("size"), F.lit(None).cast("binary").alias("data")))
+    return rows.repartition("tile").sortWithinPartitions("tile", "kind")
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = SKETCH_BITS) -> DataFrame:
@@ -352,12 +425,17 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int =
     table gives no rows.
     """
     members, pairs = similar_sets(docs, n, threshold, bits)
-    of = lambda side: members.select(F.col("fsig").alias(side), F.col("doc_id").alias(f"doc_{side}"))
-    across = pairs.join(of("a"), "a").join(of("b"), "b").select("doc_a", "doc_b", "jaccard")
+    members = materialize(members, "join-members")
+    few = small(members)
+    of = lambda side: few.select(F.col("fsig").alias(side), F.col("doc_id").alias(f"doc_{side}"))
+    across = pairs.join(of("a"), "a").join(of("b"), "b").filter("doc_a <> doc_b").select("doc_a", "doc_b", "jaccard")
     within = of("a").join(of("b"), F.col("a") == F.col("b")).filter("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
-    every = across.filter("doc_a <> doc_b").unionByName(within)
-    every = every.groupBy(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"))
-    return every.agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    every = across.unionByName(within).select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+    # only a doc_id with several sets can give a pair more than once
+    several = materialize(members.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "join-several")
+    if several.limit(1).count() == 0:
+        return every
+    return every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -389,7 +467,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: in
     members, pairs = similar_sets(docs, n, threshold, bits)
     members = materialize(members, "join-members")
     # sets of equal n-grams, and a doc_id with several sets, are linked as well: nodes are the least doc_ids of sets
-    lead = members.groupBy("fsig").agg(F.min("doc_id").alias("lead"))
+    lead = small(materialize(members.groupBy("fsig").agg(F.min("doc_id").alias("lead")), "join-leads"))
     named = pairs.join(lead.select(F.col("fsig").alias("a"), F.col("lead").alias("la")), "a").join(lead.select(F.col("fsig").alias("b"), F.col("lead").alias("lb")), "b")
     edges = named.select(F.col("la").alias("a"), F.col("lb").alias("b"))
     own = members.join(lead, "fsig").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
