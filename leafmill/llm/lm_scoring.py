@@ -5,19 +5,19 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from leafmill.llm.common import NOT_SPACE, list_values, table
+from leafmill.llm.common import NOT_SPACE, list_values, materialize, table
 
 #: Corpus tokens in one suffix array: what a task holds at once, whatever the size of the corpus.
 SHARD_TOKENS = 2_000_000
-#: Query tokens that go to every shard in one pass; more queries take more passes over the corpus.
+#: Query tokens that are looked up in a shard at once; a shard is built once, whatever the number of such blocks.
 PASS_TOKENS = 500_000
 #: Matches are extended token by token up to this length; longer ones are found by binary search with hashed comparisons.
 DEEP = 16
@@ -48,6 +48,28 @@ class Shard:
         self.text[at] = ids + 1
         self.sa = self._sort(self.text, depth, at)
         self.total = len(hashes)
+        self.lengths = lengths
+        self.sums: tuple[np.ndarray, np.ndarray] | None = None
+        self.owners: tuple[np.ndarray, ...] | None = None
+
+    def _owners(self) -> tuple[np.ndarray, ...]:
+        """By place in the suffix array: the document; where the run of suffixes of that document begins and ends. Last, documents and places as sorted keys."""
+        if self.owners is None:
+            n = len(self.sa)
+            doc = np.repeat(np.arange(len(self.lengths)), self.lengths + 1)[self.sa]
+            change = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if n else np.zeros(0, np.int64)
+            size = np.diff(np.append(change, n))
+            self.owners = doc, np.repeat(change, size), np.repeat(change + size, size), np.sort(doc * (n + 1) + np.arange(n))
+        return self.owners
+
+    def others(self, lo: np.ndarray, hi: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+        """Suffixes in each range, without those of the document `own` (-1: none)."""
+        if own is None:
+            return hi - lo
+        *_, keys = self._owners()
+        n, mine, count = len(self.sa) + 1, np.flatnonzero(own >= 0), hi - lo
+        count[mine] -= np.searchsorted(keys, own[mine] * n + hi[mine]) - np.searchsorted(keys, own[mine] * n + lo[mine])
+        return count
 
     @staticmethod
     def _sort(text: np.ndarray, depth: int, starts: np.ndarray) -> np.ndarray:
@@ -107,16 +129,21 @@ class Shard:
     def _deep(self, ids: np.ndarray):
         """bound(starts, lengths, after): the first suffix not less than (after: greater than) those stretches of the query; lce: their common length with suffixes."""
         text, sa, n = self.text, self.sa, len(ids)
-        power = np.full(max(len(text), n) + 1, 0x9E3779B97F4A7C15, np.uint64)
-        power[0] = 1
-        power = np.cumprod(power)
+        kept = self.sums
+        if kept is None or len(kept[0]) <= max(len(text), n):
+            power = np.full(max(len(text), n) + 1, 0x9E3779B97F4A7C15, np.uint64)
+            power[0] = 1
+            power = np.cumprod(power)
+        else:
+            power = kept[0]
 
         def sums(x: np.ndarray) -> np.ndarray:
             h = (x.astype(np.int64) + 2).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             return np.concatenate([np.zeros(1, np.uint64), np.cumsum((h ^ (h >> np.uint64(32))) * power[: len(x)])])
 
-        of_text, of_query = sums(text), sums(ids)
+        of_text, of_query = kept[1] if kept else sums(text), sums(ids)
+        self.sums = power, of_text
 
         def lce(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
             lo, hi = np.zeros(len(a), np.int64), np.minimum(most, len(text) - a)
@@ -139,12 +166,14 @@ class Shard:
 
         return lce, bound
 
-    def look_up(self, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    def look_up(self, hashes: np.ndarray, ends: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """For each query token: the length of the longest context before it that occurs here, its occurrences,
         those that this token follows, and the token's own number.
 
-        hashes: all queries' tokens in a row; ends: for each token, where its query ends.
+        hashes: all queries' tokens in a row; ends: for each token, where its query ends; own: for each token, the
+        document of this shard that its query is (-1: none) and whose occurrences don't count.
         """
+        mine = (lambda x: None) if own is None else (lambda x: own[x])
         n, ids = len(hashes), self.ids(hashes)
         reach = np.arange(n)  # ids[s:reach[s]] is the longest stretch from s that occurs
         levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by length: starts, range
@@ -153,7 +182,7 @@ class Shard:
         depth = 0
         while len(live) and depth < DEEP:
             lo, hi = self.narrow(lo, hi, depth, ids[live + depth])
-            some = hi > lo
+            some = self.others(lo, hi, mine(live)) > 0
             live, lo, hi = live[some], lo[some], hi[some]
             depth += 1
             levels.append((live, lo, hi))
@@ -164,11 +193,20 @@ class Shard:
             lce, bound = self._deep(ids)
             left = ends[live] - live
             at = bound(live, left, False)
-            near = [lce(self.sa[np.clip(p, 0, len(self.sa) - 1)].astype(np.int64), live, left) for p in (at - 1, at)]
+            near = []
+            for p, step in ((at - 1, 1), (at, 2)):
+                if own is not None:  # past the run of suffixes of the query's own document
+                    doc, *runs, _ = self._owners()
+                    inside = np.clip(p, 0, len(self.sa) - 1)
+                    skip = (p == inside) & (doc[inside] == own[live])
+                    p = np.where(skip, runs[step - 1][inside] - (step == 1), p)
+                inside = np.clip(p, 0, len(self.sa) - 1)
+                common = lce(self.sa[inside].astype(np.int64), live, left)
+                near.append(common if own is None else np.where(p == inside, common, 0))
             reach[live] = live + np.maximum(*near)
         unigram = np.zeros(n, np.int64)
         if levels:
-            unigram[levels[0][0]] = levels[0][2] - levels[0][1]
+            unigram[levels[0][0]] = self.others(levels[0][1], levels[0][2], mine(levels[0][0]))
         # the context of token i starts at the first s whose stretch reaches i; reach never falls within a query
         start = np.minimum(np.searchsorted(np.maximum.accumulate(reach), np.arange(n), "left"), np.arange(n))
         first = np.zeros(n, np.int64)
@@ -176,86 +214,143 @@ class Shard:
         first[begins] = begins
         start = np.maximum(start, np.maximum.accumulate(first))
         length = np.arange(n) - start
-        context, follow = np.where(length > 0, 0, self.total), np.where(length > 0, 0, unigram)
+        total = self.total if own is None else self.total - np.where(own >= 0, self.lengths[own], 0)
+        context, follow = np.where(length > 0, 0, total), np.where(length > 0, 0, unigram)
         for d, (live, lo, hi) in enumerate(levels, 1):  # stretches of d tokens that are the context of the token after them
             i = live + d
             ok = i < ends[live]
             i, l, h, s = i[ok], lo[ok], hi[ok], live[ok]
-            mine = start[i] == s
-            i, l, h = i[mine], l[mine], h[mine]
-            context[i] = h - l
+            here = start[i] == s
+            i, l, h = i[here], l[here], h[here]
+            context[i] = self.others(l, h, mine(i))
             known = ids[i] > 0
             i, l, h = i[known], l[known], h[known]
             if len(i):
                 a, b = self.narrow(l, h, d, ids[i])
-                follow[i] = b - a
+                follow[i] = self.others(a, b, mine(i))
         i = np.flatnonzero(length > len(levels))
         if len(i):
             l, h = bound(start[i], length[i], False), bound(start[i], length[i], True)
-            context[i] = h - l
+            context[i] = self.others(l, h, mine(i))
             known = ids[i] > 0
             i, l, h = i[known], l[known], h[known]
             a, b = self.narrow(l, h, length[i], ids[i])
-            follow[i] = b - a
+            follow[i] = self.others(a, b, mine(i))
         return length, context, follow, unigram
 
 
-COUNTS = "row long, pos long, length long, context long, follow long, unigram long, total long"
+COUNTS = "row long, total long, length array<int>, context array<int>, follow array<int>, unigram array<int>"
+SUMS = "row long, log_prob double, mean_match double, longest_match long"
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Token hashes and document lengths, about SHARD_TOKENS at a time; a longer document is a shard of its own."""
-    held, sizes, n = [], [], 0
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Token hashes, document lengths and rows, about SHARD_TOKENS at a time; a longer document is a shard of its own."""
+    held, sizes, rows, n = [], [], [], 0
     for batch in batches:
-        values, offsets = list_values(batch.column(0))
+        values, offsets = list_values(batch.column("tokens"))
+        row = batch.column("row").to_numpy()
         lengths = np.diff(offsets)
         lo = 0
         while lo < len(lengths):
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SHARD_TOKENS - n, "right")) - 1)
             held.append(values[offsets[lo] : offsets[hi]])
             sizes.append(lengths[lo:hi])
+            rows.append(row[lo:hi])
             n += int(offsets[hi] - offsets[lo])
             lo = hi
             if n >= 0.9 * SHARD_TOKENS:
-                yield np.concatenate(held), np.concatenate(sizes)
-                held, sizes, n = [], [], 0
+                yield np.concatenate(held), np.concatenate(sizes), np.concatenate(rows)
+                held, sizes, rows, n = [], [], [], 0
     if n:
-        yield np.concatenate(held), np.concatenate(sizes)
-
-
-def count_matches(corpus: DataFrame, row: np.ndarray, hashes: np.ndarray, ends: np.ndarray) -> DataFrame:
-    """COUNTS rows from every shard for every query token; corpus has one column, arrays of token hashes."""
-    shared = corpus.sparkSession.sparkContext.broadcast((row, hashes, ends))
-    starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
-    depth = int((ends[starts] - starts).max())  # no context is longer
+        yield np.concatenate(held), np.concatenate(sizes), np.concatenate(rows)
+
+
+def _blocks(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, sizes and token hashes of the queries that have tokens, read from the shared folder PASS_TOKENS at a time."""
+    rows, arrays, n = [], [], 0
+
+    def block():
+        return np.array(rows, np.int64), np.array([len(a) for a in arrays], np.int64), np.concatenate(arrays)
+
+    for uri in files:
+        system, path = pa.fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as file:
+            for batch in pa.parquet.ParquetFile(file).iter_batches(batch_size=256, columns=["row", "tokens"]):
+                values, offsets = list_values(batch.column("tokens"))
+                for row, lo, hi in zip(batch.column("row").to_pylist(), offsets, offsets[1:]):
+                    if lo == hi:
+                        continue
+                    rows.append(row)
+                    arrays.append(values[lo:hi])
+                    n += int(hi - lo)
+                    if n >= PASS_TOKENS:
+                        yield block()
+                        rows, arrays, n = [], [], 0
+    if rows:
+        yield block()
+
+
+def count_matches(corpus: DataFrame, files: list[str], depth: int) -> DataFrame:
+    """A row of COUNTS, with a value for each token, for every query and shard. corpus: (row, tokens); files have the same of the
+    queries, of depth tokens at most. A query isn't held against the corpus row of its own number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, hashes, ends = shared.value
-        for values, lengths in _shards(batches):
+        for values, lengths, numbers in _shards(batches):
             shard = Shard(values, lengths, depth)
-            cols = [row, np.arange(len(hashes)), *shard.look_up(hashes, ends), np.full(len(hashes), shard.total)]
-            names = ["row", "pos", "length", "context", "follow", "unigram", "total"]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=names)
+            order = np.argsort(numbers, kind="stable")
+            for rows, sizes, hashes in _blocks(files):
+                at = order[np.minimum(np.searchsorted(numbers, rows, sorter=order), len(order) - 1)]
+                own = np.where(numbers[at] == rows, at, -1)
+                here = bool((own >= 0).any())
+                found = shard.look_up(hashes, np.repeat(np.cumsum(sizes), sizes), np.repeat(own, sizes) if here else None)
+                total = shard.total - np.where(own >= 0, lengths[own], 0)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(total), *lists], names=["row", "total", "length", "context", "follow", "unigram"])
 
     return corpus.mapInArrow(run, COUNTS)
 
 
-def _passes(rows: DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Keys and token hashes of the queries, PASS_TOKENS at a time."""
-    keys, arrays, n = [], [], 0
-    for key, hashes in rows.toLocalIterator():
-        keys.append(key)
-        arrays.append(np.array(hashes, np.int64))
-        n += len(hashes)
-        if n >= PASS_TOKENS:
-            yield keys, arrays
-            keys, arrays, n = [], [], 0
-    if keys:
-        yield keys, arrays
+def _merge(alpha: float, vocabulary: int):
+    """From rows of COUNTS, those of a query one after the other, a row of SUMS for each query."""
 
+    def finish(row: int, total: int, length: np.ndarray, context: np.ndarray, follow: np.ndarray, n: np.ndarray) -> tuple:
+        u = (n + 1) / (total + vocabulary)
+        return row, float(np.log((follow + alpha * u) / (context + alpha)).sum()), float(length.mean()), int(length.max())
 
-def score(texts: DataFrame, corpus: DataFrame, key: str = "item_id", alpha: float = ALPHA, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(key, n_tokens, log_prob, perplexity, mean_match, longest_match) for every row of texts, scored by corpus.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=["row", "log_prob", "mean_match", "longest_match"])
+
+        for batch in batches:
+            done = []
+            flat = [list_values(batch.column(c)) for c in ("length", "context", "follow", "unigram")]
+            offsets = flat[0][1]
+            for row, total, lo, hi in zip(batch.column("row").to_pylist(), batch.column("total").to_pylist(), offsets, offsets[1:]):
+                length, context, follow, n = (x[lo:hi].astype(np.int64) for x, _ in flat)
+                if held is not None and held[0] == row:
+                    _, total0, length0, context0, follow0, n0 = held
+                    less, more = length < length0, length > length0
+                    context = np.where(less, 0, context) + np.where(more, 0, context0)
+                    follow = np.where(less, 0, follow) + np.where(more, 0, follow0)
+                    length, n, total = np.maximum(length, length0), n + n0, total + total0
+                elif held is not None:
+                    done.append(finish(*held))
+                held = row, total, length, context, follow, n
+            if done:
+                yield batch_of(done)
+        if held is not None:
+            yield batch_of([finish(*held)])
+
+    return run
+
+
+def score(texts: DataFrame, corpus: DataFrame | None, key: str = "item_id", alpha: float = ALPHA, vocabulary: int = VOCABULARY) -> DataFrame:
+    """(key, n_tokens, log_prob, perplexity, mean_match, longest_match) for every row of texts, scored by corpus,
+    or with corpus None by all other rows of texts.
 
     For each token the longest context before it, of any length within its text, that occurs in the
     corpus is found. With the number c of its occurrences and f of those that the token follows,
@@ -263,45 +358,24 @@ def score(texts: DataFrame, corpus: DataFrame, key: str = "item_id", alpha: floa
     the token's unigram probability, n of the N corpus tokens being the token. A shard in which only a shorter
     context occurs adds nothing to c and f: there the longest occurs 0 times.
 
-    The corpus is read once for each PASS_TOKENS tokens of queries; a pass broadcasts no more than
-    that (and one text). What comes back, a row per query token and shard, grows with the corpus and is
-    summed in the cluster. Logarithms are natural; perplexity is exp(-log_prob / n_tokens).
+    Each shard's suffix array is built once; the task reads all queries' tokens from the shared scratch folder, PASS_TOKENS
+    (and one text) at a time. Every query meets every shard: work and what comes back, a value per query token and shard,
+    grow with the product of both tables. It is summed in the cluster. Logarithms are natural; perplexity is exp(-log_prob / n_tokens).
 
     Null and empty texts have 0 tokens, log_prob 0 and null perplexity and matches. Null and repeated keys are
-    scored row by row. Without a corpus u alone is left. Without texts the result is empty. Corpus rows with null
-    or empty text add nothing; repeated rows count each time.
+    scored row by row: of rows with the same text each is scored by the others. Without a corpus u alone is left. Without
+    texts the result is empty. Corpus rows with null or empty text add nothing; repeated rows count each time.
     """
-    spark = texts.sparkSession
-    kind = texts.schema[key].dataType
-    head = T.StructType([T.StructField("row", T.LongType()), T.StructField(key, kind), T.StructField("n_tokens", T.LongType())])
-    parts = []
-    index = corpus.select(token_hashes("text").alias("tokens"))
-    for keys, arrays in _passes(texts.select(key, token_hashes("text"))):
-        sizes = np.array([len(a) for a in arrays])
-        hashes = np.concatenate(arrays)
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        rows = spark.createDataFrame([(i, k, int(n)) for i, (k, n) in enumerate(zip(keys, sizes))], head)
-        parts.append(_scored(rows, count_matches(index, np.repeat(np.arange(len(keys)), sizes), hashes, ends) if len(hashes) else None, key, alpha, vocabulary))
-    if not parts:
-        parts.append(_scored(spark.createDataFrame([], head), None, key, alpha, vocabulary))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _scored(rows: DataFrame, counts: DataFrame | None, key: str, alpha: float, vocabulary: int) -> DataFrame:
-    if counts is None:
-        counts = rows.sparkSession.createDataFrame([], COUNTS)
-    by_length = counts.groupBy("row", "pos", "length").agg(*[F.sum(c).alias(c) for c in ("context", "follow", "unigram", "total")])
-    best = by_length.groupBy("row", "pos").agg(
-        F.max_by(F.struct("context", "follow"), "length").alias("at"), F.max("length").alias("length"), F.sum("unigram").alias("n"), F.sum("total").alias("total")
-    )
-    u = (F.col("n") + 1) / (F.col("total") + F.lit(vocabulary))
-    p = (F.col("at.follow") + F.lit(alpha) * u) / (F.col("at.context") + F.lit(alpha))
-    sums = best.groupBy("row").agg(F.sum(F.log(p)).alias("log_prob"), F.avg("length").alias("mean_match"), F.max("length").alias("longest_match"))
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), token_hashes("text").alias("tokens"))
+    rows = materialize(rows.withColumn("n_tokens", F.size("tokens").cast("long")), "lm-queries")
+    depth = rows.agg(F.max("n_tokens")).first()[0] or 0  # no context is longer
+    index = rows.select("row", "tokens") if corpus is None else corpus.select(F.lit(-1).cast("long").alias("row"), token_hashes("text").alias("tokens"))
+    counts = count_matches(index, rows.inputFiles(), depth)
+    sums = counts.repartition("row").sortWithinPartitions("row").mapInArrow(_merge(alpha, vocabulary), SUMS)
     # without any corpus token the shards say nothing
-    alone = F.col("n_tokens") * F.lit(math.log(1 / vocabulary))
-    log_prob = F.coalesce("log_prob", alone)
-    return rows.join(sums, "row", "left").select(
-        key, "n_tokens", F.round(log_prob, 6).alias("log_prob"),
+    log_prob = F.coalesce("log_prob", F.col("n_tokens") * F.lit(math.log(1 / vocabulary)))
+    return rows.drop("tokens").join(sums, "row", "left").select(
+        F.col("key").alias(key), "n_tokens", F.round(log_prob, 6).alias("log_prob"),
         F.when(F.col("n_tokens") > 0, F.round(F.exp(-log_prob / F.col("n_tokens")), 4)).alias("perplexity"),
         F.when(F.col("n_tokens") > 0, F.round(F.coalesce("mean_match", F.lit(0.0)), 6)).alias("mean_match"),
         F.when(F.col("n_tokens") > 0, F.coalesce("longest_match", F.lit(0))).alias("longest_match"),
@@ -309,5 +383,10 @@ def _scored(rows: DataFrame, counts: DataFrame | None, key: str, alpha: float, v
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, scored by all other documents."""
+    return score(table(spark, sf_dir, "documents"), None, key="doc_id")
+
+
+def benchmark_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item, scored by all documents."""
     return score(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))

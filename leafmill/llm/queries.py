@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.query,
     "op9_top_k": top_k.query,
     "op10_lm_scoring": lm_scoring.query,
+    "op10_benchmark_scoring": lm_scoring.benchmark_query,
 }
 
 SQL: dict[str, str] = {

@@ -404,6 +404,44 @@ def test_long_matches():
     assert all((a == b).all() for a, b in zip(*found)) and found[0][0].max() > 700
 
 
+@pytest.mark.parametrize(("shard", "block", "deep"), [(7, 5, 2), (60, 11, 3), (2_000_000, 500_000, 16)])
+def test_lm_scores_each_document_by_the_others(spark, shard, block, deep):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(20)] + [None, "", "q r s t q r s t q r s t u", "only here"]
+    texts += [texts[3], "x " + " ".join("abcdabcdab") + " y", "z " + " ".join("abcdabcdab")]
+    tokens = [lm_scoring.tokens(t) for t in texts]
+    kept = lm_scoring.SHARD_TOKENS, lm_scoring.PASS_TOKENS, lm_scoring.DEEP
+    lm_scoring.SHARD_TOKENS, lm_scoring.PASS_TOKENS, lm_scoring.DEEP = shard, block, deep
+    try:
+        got = {r.doc_id: r for r in lm_scoring.score(docs(spark, texts).coalesce(1), None, key="doc_id").collect()}
+    finally:
+        lm_scoring.SHARD_TOKENS, lm_scoring.PASS_TOKENS, lm_scoring.DEEP = kept
+    assert len(got) == len(texts)
+    for i, w in enumerate(tokens):
+        rest = [t for j, t in enumerate(tokens) if j != i]
+        total = sum(map(len, rest))
+
+        def count(gram):
+            return sum(t[a : a + len(gram)] == gram for t in rest for a in range(len(t) - len(gram) + 1)) if gram else total
+
+        log_prob, lengths = 0.0, []
+        for k, x in enumerate(w):
+            s = next(s for s in range(k + 1) if s == k or count(w[s:k]))
+            u = (count([x]) + 1) / (total + lm_scoring.VOCABULARY)
+            log_prob += math.log((count(w[s : k + 1]) + lm_scoring.ALPHA * u) / (count(w[s:k]) + lm_scoring.ALPHA))
+            lengths.append(k - s)
+        assert got[i].n_tokens == len(w) and got[i].log_prob == pytest.approx(log_prob, abs=1e-5), (i, w)
+        if w:
+            assert got[i].mean_match == pytest.approx(sum(lengths) / len(w), abs=1e-6) and got[i].longest_match == max(lengths)
+
+
+def test_lm_query_scores_every_document(spark):
+    d = table(spark, SF, "documents")
+    got = queries.QUERIES["op10_lm_scoring"](spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in d.collect())
+    assert sum(r.n_tokens for r in got) == sum(len(lm_scoring.tokens(r.text)) for r in d.collect())
+
+
 # pipeline
 
 
