@@ -31,9 +31,9 @@ CHUNK = 500
 METRICS = ("piece_chars", "byte_chars", "fallback_share", "token_entropy")
 #: Band of a group: median -/+ WIDTH[metric] * max(median absolute deviation, LEAST[metric]).
 #: The chance spread of a mean falls with the length of the text, so texts of few tokens get wider bands:
-#: the width is multiplied by sqrt(1 + SHORT / tokens).
-WIDTH = {"piece_chars": (6.0, 8.0), "byte_chars": (6.0, 8.0), "fallback_share": (None, 8.0), "token_entropy": (8.0, None)}
-LEAST = {"piece_chars": 0.06, "byte_chars": 0.06, "fallback_share": 0.004, "token_entropy": 0.15}
+#: the width is multiplied by sqrt(1 + SHORT / tokens). Entropy is held as a share of its bound (see FULL), so its numbers are of that scale.
+WIDTH = {"piece_chars": (6.0, 8.0), "byte_chars": (6.0, 8.0), "fallback_share": (None, 8.0), "token_entropy": (2.0, None)}
+LEAST = {"piece_chars": 0.06, "byte_chars": 0.06, "fallback_share": 0.004, "token_entropy": 0.05}
 SHORT = 200.0
 #: Entropy is held against log2(tokens), its upper bound, below this number of tokens.
 FULL = 2048.0

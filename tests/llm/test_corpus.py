@@ -286,6 +286,20 @@ def test_fertility_keeps_clean_and_drops_junk(spark):
     assert kept == {r.doc_id for r in fertility.quality_rules(d).collect() if r.keep}
 
 
+def test_fertility_drops_repetitive_text(spark):
+    d = table(spark, SF.replace("0.001", "0.01"), "documents")
+    rng = random.Random(0)
+    few = [f"{w}" for w in "Reanwh tolim sard venk oulo prat mese lind".split()]
+    texts = ["house " * 300, " ".join(rng.choice(few) for _ in range(1500)), "again and again " * 60, "same " * 12]
+    planted = [(10**6 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    judged = {r.doc_id: r for r in fertility.quality_rules(d.unionByName(spark.createDataFrame(planted, d.schema))).collect()}
+    assert all("token_entropy" in judged[10**6 + i].reasons for i in range(len(texts)))
+    labels = table(spark, SF.replace("0.001", "0.01"), "labels").collect()
+    by = lambda q: [judged[r.doc_id] for r in labels if r.quality == q and r.toxic != 1 and r.doc_id in judged]
+    assert np.mean(["token_entropy" in r.reasons for r in by(1)]) < 0.01
+    assert np.mean(["token_entropy" in r.reasons for r in by(0)]) > 0.3
+
+
 # 7
 
 
