@@ -37,8 +37,8 @@ LEAST = {"piece_chars": 0.06, "byte_chars": 0.06, "fallback_share": 0.004, "toke
 SHORT = 200.0
 #: Entropy is held against log2(tokens), its upper bound, below this number of tokens.
 FULL = 2048.0
-#: Groups with fewer measured texts are judged by the bands of all texts.
-LEAST_ROWS = 50
+#: A group's spread is averaged with that of all texts, which counts as so many of the group's own; medians are the group's.
+SHRINK = 50
 
 SCHEMA = "doc_id long, grp string, th long, n_tokens long, piece_chars double, byte_chars double, fallback_share double, token_entropy double"
 
@@ -217,15 +217,16 @@ def judge(measured: DataFrame, band: DataFrame) -> DataFrame:
     """measured with `reasons`, the metrics that lie outside the bands, in the order of METRICS."""
     band = materialize(band, "fertility-bands")
     all_ = band.filter("grp is null").select(*[F.col(f"{m}_{x}").alias(f"{m}_{x}_all") for m in METRICS for x in ("mid", "mad")])
-    own = band.filter((F.col("grp").isNotNull()) & (F.col("n") >= LEAST_ROWS)).withColumnRenamed("grp", "g").drop("n")
+    own = band.filter(F.col("grp").isNotNull()).withColumnRenamed("grp", "g").withColumnRenamed("n", "n_group")
     if own.count() <= MAX_BROADCAST_GROUPS:
         own = F.broadcast(own)
-    joined = measured.join(own, F.col("grp") == F.col("g"), "left").crossJoin(F.broadcast(all_))
+    joined = measured.join(own, F.col("grp") == F.col("g")).crossJoin(F.broadcast(all_))
     wider = F.sqrt(1 + F.lit(SHORT) / F.col("n_tokens"))
     tests = []
     for m, value in _values().items():
-        mid = F.coalesce(f"{m}_mid", f"{m}_mid_all")
-        unit = F.greatest(F.coalesce(f"{m}_mad", f"{m}_mad_all"), F.lit(LEAST[m])) * wider
+        mid = F.col(f"{m}_mid")
+        mad = (F.col("n_group") * F.col(f"{m}_mad") + F.lit(SHRINK) * F.col(f"{m}_mad_all")) / (F.col("n_group") + F.lit(SHRINK))
+        unit = F.greatest(mad, F.lit(LEAST[m])) * wider
         low, high = WIDTH[m]
         sides = ([value < mid - low * unit] if low else []) + ([value > mid + high * unit] if high else [])
         tests.append(F.when(reduce(lambda a, b: a | b, sides), F.lit(m)))
@@ -237,7 +238,7 @@ def quality_rules(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
 
     A text is kept if each measure lies in the band of its language: the median of all texts of that
     language and a number of median absolute deviations either way. Texts without a language go by
-    their main script. Small groups go by the bands of all texts. Null and empty texts have null measures and
+    their main script. The fewer texts a group has, the more its deviations go by those of all texts. Null and empty texts have null measures and
     the reason "empty", and are not kept. Rows are judged one by one, repeated ones alike; doc_ids may be
     null. Texts are tokenised whole. An empty table gives no rows.
     """

@@ -300,6 +300,18 @@ def test_fertility_drops_repetitive_text(spark):
     assert np.mean(["token_entropy" in r.reasons for r in by(0)]) > 0.3
 
 
+@pytest.mark.parametrize("n", [10, 49, 50, 120])
+def test_fertility_small_groups_keep_their_median(spark, n):
+    """A group that tokenises unlike the majority isn't rejected as a whole, however small; its outlier is."""
+    d = table(spark, SF, "documents").limit(150)
+    rng = random.Random(3)
+    thai = ["".join(chr(rng.randrange(0x0E01, 0x0E2F)) if rng.random() > 0.15 else " " for _ in range(400)).strip() for _ in range(n)]
+    added = [(10**6 + i, t, "th", "s", len(t)) for i, t in enumerate(thai)] + [(10**6 + n, "gold " * 200, "th", "s", 1000)]
+    judged = {r.doc_id: r for r in fertility.quality_rules(d.unionByName(spark.createDataFrame(added, d.schema))).collect()}
+    assert np.mean([judged[10**6 + i].keep for i in range(n)]) > 0.9
+    assert not judged[10**6 + n].keep
+
+
 # 7
 
 
