@@ -18,8 +18,9 @@ WINDOW = 20
 #: Character classes with the window entropy, in bits a character, from which on a run is a finding. A class
 #: covers the runs of its characters within a candidate; `needs` must match somewhere in such a run.
 CLASSES: tuple[tuple[str, str, float, str], ...] = (
-    ("hex", r"[0-9a-f]+|[0-9A-F]+", 3.0, r"[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]"),
+    ("hex", r"[0-9]*[a-f][0-9a-f]*|[0-9]*[A-F][0-9A-F]*", 3.0, r"[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]"),
     ("alnum", r"[A-Za-z0-9]+", 3.7, r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"),
+    ("onecase", r"[0-9]*[a-z][0-9a-z]*|[0-9]*[A-Z][0-9A-Z]*", 3.6, r"(?=.*[A-Za-z])(?:.*[0-9]){3}"),
     ("base64", r"[A-Za-z0-9+/=_\-]+", 3.9, r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])(?=.*[+/=_\-])"),
 )
 #: A finding is suppressed if its text, or what stands just before it, matches one of these.

@@ -130,6 +130,46 @@ def test_secrets_whole_table_brute_force(spark):
     assert sorted(tuple(r) for r in queries.QUERIES["op2_secrets"](spark, SF.replace("0.001", "0.01")).collect()) == want and want
 
 
+SECRET_CLASSES = (
+    ("hex", lambda r: r.isalnum() and set(r.lower()) <= set("0123456789abcdef") and any(c.isdigit() for c in r) and (r != r.lower()) != (r != r.upper()), 3.0),
+    ("alnum", lambda r: r.isalnum() and any(c.isdigit() for c in r) and r != r.lower() and r != r.upper(), 3.7),
+    ("onecase", lambda r: r.isalnum() and sum(c.isdigit() for c in r) >= 3 and (r != r.lower()) != (r != r.upper()), 3.6),
+)
+
+
+def whole_run_secrets(text):
+    """Written apart from secrets.py: (start, class, text) of runs that stand between other characters, by plain tests and brute-force entropy."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9]{20,}(?![A-Za-z0-9+/=_\-])", text):
+        head = text[max(0, m.start() - 40) : m.start()].lower()
+        if re.search(r"(sha-?(1|256|384|512)|md5|commit|integrity|checksum|digest)[\"']?\s*[:=\-]?\s*[\"']?$", head) or "base64," in head[-8:]:
+            continue
+        if any(x in m.group().lower() for x in ("example", "changeme", "placeholder", "apikey")) or m.group().lower().startswith(("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz")):
+            continue
+        for name, fits, least in SECRET_CLASSES:
+            if fits(m.group()) and brute_entropy(m.group(), 20) >= least:
+                out.append((m.start(), name, m.group()))
+                break
+    return out
+
+
+def test_secrets_of_one_case_and_upper_hex(spark):
+    hexes = ["9233A8EC41D07B56F3E2" + "0C8B7A6D5E4F39281706", "92A3B8EC41D07B56F3E2", "9233a8ec41d07b56f3e2"]
+    keys = ["AKIA" + "Q7ZX3MTB5KWP9RLD", "k3j9x2m7q5w8z4t6p1v0b", "7KQ2MZX4TPW9BRL5HJ3V"]
+    plain = ["internationalizations", "THEQUICKBROWNFOXJUMPS", "12345678901234567890123", "aaaaaaaaaaaaaaaaaaaaa123", "sha1: 9233A8EC41D07B56F3E20C8B"]
+    got = {r.doc_id: (r.start, r["class"], r.secret) for r in secrets.scan_secrets(docs(spark, [f"at {x} end" for x in hexes + keys + plain])).collect()}
+    assert got == {i: (3, "hex" if i < len(hexes) else "onecase", x) for i, x in enumerate(hexes + keys)}
+
+
+def test_secrets_whole_runs_by_an_independent_scan(spark):
+    sf = SF.replace("0.001", "0.1")
+    want = sorted((r.doc_id, *f) for r in table(spark, sf, "documents").collect() for f in whole_run_secrets(r.text or ""))
+    alone = lambda t, a, n: not re.match(r"[A-Za-z0-9+/=_\-]", t[a - 1 : a] or " ") and not re.match(r"[A-Za-z0-9+/=_\-]", t[a + n : a + n + 1] or " ")
+    found = queries.QUERIES["op2_secrets"](spark, sf).filter("class <> 'base64'").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    got = sorted((r.doc_id, r.start, r["class"], r.secret) for r in found.collect() if alone(r.text, r.start, r.length))
+    assert got == want and any(name == "hex" and run != run.lower() for _, _, name, run in want)
+
+
 # 3
 
 
