@@ -27,8 +27,9 @@ def position(seed: str = SEED) -> Column:
 def thresholds(narrow: DataFrame, shares: dict[str, float] = TARGET_SHARES, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """From (source, u, n_tokens): rows (source, level, top), where a document belongs to the level if u <= top.
 
-    A source's budget at level f is f * T * share, T being the largest total at which no source runs
-    out. Its documents are taken in the order of u as long as the running sum stays within the
+    A named source's budget at level f is f * T * share, T being the largest total at which no named source and not
+    the unnamed ones together run out. The unnamed sources, null among them, have equal parts of what is left of f * T; one
+    that holds less is taken whole and the others share its remainder, so that no small source binds T. A source's documents are taken in the order of u as long as the running sum stays within the
     budget. Round by round, tokens are summed into 2^ROUND_BITS buckets of u; only the bucket in
     which the budget ends is looked into again; last, the single values of u within that bucket are summed.
     No step sorts documents: windows run over buckets.
@@ -40,13 +41,16 @@ def thresholds(narrow: DataFrame, shares: dict[str, float] = TARGET_SHARES, leve
     per = per.crossJoin(F.broadcast(whole)).withColumn(
         "weight", F.coalesce("named", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("taken")) / F.col("others"))
     )
-    per = materialize(per.filter("weight > 0").select("source", "have", "weight"), "mix-weights")
-    per = per.crossJoin(F.broadcast(per.agg(F.min(F.col("have") / F.col("weight")).alias("total"))))
+    per = materialize(per.filter("weight > 0").select("source", "have", "weight", F.col("named").isNull().alias("free")), "mix-weights")
+    per = per.crossJoin(F.broadcast(_total(per, shares)))
     level = F.explode(F.array(*[F.lit(float(x)) for x in levels])).alias("level")
     # A few rows a source, stored between rounds: plans would grow with each. The open budgets: documents whose u has this prefix (of `done` bits) still count against `rest`
-    open_ = per.select("source", level, "total", "weight").select(
-        "source", "level", F.floor(F.col("level") * F.col("total") * F.col("weight")).cast("long").alias("rest"), F.lit(0).cast("long").alias("prefix")
-    )
+    each = per.select("*", level)
+    each = each.join(F.broadcast(_whole(each)), "level", "left")
+    equal = F.col("level") * F.col("total") * F.col("weight")
+    # without a short source the part is equal as it is
+    part = F.when((F.col("short") > 0) & F.col("free"), F.when(F.col("have") <= F.col("longest"), F.col("have")).otherwise(F.try_divide("left", "sharing"))).otherwise(equal)
+    open_ = each.select("source", "level", F.floor(part).cast("long").alias("rest"), F.lit(0).cast("long").alias("prefix"))
     open_ = materialize(open_, "mix-open")
     done = 0
     for _ in range(ROUNDS):
@@ -55,6 +59,28 @@ def thresholds(narrow: DataFrame, shares: dict[str, float] = TARGET_SHARES, leve
     return _boundary(narrow, open_, done, 60).select("source", "level", F.col("prefix").alias("top"))
 
 
+def _total(per: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """One row: the largest total that each named source, and the unnamed ones together, can fill."""
+    free = F.sum(F.when(F.col("free"), F.col("have"))) / F.sum(F.when(F.col("free"), F.col("weight")))
+    return per.agg(F.least(F.min(F.when(~F.col("free"), F.col("have") / F.col("weight"))), free).alias("total"))
+
+
+def _whole(each: DataFrame) -> DataFrame:
+    """By level: how many unnamed sources are taken whole, the most that one of them has, what is left for the others and their number.
+    One window over a row a source and level."""
+    up = Window.partitionBy("level").orderBy("have", "source")
+    free = each.filter("free").withColumns({
+        "room": F.col("level") * F.col("total") * F.sum("weight").over(Window.partitionBy("level")), "n": F.count("*").over(Window.partitionBy("level")),
+        "nth": F.row_number().over(up), "upto": F.sum("have").over(up.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    # half a token for rounding
+    short = F.col("have") * (F.col("n") - F.col("nth") + 1) <= F.col("room") - (F.col("upto") - F.col("have")) + 0.5
+    return free.withColumn("is_short", short).groupBy("level").agg(
+        F.count_if("is_short").alias("short"), F.max(F.when(F.col("is_short"), F.col("have"))).alias("longest"),
+        (F.max("room") - F.coalesce(F.sum(F.when(F.col("is_short"), F.col("have"))), F.lit(0))).alias("left"), F.count_if(~F.col("is_short")).alias("sharing"),
+    )
+
+
 def _boundary(narrow: DataFrame, open_: DataFrame, done: int, upto: int) -> DataFrame:
     """Refine each open budget from prefixes of `done` bits to prefixes of `upto` bits.
 

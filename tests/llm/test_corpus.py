@@ -370,6 +370,29 @@ def test_mixing_matches_targets_and_nests(spark):
     assert kept == sorted(r.doc_id for r in got)
 
 
+def test_mixing_small_unnamed_sources_do_not_bind_the_total(spark):
+    rng = random.Random(4)
+    many = [(i, "w " * rng.randint(1, 30), "en", rng.choice(["src0", "x", "y", "z"]), 1) for i in range(600)]
+    tiny = [(1000, "w " * 10, "en", None, 1), (1001, "w " * 7, "en", "tail", 1)]
+    have = Counter()
+    for r in many:
+        have[r[3]] += len(r[1]) // 2
+    got = mixing.mix(spark.createDataFrame(many + tiny, DOCS)).collect()
+    by = Counter()
+    for r in got:
+        by[r.source] += r.n_tokens
+    total = min(have["src0"] / 0.2, (sum(have.values()) - have["src0"] + 17) / 0.8)
+    assert by[None] == 10 and by["tail"] == 7
+    assert sum(by.values()) == pytest.approx(total, abs=31 * 6) and sum(by.values()) <= total
+    assert by["src0"] == pytest.approx(0.2 * total, abs=31)
+    # the short sources' remainder goes to the others
+    first = Counter()
+    for r in got:
+        if r.level == 0.1:
+            first[r.source] += r.n_tokens
+    assert all(first[s] == pytest.approx((0.08 * total - 17) / 3, abs=31) for s in "xyz")
+
+
 # 8
 
 
