@@ -168,17 +168,17 @@ def nearest(vectors: DataFrame, k: int = K, key: str = "vec_id", column: str = "
     last pass keeps just those, and they are ranked by score (highest first) and then id (lowest first).
 
     Scores are cosines rounded to 1 / STEPS. Rows with a null id or a null vector, or with a null or a
-    number that is not finite in it, take no part; nor do vectors shorter than the longest. A zero vector has cosine 0 to all.
+    number that is not finite in it, take no part; nor do vectors of another length than the commonest (the least of equally common ones). A zero vector has cosine 0 to all.
     Of several rows with one id the least vector in array order counts. With fewer than k others all are
     returned. An empty table gives no rows.
     """
     empty = "query_id long, rank int, neighbor_id long, score double"
     vectors = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
     good = vectors.filter(F.col("id").isNotNull() & (F.size("v") > 0)).filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    width = good.agg(F.max(F.size("v"))).first()[0]
-    if width is None:
+    lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
+    if lengths is None:
         return vectors.sparkSession.createDataFrame([], empty)
-    one = good.filter(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"))
+    one = good.filter(F.size("v") == lengths["n"]).groupBy("id").agg(F.min("v").alias("v"))
     # a file per block: pairs of blocks then spread over many tasks
     blocks = materialize(_blocks(one, block), "topk-blocks")
     blocks = materialize(blocks.repartition(max(1, blocks.count()), "block"), "topk-blocks")

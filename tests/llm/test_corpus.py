@@ -439,6 +439,12 @@ def test_top_k_edges(spark):
     assert top_k.nearest(none).count() == 0
 
 
+def test_top_k_odd_length_loses_only_itself(spark):
+    v = [(i, [float(i), 1.0]) for i in range(4)] + [(9, [1.0, 2.0, 3.0])]
+    got = top_k.nearest(spark.createDataFrame(v, "vec_id long, embedding array<double>"), k=2).collect()
+    assert {r.query_id for r in got} == {0, 1, 2, 3} and len(got) == 8 and 9 not in {r.neighbor_id for r in got}
+
+
 # 10
 
 
