@@ -38,9 +38,9 @@ def rows(boxes: DataFrame, tolerance: float = 0.015, key: str = "doc_id", top_or
 
 def cluster_positions(boxes: DataFrame, tolerance: float = 0.025, key: str = "doc_id", column: str = "x") -> DataFrame:
     """(key, cluster, center): chains of positions no further apart than the tolerance, and their means."""
-    along = Window.partitionBy(key).orderBy(column)
+    along = Window.partitionBy(key).orderBy(column, *[c for c in ("box_no",) if c in boxes.columns])
     new = F.coalesce((F.col(column) - F.lag(column).over(along) > tolerance).cast("int"), F.lit(0))
-    chained = boxes.select(key, column, new.alias("new")).withColumn("cluster", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    chained = boxes.select("*", new.alias("new")).withColumn("cluster", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     return chained.groupBy(key, "cluster").agg(F.avg(column).alias("center"))
 
 

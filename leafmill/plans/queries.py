@@ -110,19 +110,20 @@ def b_output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {fx.OCR_LINES},
-r AS (SELECT doc_id, box_no, x / 10000.0::DOUBLE AS x, 0.1::DOUBLE AS y, w / 10000.0::DOUBLE AS w, h / 10000.0::DOUBLE AS h FROM ocr_lines WHERE w > 0),
-o AS (SELECT *, x + 0.03 AS x2, y + 0.01 AS y2, w AS w2, h + 0.02 AS h2, greatest(0, w - 0.03) * greatest(0, h - 0.01) AS inter FROM r)
+r AS (SELECT doc_id, box_no, x / 10000.0::DOUBLE AS x, 0.1::DOUBLE AS y, w / 10000.0::DOUBLE AS w, h / 10000.0::DOUBLE AS h, w * h AS area, greatest(0, w - 300) * greatest(0, h - 100) AS both_, w * (h + 200) AS area2 FROM ocr_lines)
 SELECT doc_id, box_no, round(x * 1000, 6) AS x1, round((1 - y) * 2000 - h * 2000, 6) AS y1, round(x * 1000 + w * 1000, 6) AS x2, round((1 - y) * 2000, 6) AS y2, round(-h * 2000, 6) AS plot_h, round(1 - y - h, 6) AS flipped,
-       round(y + h / 2, 6) AS center, round(inter / (w * h), 6) AS overlap, round(inter / (w * h + w * (h + 0.02) - inter), 6) AS iou, inter / (w * h) >= 0.8 AS contained
-FROM o""")
+       round(y + h / 2, 6) AS center, CASE WHEN area > 0 THEN both_::DOUBLE / area ELSE 0 END AS overlap, CASE WHEN area > 0 THEN both_::DOUBLE / (area + area2 - both_) ELSE 0 END AS iou, area > 0 AND both_ * 5 >= area * 4 AS contained
+FROM r""")
 def c_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fx.ocr_lines(spark, sf_dir).filter("w > 0")
-    r = lines.select("doc_id", "box_no", (F.col("x") / 10000).alias("x"), F.lit(0.1).alias("y"), (F.col("w") / 10000).alias("w"), (F.col("h") / 10000).alias("h"))
-    a = geo.box()
-    b = (a[0] + 0.03, a[1] + 0.01, a[2], a[3] + 0.02)
+    """Shares are quotients of whole numbers, which both engines round alike."""
+    lines = fx.ocr_lines(spark, sf_dir)
+    unit = [F.col(c).cast("double") for c in ("x", "w", "h")]
+    whole = (unit[0], F.lit(1000.0), unit[1], unit[2])
+    moved = (whole[0] + 300, whole[1] + 100, whole[2], whole[3] + 200)
+    a = (F.col("x") / 10000, F.lit(0.1), F.col("w") / 10000, F.col("h") / 10000)
     px, plot = geo.to_pixels(a, F.lit(1000), F.lit(2000)), geo.to_plot(a, F.lit(1000), F.lit(2000))
-    rounded = {**{k: px[k] for k in ("x1", "y1", "x2", "y2")}, "plot_h": plot["h"], "flipped": geo.flip_y(a[1], a[3]), "center": geo.y_center(a), "overlap": geo.overlap(a, b), "iou": geo.iou(a, b)}
-    return r.select("doc_id", "box_no", *[F.round(v, 6).alias(k) for k, v in rounded.items()], geo.contained(a, b).alias("contained"))
+    rounded = {**{k: px[k] for k in ("x1", "y1", "x2", "y2")}, "plot_h": plot["h"], "flipped": geo.flip_y(a[1], a[3]), "center": geo.y_center(a)}
+    return lines.select("doc_id", "box_no", *[F.round(v, 6).alias(k) for k, v in rounded.items()], geo.overlap(whole, moved).alias("overlap"), geo.iou(whole, moved).alias("iou"), geo.contained(whole, moved).alias("contained"))
 
 
 _NEXT_LINE = """
@@ -249,7 +250,7 @@ def i_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CELLS = f"""{fx.TABLE_BOXES},
 rw AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS row_no FROM table_boxes),
-ch AS (SELECT doc_id, x, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS cl FROM (SELECT doc_id, x, x - lag(x) OVER (PARTITION BY doc_id ORDER BY x) > 250 AS new FROM rw)),
+ch AS (SELECT doc_id, x, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY x, box_no ROWS UNBOUNDED PRECEDING) AS cl FROM (SELECT doc_id, box_no, x, x - lag(x) OVER (PARTITION BY doc_id ORDER BY x, box_no) > 250 AS new FROM rw)),
 cen AS (SELECT doc_id, cl, avg(x) AS center FROM ch GROUP BY doc_id, cl),
 nr AS (SELECT doc_id, count(DISTINCT row_no) AS n_rows FROM rw GROUP BY doc_id),
 al AS (SELECT rw.doc_id, center, count(DISTINCT row_no) AS n FROM rw JOIN cen ON rw.doc_id = cen.doc_id AND abs(x - center) <= 250 GROUP BY rw.doc_id, center),
