@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, small, table, word_hashes, words_of
+from leafmill.llm.common import discard, materialize, small, table, word_hashes, words_of
 
 #: Words in an n-gram, and the least Jaccard similarity of a pair.
 N = 3
@@ -25,11 +25,19 @@ SKETCH_CHUNK = 1 << 16
 CHUNK_DOCS, CHUNK_WORDS = 512, 250_000
 #: Prefix n-grams of one bucket, which one task joins at once.
 BUCKET = 1_000_000
-#: Side of the square of pairs that one tile verifies.
-TILE = 2000
+#: Documents that share an n-gram and are compared at once; more of them are cut into blocks, and blocks into pairs of blocks.
+RUN = 4096
+#: Documents of one pack of postings.
+PACK_DOCS = 60_000
+#: Side of the square of pairs, and n-grams of the sets, of one tile that is verified at once.
+TILE, TILE_GRAMS = 700, 4_000_000
+#: n-grams whose bits are compared at once, and words of bits.
+SLAB, GULP = 1 << 14, 1 << 21
 EPS = 1e-9
 
-_DOCS = "doc_id long, size int, gsig long, fsig long, prefix binary, parity binary"
+_DOCS = "doc_id long, size int, gsig long, fsig long, prefix binary"
+#: Positions are kept up to this one, which makes the position filter no stricter; two bits above it say on which side of a pair of blocks a document is.
+_FAR, _SIDE, _CROSS = (1 << 14) - 1, 1 << 14, 1 << 15
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -120,22 +128,8 @@ def _ordered(values: np.ndarray, offsets: np.ndarray, n: int, rank: np.ndarray |
     return h[first], doc[first]
 
 
-def _parities(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """For each document with n-grams a bit per hash value, how often it occurs being odd or even; 2 to 4 bits an n-gram, a power of two.
-
-    Two of them differ in no more bits than the sets do in members; one of twice the length is folded by XOR of its halves.
-    """
-    some = size[size > 0]
-    bits = np.maximum(64, 1 << np.ceil(np.log2(2 * some)).astype(np.int64)) if len(some) else some
-    ends = np.cumsum(bits)
-    of = (np.cumsum(size > 0) - 1)[doc]
-    at = (ends - bits)[of] + (_mix(h ^ np.uint64(0x2545F4914F6CDD1D)).view(np.int64) & (bits[of] - 1))
-    odd = np.packbits((np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8))
-    return [odd[(e - b) // 8 : e // 8].tobytes() for b, e in zip(bits, ends)]
-
-
 def signatures(docs: DataFrame, rank: np.ndarray, n: int = N, threshold: float = THRESHOLD, bits: int = SKETCH_BITS) -> DataFrame:
-    """_DOCS: size of the set, gsig (a hash of prefix and size), fsig (of the whole set), the prefix and the parity bits, for each row with words."""
+    """_DOCS: size of the set, gsig (a hash of prefix and size), fsig (of the whole set) and the prefix, for each row with words."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,56 +149,140 @@ def signatures(docs: DataFrame, rank: np.ndarray, n: int = N, threshold: float =
                 gsig, fsig = _mix(heads + sizes * np.uint64(0x9E3779B97F4A7C15)), _mix(sums + sizes)
                 blobs = [h[a : a + k].tobytes() for a, k in zip(start[some], length[some])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(size[some].astype(np.int32)), pa.array(gsig.view(np.int64)), pa.array(fsig.view(np.int64)), pa.array(blobs, pa.binary()), pa.array(_parities(h, doc, size), pa.binary())],
-                    names=["doc_id", "size", "gsig", "fsig", "prefix", "parity"],
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(size[some].astype(np.int32)), pa.array(gsig.view(np.int64)), pa.array(fsig.view(np.int64)), pa.array(blobs, pa.binary())],
+                    names=["doc_id", "size", "gsig", "fsig", "prefix"],
                 )
 
     return _worded(docs).mapInArrow(run, _DOCS)
 
 
+_PACKED = "bucket long, h binary, doc binary, pos binary, base long, id binary, size binary"
+
+
+def _pack(bucket: np.ndarray, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """A row of _PACKED for each bucket; doc: places in ids and size.
+
+    Only equality within a bucket counts: 32 bits of h do, as two n-grams that look alike only add pairs that are compared in vain.
+    """
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    rows: list[list] = [[] for _ in range(7)]
+    for a, b in zip(starts, [*starts[1:], len(bucket)]):
+        at = order[a:b]
+        mine, local = np.unique(doc[at], return_inverse=True)
+        base = ids[mine].min()
+        for row, x in zip(rows, (bucket[a], h[at].astype(np.uint32).tobytes(), local.astype(np.uint16).tobytes(), pos[at].astype(np.uint16).tobytes(), base, (ids[mine] - base).astype(np.uint64).tobytes(), size[mine].astype(np.uint32).tobytes())):
+            row.append(x)
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=[c.split()[0] for c in _PACKED.split(", ")])
+
+
+def _unpack(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """h, doc, pos, ids and sizes of the postings in rows of _PACKED."""
+    lengths = [len(r[5]) // 8 for r in rows]
+    first = np.cumsum([0, *lengths[:-1]])
+    h = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
+    doc = np.concatenate([np.frombuffer(r[2], np.uint16).astype(np.int64) + b for r, b in zip(rows, first)])
+    pos = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows]).astype(np.int64)
+    ids = np.concatenate([np.frombuffer(r[5], np.uint64).astype(np.int64) + r[4] for r in rows])
+    return h, doc, pos, ids, np.concatenate([np.frombuffer(r[6], np.uint32) for r in rows]).astype(np.int64)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[0] != now and rows:
+                yield rows
+                rows = []
+            now = row[0]
+            rows.append(row)
+    if rows:
+        yield rows
+
+
 def _postings(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Prefixes of groups (gsig, size, prefix) as a row of packed columns for each bucket of n-grams."""
+    """Prefixes of groups (id, size, prefix) as rows of _PACKED, by buckets of n-grams."""
 
-    def pack(sig: list, size: list, prefix: list) -> pa.RecordBatch:
-        sig, size = np.array(sig, np.int64), np.array(size, np.int32)
+    def pack(ids: list, size: list, prefix: list) -> pa.RecordBatch:
         lengths = np.array([len(p) // 8 for p in prefix])
         h = np.frombuffer(b"".join(prefix), np.uint64)
-        doc = np.repeat(np.arange(len(sig)), lengths)
+        doc = np.repeat(np.arange(len(ids)), lengths)
         pos = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        rows: list[list] = [[], [], [], [], [], []]
-        for a, b in zip(starts, [*starts[1:], len(bucket)]):
-            at = order[a:b]
-            mine, local = np.unique(doc[at], return_inverse=True)
-            for row, x in zip(rows, (int(bucket[a]), h[at], local.astype(np.uint32), pos[at].astype(np.uint32), sig[mine], size[mine])):
-                row.append(x if isinstance(x, int) else x.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=_PACKED)
+        # the high bits go with the bucket's least
+        return _pack(bucket, (h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFF), doc, np.minimum(pos, _FAR), np.array(ids, np.int64), np.array(size, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, size, prefix, held = [], [], [], 0
+        ids, size, prefix, held = [], [], [], 0
         for batch in batches:
-            for s, z, p in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                sig.append(s)
+            for i, z, p in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                ids.append(i)
                 size.append(z)
                 prefix.append(p)
                 held += len(p) // 8
-                if held >= CHUNK_WORDS:
-                    yield pack(sig, size, prefix)
-                    sig, size, prefix, held = [], [], [], 0
+                if held >= CHUNK_WORDS or len(ids) >= PACK_DOCS:
+                    yield pack(ids, size, prefix)
+                    ids, size, prefix, held = [], [], [], 0
         if held:
-            yield pack(sig, size, prefix)
+            yield pack(ids, size, prefix)
+
+    return run
+
+
+def _regroup(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings of the n-grams that several groups have, by the least group of each n-gram.
+
+    Near copies have most of their n-grams from one least group: nearly all that two of them share then meets in one
+    bucket, and the pair leaves it once. An n-gram of very many groups goes out by pairs of blocks of them.
+    """
+
+    def regroup(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h, doc, pos, ids, size = _unpack(rows)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        same = h[1:] == h[:-1]
+        if not same.any():
+            return
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        h, at = h[shared], order[shared]
+        doc, pos = doc[at], pos[at]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        lengths = np.diff(np.append(starts, len(h)))
+        hub = np.repeat(np.minimum.reduceat(ids[doc], starts), lengths).view(np.uint64)
+        to = _mix(hub)
+        long = np.repeat(lengths > RUN, lengths)
+        parts = [(to[~long], h[~long], doc[~long], pos[~long])]
+        for a, n in zip(starts[lengths > RUN], lengths[lengths > RUN]):
+            cuts = 1 << int(math.ceil(math.log2(n / RUN)))
+            mine, where = doc[a : a + n], pos[a : a + n]
+            block = (_mix(ids[mine].view(np.uint64) ^ np.uint64(0x632BE59BD9B4E019)) & np.uint64(cuts - 1)).astype(np.int64)
+            for i in range(cuts):
+                for j in range(i, cuts):
+                    here = np.flatnonzero((block == i) | (block == j))
+                    tile = np.full(len(here), (cuts << 40) | (i << 20) | j, np.uint64)
+                    flags = 0 if i == j else _CROSS | np.where(block[here] == j, _SIDE, 0)
+                    parts.append((_mix(to[a] ^ _mix(tile)), (_mix(tile + h[a]) & np.uint64(0xFFFFFFFF)).astype(np.uint32), mine[here], where[here] | flags))
+        to, h, doc, pos = (np.concatenate(x) for x in zip(*parts))
+        # packs of few enough documents
+        for lo in range(0, len(ids), PACK_DOCS):
+            mine = (doc >= lo) & (doc < lo + PACK_DOCS)
+            if mine.any():
+                yield _pack((to[mine] % np.uint64(buckets)).astype(np.int64), h[mine], doc[mine], pos[mine], ids, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches):
+            yield from regroup(rows)
 
     return run
 
 
-_PACKED = ["bucket", "h", "doc", "pos", "sig", "size"]
+_PAIRS = "ga long, gb long, n int, least int, big int"
 
 
 def _candidates(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(ga, gb, n, least): pairs of groups that share n n-grams of their prefixes in a bucket and pass the length and position filters.
+    """_PAIRS: pairs of groups that share n n-grams of their prefixes in a bucket and pass the length and position filters; big: the larger size.
 
     Similar sets pass these filters at each n-gram they share, and share `least` within their prefixes: what they
     share beyond lies after the end of the prefix that ends first, where that set has fewer than threshold * size.
@@ -212,23 +290,13 @@ def _candidates(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     """
 
     def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
-        sizes = [len(r[4]) // 8 for r in rows]
-        base = np.cumsum([0, *sizes[:-1]])
-        doc = np.concatenate([np.frombuffer(r[2], np.uint32).astype(np.int64) + b for r, b in zip(rows, base)])
-        pos = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows]).astype(np.int64)
-        sig = np.concatenate([np.frombuffer(r[4], np.int64) for r in rows])
-        size = np.concatenate([np.frombuffer(r[5], np.int32) for r in rows]).astype(np.int64)
-        order = np.argsort(h)
-        h = h[order]
-        same = h[1:] == h[:-1]
-        if not same.any():
-            return
-        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        at = order[shared]
-        h, doc, pos = h[shared], doc[at], pos[at]
+        h, doc, pos, ids, size = _unpack(rows)
+        # one number for each group, whichever packs it came in
+        ids, first, own = np.unique(ids, return_index=True, return_inverse=True)
+        size, doc = size[first], own[doc]
         order = np.lexsort((size[doc], h))
         h, doc, pos = h[order], doc[order], pos[order]
+        side, cross, pos = pos & _SIDE, (pos & _CROSS) > 0, pos & _FAR
         s = size[doc]
         ends = np.searchsorted(h, h, "right")
         live = np.arange(len(h))
@@ -247,7 +315,7 @@ def _candidates(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             a, b = live, live + step
             need = np.ceil(threshold / (1 + threshold) * (s[a] + s[b]) - EPS)
             most = 1 + np.minimum(pos[a], pos[b]) + np.minimum(s[a] - pos[a], s[b] - pos[b]) - 1
-            ok = (most >= need) & (doc[a] != doc[b])
+            ok = (most >= need) & (doc[a] != doc[b]) & ~(cross[a] & (side[a] == side[b]))
             x, y = doc[a[ok]], doc[b[ok]]
             found.append((np.minimum(x, y) << 32) | np.maximum(x, y))
             times.append(np.ones(len(x), np.int32))
@@ -256,34 +324,24 @@ def _candidates(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 add_up()
                 held = len(found[0])
                 if held > BUCKET // 2:
-                    yield out(found[0], times[0], sig, size)
+                    yield out(found[0], times[0], ids, size)
                     found.clear()
                     times.clear()
                     held = 0
             step += 1
         if found:
             add_up()
-            yield out(found[0], times[0], sig, size)
+            yield out(found[0], times[0], ids, size)
 
-    def out(key: np.ndarray, n: np.ndarray, sig: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    def out(key: np.ndarray, n: np.ndarray, ids: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
         i, j = key >> 32, key & 0xFFFFFFFF
-        differ = sig[i] != sig[j]
-        i, j, n = i[differ], j[differ], n[differ]
-        x, y, larger = sig[i], sig[j], np.maximum(size[i], size[j])
+        larger = np.maximum(size[i], size[j])
         need = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - EPS)
-        least = np.maximum(1, need - np.ceil(threshold * larger - EPS) + 1).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n), pa.array(least)], names=["ga", "gb", "n", "least"])
+        least = np.maximum(1, need - np.ceil(threshold * larger - EPS) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(n), pa.array(least.astype(np.int32)), pa.array(larger.astype(np.int32))], names=["ga", "gb", "n", "least", "big"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[0] != now and rows:
-                    yield from pairs(rows)
-                    rows = []
-                now = row[0]
-                rows.append(row)
-        if rows:
+        for rows in _by_bucket(batches):
             yield from pairs(rows)
 
     return run
@@ -306,136 +364,217 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return _worded(docs).mapInArrow(run, "fsig long, grams binary")
 
 
+class _Tile:
+    """Sets (node, weight, data) and then pairs (a, b) of one tile."""
+
+    def __init__(self):
+        self.nodes, self.weights, self.data, self.a, self.b, self.known = [], [], [], [], [], set()
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs as places of their nodes."""
+        nodes = np.array(self.nodes, np.int64)
+        order = np.argsort(nodes)
+        i, j = (order[np.searchsorted(nodes, np.array(x, np.int64), sorter=order)] for x in (self.a, self.b))
+        return i, j
+
+    def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair the places, how many n-grams both have, and how many either has: rows of bits, a slab of n-grams at a time."""
+        i, j = self.pairs()
+        grams = [np.frombuffer(d, np.uint64) for d in self.data]
+        size = np.array([len(g) for g in grams])
+        value, of = np.unique(np.concatenate(grams), return_inverse=True)
+        owner = np.repeat(np.arange(len(grams)), size)
+        # an n-gram of a single set is in no intersection
+        several = np.bincount(of, minlength=len(value)) > 1
+        kept = several[of]
+        of, owner = (np.cumsum(several) - 1)[of[kept]], owner[kept]
+        order = np.argsort(of, kind="stable")
+        of, owner = of[order], owner[order]
+        both = np.zeros(len(i), np.int64)
+        width = max(64, min(SLAB, (1 << 28) // max(1, len(grams)) // 64 * 64))
+        for lo in range(0, int(several.sum()), width):
+            a, b = np.searchsorted(of, [lo, lo + width])
+            bits = np.zeros((len(grams), width // 8), np.uint8)
+            np.bitwise_or.at(bits, (owner[a:b], (of[a:b] - lo) >> 3), (1 << ((of[a:b] - lo) & 7)).astype(np.uint8))
+            words = bits.view(np.uint64)
+            step = max(1, GULP // words.shape[1])
+            for k in range(0, len(i), step):
+                both[k : k + step] += np.bitwise_count(words[i[k : k + step]] & words[j[k : k + step]]).sum(axis=1, dtype=np.int64)
+        return i, j, both, size[i] + size[j] - both
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[_Tile]:
+    """From rows (tile, kind, a, b, weight, data) in the order of tile and kind, sets before pairs."""
+    now, tile = None, _Tile()
+    for batch in batches:
+        for key, kind, a, b, weight, data in zip(*[c.to_pylist() for c in batch.columns]):
+            if key != now:
+                if tile.a:
+                    yield tile
+                now, tile = key, _Tile()
+            if kind:
+                tile.a.append(a)
+                tile.b.append(b)
+            elif a not in tile.known:  # rows with the same text bring the same set
+                tile.known.add(a)
+                tile.nodes.append(a)
+                tile.weights.append(weight)
+                tile.data.append(data)
+    if tile.a:
+        yield tile
+
+
 def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows (tile, kind, a, b, size, data) in the order of tile and kind, sets before pairs: the pairs that reach the threshold."""
+    """(a, b, jaccard): the pairs of each tile that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets = None, {}
-        for batch in batches:
-            out: list[tuple] = []
-            for tile, kind, a, b, _, data in zip(*[c.to_pylist() for c in batch.columns]):
-                if tile != now:
-                    now, sets = tile, {}
-                if kind == 0:
-                    sets[a] = set(np.frombuffer(data, np.int64).tolist())
-                    continue
-                x, y = sets[a], sets[b]
-                both = len(x & y)
-                union = len(x) + len(y) - both
-                if both >= threshold * union - EPS:
-                    out.append((a, b, both / union))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b", "jaccard"])
+        for tile in _tiles(batches):
+            _, _, both, union = tile.common()
+            ok = both >= threshold * union - EPS
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(tile.a)[ok]), pa.array(np.array(tile.b)[ok]), pa.array(both[ok] / union[ok])], names=["a", "b", "jaccard"])
 
     return run
 
 
-def _rule_out(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """As _verify, with parity bits for data: leaves out pairs whose bits differ more than similar sets can."""
+def _link(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(node, links, root) for each node of a tile with a pair that reaches the threshold: the weights of its partners, and the least node it is linked to over pairs of the tile.
+
+    A row a node, not a pair: what leaves a tile of many near copies grows with them, not with their square.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets = None, {}
-        for batch in batches:
-            out: list[tuple] = []
-            for tile, kind, a, b, size, data in zip(*[c.to_pylist() for c in batch.columns]):
-                if tile != now:
-                    now, sets = tile, {}
-                if kind == 0:
-                    sets[a] = size, np.frombuffer(data, np.uint64)
-                    continue
-                (m, x), (n, y) = sets[a], sets[b]
-                while len(x) > len(y):
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                while len(y) > len(x):
-                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                if int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= (1 - threshold) / (1 + threshold) * (m + n) + EPS:
-                    out.append((a, b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b"])
+        for tile in _tiles(batches):
+            i, j, both, union = tile.common()
+            ok = both >= threshold * union - EPS
+            i, j = i[ok], j[ok]
+            nodes, weight = np.array(tile.nodes, np.int64), np.array(tile.weights, np.int64)
+            links = np.bincount(i, weights=weight[j], minlength=len(nodes)) + np.bincount(j, weights=weight[i], minlength=len(nodes))
+            root = nodes.copy()
+            while True:
+                least = root.copy()
+                np.minimum.at(least, i, root[j])
+                np.minimum.at(least, j, root[i])
+                if (least == root).all():
+                    break
+                root = least
+            some = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], names=["node", "links", "root"])
 
     return run
 
 
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members (doc_id, fsig), fsig being the same for equal sets; pairs (a, b, jaccard) of different fsigs, a < b."""
-    signed = materialize(signatures(docs, commonness(docs, n, bits), n, threshold, bits), "join-signatures")
-    members = signed.select("doc_id", "fsig").distinct()
+def _numbered(docs: DataFrame, n: int, threshold: float, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """signed: signatures with a number `row`; names: (row, doc_id, fsig) of it; nodes (node, gid, size, fsig, n_nodes, weight): the different
+    sets, each as the least row that has it, with their group, as its least node, the group's nodes, and the doc_ids of the set."""
+    signed = signatures(docs, commonness(docs, n, bits), n, threshold, bits)
+    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "join-signatures")
+    nodes = signed.groupBy("gsig", "fsig").agg(F.min("row").alias("node"), F.count_distinct("doc_id").alias("weight"), F.first("size").alias("size"))
+    groups = Window.partitionBy("gsig")
+    nodes = nodes.select(F.min("node").over(groups).alias("gid"), F.count("*").over(groups).alias("n_nodes"), "node", "size", "fsig", "weight")
+    return signed, materialize(signed.select("row", "doc_id", "fsig"), "join-names"), materialize(nodes, "join-nodes")
+
+
+def _candidate_pairs(signed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, big): pairs of nodes that the grouped prefix join can't rule out; big: the larger size."""
     # groups: one row of each stands for all with that prefix and size
-    variants = materialize(signed.groupBy("gsig", "fsig").agg(F.min("doc_id").alias("lead")), "join-variants")
-    leads = variants.groupBy("gsig").agg(F.min("lead").alias("lead"), F.count("*").alias("n"))
-    others = materialize(signed.select("doc_id", "gsig").join(leads.select("gsig", "lead"), "gsig").filter("doc_id <> lead").select("doc_id", "gsig").distinct(), "join-others")
-    groups = signed.join(small(others), ["doc_id", "gsig"], "left_anti").select("gsig", "size", "prefix")
+    groups = signed.select("row", "size", "prefix").join(small(nodes.filter("node = gid").select(F.col("node").alias("row"))), "row", "left_semi")
     total = signed.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET))
-    packed = groups.mapInArrow(_postings(buckets), "bucket long, h binary, doc binary, pos binary, sig binary, size binary")
-    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(threshold), "ga long, gb long, n int, least int")
-    found = found.groupBy("ga", "gb").agg(F.sum("n").alias("n"), F.max("least").alias("least")).filter("n >= least").select("ga", "gb")
-    # members of groups: the different sets that share a prefix, and all across a pair of groups
-    several = small(variants)
-    of = lambda side: several.select(F.col("gsig").alias(f"g{side}"), F.col("fsig").alias(side))
-    across = found.join(of("a"), "ga").join(of("b"), "gb").select("a", "b")
-    within = of("a").join(of("b"), F.col("ga") == F.col("gb")).filter("a < b").select("a", "b")
+    by_gram = groups.mapInArrow(_postings(buckets), _PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    by_hub = by_gram.mapInArrow(_regroup(buckets), _PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = by_hub.mapInArrow(_candidates(threshold), _PAIRS).groupBy("ga", "gb").agg(F.sum("n").alias("n"), F.max("least").alias("least"), F.max("big").alias("big"))
+    found = materialize(found.filter("n >= least").select("ga", "gb", "big"), "join-groups")
+    # members of groups: the different sets that share a prefix, and all across a pair of groups; most groups are one set
+    several = materialize(nodes.filter("n_nodes > 1").select("gid", "node", "size"), "join-several")
+    if several.isEmpty():
+        return found.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "big")
+    few = small(several)
+    of = lambda side: few.select(F.col("gid").alias(f"g{side}"), F.col("node").alias(side))
+    across = found.join(of("a"), "ga", "left").join(of("b"), "gb", "left").select(F.coalesce("a", "ga").alias("a"), F.coalesce("b", "gb").alias("b"), "big")
+    within = several.select(F.col("gid").alias("ga"), F.col("node").alias("a"), F.col("size").alias("big")).join(of("b"), F.col("ga") == F.col("gb")).filter("a < b")
     # a set has one prefix and size: no pair comes twice
-    pairs = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs, "join-candidates")
-    # parity bits are a fraction of the sets' size and leave few pairs to compare in full
-    places = _tiled(pairs)
-    one = variants.select("fsig", F.col("lead").alias("doc_id")).join(places[1].select("fsig"), "fsig", "left_semi")
-    bits_of = signed.select("doc_id", "fsig", "size", F.col("parity").alias("data")).join(small(materialize(one.distinct(), "join-leads")), ["fsig", "doc_id"], "left_semi")
-    likely = materialize(_by_tile(bits_of.dropDuplicates(["fsig"]), *places).mapInArrow(_rule_out(threshold), "a long, b long"), "join-likely")
-    places = _tiled(likely)
-    one = variants.join(places[1].select("fsig"), "fsig", "left_semi").select(F.col("lead").alias("doc_id")).distinct()
-    some = docs.select("doc_id", "text").join(small(materialize(one, "join-leads")), "doc_id", "left_semi")
-    sets = _sets(some, n).select("fsig", F.lit(0).alias("size"), F.col("grams").alias("data"))
-    return members, materialize(_by_tile(sets, *places).mapInArrow(_verify(threshold), "a long, b long, jaccard double"), "join-pairs")
+    return materialize(across.unionByName(within.select("a", "b", "big")), "join-candidates")
+
+
+def _compared(docs: DataFrame, signed: DataFrame, names: DataFrame, nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Rows of tiles (tile, kind, a, b, weight, data), in order, with whole sets for data, of the pairs that may be similar."""
+    pairs = _candidate_pairs(signed, nodes, threshold)
+    discard(signed)
+    tiled, places = _tiled(pairs)
+    leads = nodes.select("node", "fsig", "weight").join(small(places.select("node")), "node", "left_semi")
+    leads = materialize(leads.join(names.select(F.col("row").alias("node"), "doc_id"), "node"), "join-leads")
+    some = docs.join(small(leads.select(F.col("doc_id").alias("__nj_id")).distinct()), F.col("doc_id").cast("long") == F.col("__nj_id"), "left_semi")
+    sets = _sets(some.select("doc_id", "text"), n).join(small(leads), "fsig")
+    return _by_tile(sets.select("node", "weight", F.col("grams").alias("data")), tiled, places)
 
 
 def _tiled(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tile, a, b) and (fsig, tiles). Sets are sent once to each tile: the pairs whose two sides have the same least partners, as members of a cluster of copies have."""
+    """(tile, a, b, big) and (node, tiles) of pairs (a, b, big). Sets are sent once to each tile: the pairs whose two sides have the same least partners, as members of a cluster of copies have."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     hubs = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("hub"))
     hubs = small(materialize(hubs, "join-hubs"))
     tiled = pairs.join(hubs.withColumnRenamed("hub", "ha"), "a").join(hubs.select(F.col("a").alias("b"), F.col("hub").alias("hb")), "b")
-    tiled = tiled.withColumn("tile", F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb"))).select("a", "b", "tile")
-    # a tile of many pairs is cut into squares
-    cuts = tiled.groupBy("tile").agg(F.ceil(F.sqrt(F.count("*")) / TILE).cast("long").alias("cuts")).filter("cuts > 1")
+    tiled = tiled.withColumn("tile", F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb"))).select("a", "b", "big", "tile")
+    # a tile of many pairs, or of much text, is cut into squares
+    sides = (F.approx_count_distinct("a", 0.1) + F.approx_count_distinct("b", 0.1)) * F.avg("big")
+    cuts = tiled.groupBy("tile").agg(F.ceil(F.greatest(F.sqrt(F.count("*")) / TILE, sides / TILE_GRAMS)).cast("long").alias("cuts")).filter("cuts > 1")
     cuts = small(materialize(cuts, "join-cuts"))
     tiled = tiled.join(cuts, "tile", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
     tiled = tiled.withColumn("tile", F.when(F.col("cuts") == 1, F.col("tile")).otherwise(F.xxhash64("tile", F.least(part("a"), part("b")), F.greatest(part("a"), part("b")))))
-    tiled = materialize(tiled.select("tile", "a", "b"), "join-tiles")
-    places = tiled.select("tile", F.col("a").alias("fsig")).unionByName(tiled.select("tile", F.col("b").alias("fsig"))).groupBy("fsig").agg(F.collect_set("tile").alias("tiles"))
+    tiled = materialize(tiled.select("tile", "a", "b", "big"), "join-tiles")
+    places = tiled.select("tile", F.col("a").alias("node")).unionByName(tiled.select("tile", F.col("b").alias("node"))).groupBy("node").agg(F.collect_set("tile").alias("tiles"))
     return tiled, materialize(places, "join-places")
 
 
 def _by_tile(sets: DataFrame, tiled: DataFrame, places: DataFrame) -> DataFrame:
-    """Sets (fsig, size, data) at all their tiles and the tiles' pairs, in order."""
-    sent = sets.join(small(places), "fsig").select(F.explode("tiles").alias("tile"), F.lit(0).alias("kind"), F.col("fsig").alias("a"), F.lit(None).cast("long").alias("b"), "size", "data")
-    rows = sent.unionByName(tiled.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(0).alias("size"), F.lit(None).cast("binary").alias("data")))
+    """Sets (node, weight, data) at all their tiles and the tiles' pairs, in order."""
+    sent = sets.join(small(places), "node").select(F.explode("tiles").alias("tile"), F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "weight", "data")
+    rows = sent.unionByName(tiled.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(0).cast("long").alias("weight"), F.lit(None).cast("binary").alias("data")))
     return rows.repartition("tile").sortWithinPartitions("tile", "kind")
 
 
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = SKETCH_BITS) -> DataFrame:
+    """(doc_a, doc_b, jaccard): the pairs of different sets with at least that Jaccard similarity, each set by the least doc_id that has it; doc_a < doc_b.
+
+    Rows as in join(). A pair of sets of one doc_id isn't listed.
+    """
+    signed, names, nodes = _numbered(docs, n, threshold, bits)
+    pairs = _compared(docs, signed, names, nodes, n, threshold).mapInArrow(_verify(threshold), "a long, b long, jaccard double")
+    leads = names.groupBy("fsig").agg(F.min("doc_id").alias("lead")).join(nodes, "fsig").select("node", "lead")
+    leads = small(materialize(leads, "join-leads"))
+    named = pairs.join(leads.select(F.col("node").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("node").alias("b"), F.col("lead").alias("y")), "b")
+    return named.filter("x <> y").groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+
+
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs whose sets of n-grams have at least that Jaccard similarity.
+    """(doc_id, class_id, links) for each doc_id: the least doc_id of its class, and the number of texts of at least that Jaccard similarity.
 
-    n-grams are of lower-cased runs of letters and digits; a text of fewer than n words is one n-gram. The join is
-    exact (up to 64-bit hashes) whatever the order of n-grams. Texts without a word (null, empty, marks only) and rows
-    without doc_id are in no pair. Several rows of one doc_id are compared each, a pair of doc_ids is given once with
-    its best similarity, and a doc_id is never paired with itself. Equal sets have similarity 1. Texts are read whole. An empty
+    A class holds the documents that are linked directly or over others. n-grams are of lower-cased runs of letters and
+    digits; a text of fewer than n words is one n-gram. The join is exact (up to 64-bit hashes) whatever the order of
+    n-grams: every pair of different sets that may be similar is compared, copies of a set are counted and not listed. Texts
+    without a word (null, empty, marks only) have no links; rows without doc_id are left out. Rows of one doc_id with the
+    same n-grams are one text; its different texts are in one class, their links are summed, links among them included. Texts are read whole. An empty
     table gives no rows.
     """
-    members, pairs = similar_sets(docs, n, threshold, bits)
-    members = materialize(members, "join-members")
-    few = small(members)
-    of = lambda side: few.select(F.col("fsig").alias(side), F.col("doc_id").alias(f"doc_{side}"))
-    across = pairs.join(of("a"), "a").join(of("b"), "b").filter("doc_a <> doc_b").select("doc_a", "doc_b", "jaccard")
-    within = of("a").join(of("b"), F.col("a") == F.col("b")).filter("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
-    every = across.unionByName(within).select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
-    # only a doc_id with several sets can give a pair more than once
-    several = materialize(members.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "join-several")
-    if several.limit(1).count() == 0:
-        return every
-    return every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    signed, names, nodes = _numbered(docs, n, threshold, bits)
+    linked = materialize(_compared(docs, signed, names, nodes, n, threshold).mapInArrow(_link(threshold), "node long, links long, root long"), "join-linked")
+    members = materialize(names.select("doc_id", "fsig").distinct().join(small(nodes.select("fsig", "node", "weight")), "fsig").select("doc_id", "node", "weight"), "join-members")
+    edges = linked.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    several = materialize(members.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("doc_id", "b"), "join-several")
+    if not several.isEmpty():
+        edges = edges.unionByName(members.join(small(several), "doc_id").filter("node > b").select(F.col("node").alias("a"), "b"))
+    roots = small(materialize(components(edges), "join-roots"))
+    links = small(materialize(linked.groupBy("node").agg(F.sum("links").alias("links")), "join-links"))
+    placed = members.join(roots, "node", "left").join(links, "node", "left")
+    placed = placed.select("doc_id", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    placed = materialize(placed.groupBy("doc_id").agg(F.min("root").alias("root"), F.sum("links").alias("links")), "join-placed")
+    # classes of one document are not aggregated
+    shared = placed.filter("links > 0")
+    least = small(materialize(shared.groupBy("root").agg(F.min("doc_id").alias("class_id")), "join-classes"))
+    out = placed.filter("links = 0").select("doc_id", F.col("doc_id").alias("class_id"), "links").unionByName(shared.join(least, "root").select("doc_id", "class_id", "links"))
+    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return ids.join(out, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -460,20 +599,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int = SKETCH_BITS) -> DataFrame:
-    """The rows of docs without near copies: of documents linked by similar pairs, directly or over others, the least doc_id stays.
+    """The rows of docs without near copies: of each class of join() the least doc_id stays.
 
-    Rows of the same doc_id stay or go together. Rows that join() leaves aside stay.
+    Rows of the same doc_id stay or go together. Rows without doc_id and texts without a word stay.
     """
-    members, pairs = similar_sets(docs, n, threshold, bits)
-    members = materialize(members, "join-members")
-    # sets of equal n-grams, and a doc_id with several sets, are linked as well: nodes are the least doc_ids of sets
-    lead = small(materialize(members.groupBy("fsig").agg(F.min("doc_id").alias("lead")), "join-leads"))
-    named = pairs.join(lead.select(F.col("fsig").alias("a"), F.col("lead").alias("la")), "a").join(lead.select(F.col("fsig").alias("b"), F.col("lead").alias("lb")), "b")
-    edges = named.select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    own = members.join(lead, "fsig").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    roots = components(edges.unionByName(own).filter("a <> b"))
-    gone = materialize(roots.filter("node <> root").select(F.col("node").alias("__nj_id")), "join-gone")
-    return docs.join(small(gone), docs["doc_id"].cast("long") == F.col("__nj_id"), "left_anti")
+    gone = join(docs, n, threshold, bits).filter("doc_id <> class_id").select(F.col("doc_id").alias("__nj_id"))
+    return docs.join(small(materialize(gone, "join-gone")), docs["doc_id"].cast("long") == F.col("__nj_id"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -495,4 +626,15 @@ FROM common JOIN sizes x ON doc_a = x.doc_id JOIN sizes y ON doc_b = y.doc_id
 WHERE shared >= {threshold} * (x.size + y.size - shared) - 1e-9"""
 
 
-SQL = pairs_sql("documents")
+def classes_sql(docs: str, n: int = N, threshold: float = THRESHOLD) -> str:
+    return f"""
+WITH RECURSIVE pairs AS MATERIALIZED ({pairs_sql(docs, n, threshold)}),
+edges AS MATERIALIZED (SELECT doc_a AS a, doc_b AS b FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+root AS (SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS links FROM edges GROUP BY a)
+SELECT d.doc_id, coalesce(root, d.doc_id) AS class_id, coalesce(links, 0)::BIGINT AS links
+FROM (SELECT DISTINCT doc_id FROM {docs} WHERE doc_id IS NOT NULL) d LEFT JOIN root ON d.doc_id = root.a LEFT JOIN links ON d.doc_id = links.a"""
+
+
+SQL = classes_sql("documents")

@@ -230,8 +230,34 @@ def gram_sets(texts, n=3):
     return out
 
 
-@pytest.mark.parametrize("bits", [4, 22])
-def test_join_brute_force(spark, bits):
+def classes(pairs, nodes):
+    root = {x: x for x in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {x: find(x) for x in nodes}
+
+
+def brute_pairs(sets):
+    out = {}
+    for a in sets:
+        for b in sets:
+            if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= jaccard_join.THRESHOLD - 1e-9:
+                out[a, b] = round(j, 6)
+    return out
+
+
+@pytest.mark.parametrize(("bits", "run", "tile"), [(4, 4096, 700), (22, 4, 2)])
+def test_join_brute_force(spark, monkeypatch, bits, run, tile):
+    monkeypatch.setattr(jaccard_join, "RUN", run)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "SLAB", 64 if tile == 2 else 1 << 14)
     rng = random.Random(1)
     base = [[rng.choice("abcdefgh") * 2 for _ in range(rng.randint(1, 40))] for _ in range(12)]
     texts = []
@@ -241,43 +267,49 @@ def test_join_brute_force(spark, bits):
             w[rng.randrange(len(w))] = rng.choice("abcdefgh")
         texts.append(" ".join(w))
     sets = gram_sets(enumerate(texts))
-    want = {}
-    for a in sets:
-        for b in sets:
-            if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= jaccard_join.THRESHOLD - 1e-9:
-                want[a, b] = round(j, 6)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.join(docs(spark, texts), bits=bits).collect()}
-    assert got == pytest.approx(want)
+    want = brute_pairs(sets)
+    root = classes(want, range(len(texts)))
+    links = Counter(x for p in want for x in p)
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard_join.join(docs(spark, texts), bits=bits).collect()}
+    assert got == {i: (root[i], links[i]) for i in range(len(texts))}
+    # pairs of different sets, each by its least document
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    some = {p: j for p, j in want.items() if set(p) <= set(first.values())}
+    found = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.similar_pairs(docs(spark, texts), bits=bits).collect()}
+    assert found == pytest.approx(some)
+
+
+def test_join_of_a_large_cluster(spark, monkeypatch):
+    """Hundreds of near copies and copies of one text: every link counts, and n-grams of many documents are cut into blocks."""
+    monkeypatch.setattr(jaccard_join, "RUN", 16)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    texts = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(0 if i % 5 == 0 else rng.randint(1, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"y{rng.randrange(10**6)}" for _ in range(50)) for _ in range(20)]
+    want = brute_pairs(gram_sets(enumerate(texts)))
+    root, links = classes(want, range(len(texts))), Counter(x for p in want for x in p)
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard_join.join(docs(spark, texts)).collect()}
+    assert got == {i: (root[i], links[i]) for i in range(len(texts))}
+    assert all(got[i] == (i, 0) for i in range(260, 280))
 
 
-def test_keep_one_takes_the_least_of_each_component(spark):
-    texts = [r.text for r in table(spark, SF, "documents").orderBy("doc_id").collect()]
-    d = docs(spark, texts)
-    root = list(range(len(texts)))
+def test_join_of_several_texts_of_one_id(spark):
+    d = docs(spark, [(1, "a b c d", "en", "s", 7), (1, "e f g h", "en", "s", 7), (2, "a b c d", "en", "s", 7), (3, "e f g h", "en", "s", 7), (3, "e f g h", "en", "s", 7), (4, "z", "en", "s", 1)])
+    assert {r.doc_id: (r.class_id, r.links) for r in jaccard_join.join(d).collect()} == {1: (1, 2), 2: (1, 1), 3: (1, 1), 4: (4, 0)}
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
 
-    for r in jaccard_join.join(d).collect():
-        a, b = sorted((find(r.doc_a), find(r.doc_b)))
-        root[b] = a
-    assert sorted(r.doc_id for r in jaccard_join.keep_one(d).collect()) == [i for i in range(len(texts)) if find(i) == i]
-
-
-def test_parities_never_rule_out_similar_sets():
-    rng = np.random.default_rng(3)
-    for _ in range(100):
-        h = np.unique(rng.integers(0, 2**63, rng.integers(3, 400)).astype(np.uint64))
-        a, b = h[: int(len(h) * 0.9)], h[int(len(h) * 0.1) :]
-        (x,), (y,) = (jaccard_join._parities(s, np.zeros(len(s), np.int64), np.array([len(s)])) for s in (a, b))
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        while len(x) > len(y):
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        while len(y) > len(x):
-            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+def test_keep_one_takes_the_least_of_each_class(spark):
+    texts = [r.text for r in table(spark, SF, "documents").orderBy("doc_id").collect()]
+    d = docs(spark, texts)
+    root = classes(brute_pairs(gram_sets(enumerate(texts))), range(len(texts)))
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(d).collect()) == [i for i in range(len(texts)) if root[i] == i]
 
 
 def test_components(spark):
