@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import discard, materialize, table, text_batches
+from leafmill.llm.common import materialize, small, table, text_batches
 
 #: Folder of the public vocabularies (a parameter everywhere) and the files read from it.
 TOKENIZERS = "/opt/tokenizers"
@@ -201,12 +201,14 @@ def _values() -> dict[str, Column]:
 def bands(measured: DataFrame) -> DataFrame:
     """A row per group (and one, grp null, for all texts) with the median and spread of each value, over all rows."""
     values = measured.select("grp", *[v.alias(m) for m, v in _values().items()])
-    both = values.unionByName(values.withColumn("grp", F.lit(None).cast("string")))
     # exact enough at any size: the sketch's rank error is at most 1 / 10,000
-    mid = both.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(m, 0.5, 10_000).alias(f"{m}_mid") for m in METRICS])
-    off = both.withColumnRenamed("grp", "g").join(F.broadcast(mid), F.col("g").eqNullSafe(F.col("grp")))
-    spread = off.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(m) - F.col(f"{m}_mid")), 0.5, 10_000).alias(f"{m}_mad") for m in METRICS])
-    return mid.withColumnRenamed("grp", "grp0").join(spread, F.col("grp0").eqNullSafe(F.col("grp"))).drop("grp0")
+    middles = [F.count("*").alias("n"), *[F.percentile_approx(m, 0.5, 10_000).alias(f"{m}_mid") for m in METRICS]]
+    spreads = [F.percentile_approx(F.abs(F.col(m) - F.col(f"{m}_mid")), 0.5, 10_000).alias(f"{m}_mad") for m in METRICS]
+    mid = materialize(values.groupBy("grp").agg(*middles), "fertility-middles")
+    own = values.join(small(mid, MAX_BROADCAST_GROUPS), "grp").groupBy("grp").agg(*spreads)
+    middle = materialize(values.agg(*middles), "fertility-middles")
+    every = values.crossJoin(F.broadcast(middle)).agg(*spreads)
+    return mid.join(own, "grp").unionByName(middle.withColumn("grp", F.lit(None).cast("string")).crossJoin(every))
 
 
 #: Groups whose bands are broadcast; with more, Spark joins them by group.

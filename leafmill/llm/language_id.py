@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import table
+from leafmill.llm.common import materialize, table
 
 #: n-grams of bytes of the lower-cased text, of all these lengths at once, hashed into FEATURES presence bits.
 LENGTHS = (1, 2, 3)
@@ -17,6 +17,8 @@ FEATURES = 1 << 14
 #: Bound of the training sample: labelled texts of each language; the first of them are the landmarks.
 PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 32
+#: Bound of the languages that are told apart.
+LANGUAGES = 200
 RIDGE = 1e-2
 #: Texts scored in one matrix product, and the bytes that are hashed at once.
 BATCH = 256
@@ -81,13 +83,19 @@ class Model:
         return kernel(presence(texts), self.landmarks) @ self.weights + self.bias
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE, seed: int = SEED) -> Model | None:
-    """Fit on at most per_language whole texts of each language, chosen by a hash of doc_id and text."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE, seed: int = SEED, languages: int = LANGUAGES) -> Model | None:
+    """Fit on at most per_language whole texts of each of the `languages` commonest languages, chosen by a hash of doc_id and text.
+
+    Rows of equal language, doc_id and text count once.
+    """
     labelled = docs.filter((F.coalesce("text", F.lit("")) != "") & (F.coalesce("lang", F.lit("")) != ""))
+    labelled = labelled.select("lang", "text", F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    common = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).select("lang")
+    # one small row for each text goes to its language; only the first of each task do
     order = Window.partitionBy("lang").orderBy("h", "t")
-    ids = labelled.select("lang", F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.xxhash64("text").alias("t"))
-    ids = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language)
-    chosen = labelled.select("lang", "text", F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.xxhash64("text").alias("t")).join(ids.drop("lang"), ["h", "t"])
+    keys = labelled.select("lang", "h", "t").join(F.broadcast(common), "lang").withColumn("nth", F.dense_rank().over(order)).filter(F.col("nth") <= per_language).distinct()
+    keys = materialize(keys, "language-keys")  # at most languages * per_language rows
+    chosen = labelled.join(F.broadcast(keys), ["lang", "h", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +104,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
                 bits = np.packbits(presence(part.column(1).to_pylist()).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b in bits], pa.binary()), part.column(2)], names=["lang", "bits", "nth"])
 
-    rows = chosen.select("lang", "text", "nth").mapInArrow(run, "lang string, bits binary, nth int").collect()
+    bits = chosen.select("lang", "text", "nth").mapInArrow(run, "lang string, bits binary, nth int")
+    rows = bits.groupBy("lang", "nth").agg(F.first("bits").alias("bits")).collect()
     rows.sort(key=lambda r: (r.lang, r.nth))
     if not rows:
         return None

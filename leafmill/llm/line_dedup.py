@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import materialize, table
 
 WINDOW = 3
+#: Numbers of lines to remove, and as much again for each text, up to which the list is broadcast.
+MAX_BROADCAST_LINES = 4_000_000
 
 
 def _lines() -> Column:
@@ -47,13 +49,17 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, drop_emptied: bool = Fals
     stand before all others. Rows with the same doc_id and text are treated alike: they count as one document. An empty table gives no rows.
     """
     cuts = repeated_windows(docs, window).select(F.col("doc_id").alias("__ld_id"), F.col("th").alias("__ld_th"), F.col("cut").alias("__ld_cut"))
-    cuts = materialize(cuts, "line-cuts").hint("shuffle_hash")
+    cuts = materialize(cuts, "line-cuts")
+    # few and short enough lists are broadcast, and no text is moved; beyond that both sides meet by key
+    if (cuts.agg(F.sum(F.size("__ld_cut") + 4)).first()[0] or 0) <= MAX_BROADCAST_LINES:
+        cuts = F.broadcast(cuts)
     same = docs["doc_id"].eqNullSafe(F.col("__ld_id")) & (F.xxhash64(docs["text"]) == F.col("__ld_th"))
-    joined = docs.join(cuts, same, "left")
-    left = F.filter(_lines(), lambda _, i: ~F.array_contains("__ld_cut", i))
+    joined = docs.join(cuts, same, "left").withColumn("__ld_lines", F.when(F.col("__ld_cut").isNotNull(), _lines()))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), "__ld_cut")
+    joined = joined.withColumn("__ld_left", F.when(F.col("__ld_cut").isNotNull(), left))
     if drop_emptied:
-        joined = joined.filter(F.col("__ld_cut").isNull() | (F.size("__ld_cut") < F.size(_lines())))
-    text = F.when(F.col("__ld_cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+        joined = joined.filter(F.col("__ld_cut").isNull() | (F.size("__ld_left") > 0))
+    text = F.when(F.col("__ld_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__ld_left", lambda i: F.get("__ld_lines", i)), "\n"))
     joined = joined.withColumn("__ld_text", text)
     kinds = dict(docs.dtypes)
     out = {"text": F.col("__ld_text")}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import table, text_batches
 
 BITS = 18
-#: Bound of the training sample: labelled rows, chosen by a hash of doc_id and text; texts are read whole.
+#: Bound of the training sample: labelled documents, chosen by a hash of doc_id; texts are read whole.
 TRAIN_ROWS = 20_000
 EPOCHS = 40
 RATE = 0.05
@@ -156,12 +156,13 @@ def train(ids: np.ndarray, values: np.ndarray, ends: np.ndarray, y: np.ndarray,
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """ids, values, offsets and grades of the training rows. Texts are hashed in the cluster; the driver gets feature ids.
 
-    Rated rows without a text, and ratings without a document, are left out. A doc_id rated more than once counts with its lowest grade.
+    Rated rows without a text, and ratings without a document, are left out. A doc_id rated more than once counts with its lowest grade,
+    one of several texts with that of the least hash: no more than `rows` in all, in the order of doc_id.
     """
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade().alias("grade")).filter("grade is not null and doc_id is not null")
     rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
-    some = docs.select(F.col("doc_id").cast("long"), "text").filter(F.coalesce("text", F.lit("")) != "").join(F.broadcast(chosen), "doc_id")
+    some = docs.select(F.col("doc_id").cast("long"), "text").filter(F.coalesce("text", F.lit("")) != "").join(F.broadcast(chosen), "doc_id")  # at most `rows` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -170,9 +171,11 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int
                 part = batch.slice(lo, CHUNK)
                 ids, values, ends = features.rows(part.column(1).to_pylist())
                 cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), cut(ids.astype(np.int32)), cut(values)], names=["doc_id", "grade", "ids", "values"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), cut(ids.astype(np.int32)), cut(values)], names=["doc_id", "grade", "th", "ids", "values"])
 
-    got = some.select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, ids binary, values binary").toArrow().sort_by("doc_id")
+    rows_ = some.select("doc_id", "text", "grade", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, grade int, th long, ids binary, values binary")
+    one = rows_.groupBy("doc_id").agg(F.min(F.struct("th", "grade", "ids", "values")).alias("r"))
+    got = one.select("doc_id", "r.grade", "r.ids", "r.values").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
     blobs = got.column("ids").to_pylist()

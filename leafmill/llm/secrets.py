@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+import string
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +18,16 @@ from leafmill.llm.common import table, text_batches
 #: A candidate is a run of at least WINDOW of these characters.
 ALPHABET = r"A-Za-z0-9+/=_\-"
 WINDOW = 20
+#: Kinds of characters, each with a mark.
+MARKS = str.maketrans({c: m for m, cs in (("0", string.digits), ("A", string.ascii_uppercase), ("a", string.ascii_lowercase), ("+", "+/=_-")) for c in cs})
 #: Character classes with the window entropy, in bits a character, from which on a run is a finding. A class
-#: covers the runs of its characters within a candidate; `needs` must match somewhere in such a run.
-CLASSES: tuple[tuple[str, str, float, str], ...] = (
-    ("hex", r"[0-9]*[a-f][0-9a-f]*|[0-9]*[A-F][0-9A-F]*", 3.0, r"[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]"),
-    ("alnum", r"[A-Za-z0-9]+", 3.7, r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"),
-    ("onecase", r"[0-9]*[a-z][0-9a-z]*|[0-9]*[A-Z][0-9A-Z]*", 3.6, r"(?=.*[A-Za-z])(?:.*[0-9]){3}"),
-    ("base64", r"[A-Za-z0-9+/=_\-]+", 3.9, r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])(?=.*[+/=_\-])"),
+#: covers the runs of its characters within a candidate. Of each group of marks a run needs so many characters. Patterns
+#: must take time in proportion to the text: digits before a letter are tried at their first one only.
+CLASSES: tuple[tuple[str, str, float, tuple[tuple[str, int], ...]], ...] = (
+    ("hex", r"(?:(?<![0-9])[0-9]++)?[a-f][0-9a-f]*|(?:(?<![0-9])[0-9]++)?[A-F][0-9A-F]*", 3.0, (("0", 1), ("Aa", 1))),
+    ("alnum", r"[A-Za-z0-9]+", 3.7, (("0", 1), ("A", 1), ("a", 1))),
+    ("onecase", r"(?:(?<![0-9])[0-9]++)?[a-z][0-9a-z]*|(?:(?<![0-9])[0-9]++)?[A-Z][0-9A-Z]*", 3.6, (("0", 3), ("Aa", 1))),
+    ("base64", r"[A-Za-z0-9+/=_\-]+", 3.9, (("0", 1), ("A", 1), ("a", 1), ("+", 1))),
 )
 #: A finding is suppressed if its text, or what stands just before it, matches one of these.
 ALLOWED_TEXT = (
@@ -55,7 +61,7 @@ def window_entropy(run: str, window: int, terms: list[float]) -> float:
     return most / window
 
 
-def findings(text: str, window: int = WINDOW, classes: tuple[tuple[str, str, float, str], ...] = CLASSES) -> list[tuple[int, int, str, float, str]]:
+def findings(text: str, window: int = WINDOW, classes: tuple[tuple[str, str, float, tuple[tuple[str, int], ...]], ...] = CLASSES) -> list[tuple[int, int, str, float, str]]:
     """(start, length, class, entropy, text) of each finding of one text; brute-force tests call it too."""
     return list(_scanner(window, classes, ALLOWED_TEXT, ALLOWED_BEFORE)(text))
 
@@ -63,36 +69,51 @@ def findings(text: str, window: int = WINDOW, classes: tuple[tuple[str, str, flo
 def _scanner(window, classes, allowed_text, allowed_before):
     terms = [0.0] + [n * math.log2(n) for n in range(1, window + 2)]
     candidate = re.compile(f"[{ALPHABET}]{{{window},}}")
-    compiled = [(name, re.compile(run), least, re.compile(needs)) for name, run, least, needs in classes]
+    compiled = [(name, re.compile(run), least, needs) for name, run, least, needs in classes]
     quiet = [re.compile(x) for x in allowed_text]
     before = [re.compile(x) for x in allowed_before]
 
     def scan(text: str) -> Iterator[tuple[int, int, str, float, str]]:
         for c in candidate.finditer(text):
-            done: list[tuple[int, int]] = []
+            whole = c.group()
+            allowed = None
+            # findings of earlier classes by their start, and the furthest end of any up to there
+            starts: list[int] = []
+            ends: list[int] = []
             for name, runs, least, needs in compiled:
-                for r in runs.finditer(c.group()):
-                    if r.end() - r.start() < window or not needs.search(r.group()):
+                own: list[tuple[int, int]] = []
+                for r in runs.finditer(whole):
+                    if r.end() - r.start() < window:
+                        continue
+                    kinds = r.group().translate(MARKS)
+                    if any(sum(kinds.count(m) for m in marks) < n for marks, n in needs):
                         continue
                     lo, hi = c.start() + r.start(), c.start() + r.end()
-                    if any(a <= lo and hi <= b for a, b in done):
+                    k = bisect_right(starts, lo)
+                    if k and ends[k - 1] >= hi:
                         continue  # an earlier, narrower class has it
                     bits = window_entropy(r.group(), window, terms)
                     if bits < least:
                         continue
-                    if any(q.fullmatch(r.group()) or q.fullmatch(c.group()) for q in quiet):
+                    if allowed is None:
+                        allowed = any(q.fullmatch(whole) for q in quiet)
+                    if allowed or any(q.fullmatch(r.group()) for q in quiet):
                         continue
                     head = text[max(0, lo - BEFORE) : lo]
                     if any(b.search(head) for b in before):
                         continue
-                    done.append((lo, hi))
+                    own.append((lo, hi))
                     yield lo, hi - lo, name, bits, r.group()
+                if own:
+                    both = sorted([*zip(starts, ends), *own])
+                    starts = [a for a, _ in both]
+                    ends = list(accumulate((b for _, b in both), max))
 
     return scan
 
 
 def scan_secrets(
-    docs: DataFrame, window: int = WINDOW, classes: tuple[tuple[str, str, float, str], ...] = CLASSES,
+    docs: DataFrame, window: int = WINDOW, classes: tuple[tuple[str, str, float, tuple[tuple[str, int], ...]], ...] = CLASSES,
     allowed_text: tuple[str, ...] = ALLOWED_TEXT, allowed_before: tuple[str, ...] = ALLOWED_BEFORE,
 ) -> DataFrame:
     """(doc_id, start, length, class, entropy, secret), a row per finding; start counts characters from 0.

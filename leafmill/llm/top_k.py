@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import list_values, materialize, table
@@ -61,8 +61,9 @@ def _blocks(vectors: DataFrame, block: int) -> DataFrame:
     return vectors.mapInArrow(run, _BLOCKS)
 
 
-def _pairs(blocks: DataFrame, state: DataFrame) -> DataFrame:
-    q = blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")).join(state, "q_block")
+def _pairs(asked: DataFrame, blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """Each block of queries with each block of the corpus."""
+    q = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")).join(state, "q_block")
     c = blocks.select(F.col("ids").alias("c_ids"), F.col("rows").alias("c_rows"))
     return q.crossJoin(c)
 
@@ -160,36 +161,41 @@ def _collect(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = K, key: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, neighbor_id, score): for every row of vectors the k others of the highest cosine.
+def nearest(vectors: DataFrame, k: int = K, key: str = "vec_id", column: str = "embedding", block: int = BLOCK, queries: Column | None = None) -> DataFrame:
+    """(query_id, rank, neighbor_id, score): for every row of vectors (those for which `queries` is true) the k others of the highest cosine.
 
-    Exact: each round scores all pairs, counts each query's scores in BINS bins and adds the counts over
+    Exact: each round scores all queries against all rows, block by block, counts each query's scores in BINS bins and adds the counts over
     all blocks; the bin that holds the kth score is cut into BINS again. When few rows are left from that bin up, a
     last pass keeps just those, and they are ranked by score (highest first) and then id (lowest first).
 
     Scores are cosines rounded to 1 / STEPS. Rows with a null id or a null vector, or with a null or a
     number that is not finite in it, take no part; nor do vectors of another length than the commonest (the least of equally common ones). A zero vector has cosine 0 to all.
-    Of several rows with one id the least vector in array order counts. With fewer than k others all are
-    returned. An empty table gives no rows.
+    Of several rows with one id the least vector in array order counts, and the id is a query if any of its rows is. With fewer than k others all are
+    returned. An empty table, or one without queries, gives no rows.
     """
     empty = "query_id long, rank int, neighbor_id long, score double"
-    vectors = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+    chosen = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    vectors = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), chosen.alias("asked"))
     good = vectors.filter(F.col("id").isNotNull() & (F.size("v") > 0)).filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
     if lengths is None:
         return vectors.sparkSession.createDataFrame([], empty)
-    one = good.filter(F.size("v") == lengths["n"]).groupBy("id").agg(F.min("v").alias("v"))
+    one = materialize(good.filter(F.size("v") == lengths["n"]).groupBy("id").agg(F.min("v").alias("v"), F.max("asked").alias("asked")), "topk-vectors")
     # a file per block: pairs of blocks then spread over many tasks
-    blocks = materialize(_blocks(one, block), "topk-blocks")
+    blocks = materialize(_blocks(one.select("id", "v"), block), "topk-blocks")
     blocks = materialize(blocks.repartition(max(1, blocks.count()), "block"), "topk-blocks")
-    state = materialize(_start(blocks), "topk-state")
+    asked = blocks
+    if queries is not None:
+        some = one.filter("asked").select("id", "v")
+        asked = materialize(_blocks(some.repartition(max(1, -(-some.count() // block))), block), "topk-queries")
+    state = materialize(_start(asked), "topk-state")
     while True:
-        counts = _pairs(blocks, state).mapInArrow(_count, "q_block long, counts binary, low binary, above binary, width int")
+        counts = _pairs(asked, blocks, state).mapInArrow(_count, "q_block long, counts binary, low binary, above binary, width int")
         cut = counts.repartition("q_block").sortWithinPartitions("q_block").mapInArrow(_refine(k), _STATE)
         state = materialize(cut, "topk-state")
-        if not state.filter("open").limit(1).count():
+        if state.filter("open").isEmpty():
             break
-    found = _pairs(blocks, state).mapInArrow(_collect(k), "query_id long, neighbor_id long, score int")
+    found = _pairs(asked, blocks, state).mapInArrow(_collect(k), "query_id long, neighbor_id long, score int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "neighbor_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", (F.col("score") / STEPS).alias("score"))
 
@@ -210,7 +216,8 @@ def _start(blocks: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"))
+    """The vectors whose id is divisible by 50, against all."""
+    return nearest(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0)
 
 
 SQL = f"""
@@ -218,6 +225,6 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS score
-  FROM u a, u b WHERE a.vec_id <> b.vec_id),
+  FROM u a, u b WHERE a.vec_id <> b.vec_id AND a.vec_id % 50 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS rank, neighbor_id, score FROM s)
 SELECT query_id, rank::INTEGER AS rank, neighbor_id, score FROM r WHERE rank <= {K}"""

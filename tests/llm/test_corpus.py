@@ -477,6 +477,14 @@ def test_top_k_odd_length_loses_only_itself(spark):
     assert {r.query_id for r in got} == {0, 1, 2, 3} and len(got) == 8 and 9 not in {r.neighbor_id for r in got}
 
 
+def test_top_k_of_chosen_queries(spark):
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(int(i), [float(x) for x in rng.normal(size=4)]) for i in range(200)], "vec_id long, embedding array<double>")
+    every = sorted(tuple(r) for r in top_k.nearest(v, k=5, block=32).collect() if r.query_id % 50 == 0)
+    assert sorted(tuple(r) for r in top_k.nearest(v, k=5, block=32, queries=F.col("vec_id") % 50 == 0).collect()) == every and len(every) == 20
+    assert top_k.nearest(v, queries=F.col("vec_id") < 0).count() == 0
+
+
 # 10
 
 
@@ -485,7 +493,7 @@ def test_lm_brute_force(spark):
     corpus = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, ""]
     texts = [" ".join(rng.choice("abcdz") for _ in range(rng.randint(0, 12))) for _ in range(20)] + [None]
     tokens = [lm_scoring.tokens(t) for t in corpus]
-    total = sum(map(len, tokens))
+    total, vocabulary = sum(map(len, tokens)), len({x for t in tokens for x in t})
 
     def count(gram):
         k = len(gram)
@@ -505,7 +513,7 @@ def test_lm_brute_force(spark):
             w, log_prob, lengths = lm_scoring.tokens(t), 0.0, []
             for k, x in enumerate(w):
                 s = next(s for s in range(k + 1) if s == k or count(w[s:k]))
-                u = (count([x]) + 1) / (total + lm_scoring.VOCABULARY)
+                u = (count([x]) + 1) / (total + vocabulary + 1)
                 log_prob += math.log((count(w[s : k + 1]) + lm_scoring.ALPHA * u) / (starts(w[s:k]) + lm_scoring.ALPHA))
                 lengths.append(k - s)
             assert got[i].n_tokens == len(w) and got[i].log_prob == pytest.approx(log_prob, abs=1e-5), (shard, i, t)
@@ -537,6 +545,7 @@ def test_lm_scores_each_document_by_the_others(spark, shard, block, deep):
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(20)] + [None, "", "q r s t q r s t q r s t u", "only here"]
     texts += [texts[3], "x " + " ".join("abcdabcdab") + " y", "z " + " ".join("abcdabcdab")]
     tokens = [lm_scoring.tokens(t) for t in texts]
+    vocabulary = len({x for t in tokens for x in t})
     kept = lm_scoring.SHARD_TOKENS, lm_scoring.PASS_TOKENS, lm_scoring.DEEP
     lm_scoring.SHARD_TOKENS, lm_scoring.PASS_TOKENS, lm_scoring.DEEP = shard, block, deep
     try:
@@ -554,7 +563,7 @@ def test_lm_scores_each_document_by_the_others(spark, shard, block, deep):
         log_prob, lengths = 0.0, []
         for k, x in enumerate(w):
             s = next(s for s in range(k + 1) if s == k or count(w[s:k]))
-            u = (count([x]) + 1) / (total + lm_scoring.VOCABULARY)
+            u = (count([x]) + 1) / (total + vocabulary + 1)
             log_prob += math.log((count(w[s : k + 1]) + lm_scoring.ALPHA * u) / (count(w[s:k]) + lm_scoring.ALPHA))
             lengths.append(k - s)
         assert got[i].n_tokens == len(w) and got[i].log_prob == pytest.approx(log_prob, abs=1e-5), (i, w)
@@ -562,11 +571,30 @@ def test_lm_scores_each_document_by_the_others(spark, shard, block, deep):
             assert got[i].mean_match == pytest.approx(sum(lengths) / len(w), abs=1e-6) and got[i].longest_match == max(lengths)
 
 
-def test_lm_query_scores_every_document(spark):
+def test_lm_rows_of_one_key_and_text_are_one_document(spark):
+    d = docs(spark, [(1, "a b c a b", "en", "s", 9), (1, "a b c a b", "en", "s", 9), (2, "a b c a b", "en", "s", 9), (None, "x y", "en", "s", 3), (None, "x y", "en", "s", 3)])
+    got = lm_scoring.score(d, None, key="doc_id").collect()
+    assert sorted((r.doc_id or 0, r.longest_match) for r in got) == [(0, 0), (0, 0), (1, 4), (1, 4), (2, 4)]
+    one = lm_scoring.score(d, None, key="doc_id", queries=F.col("doc_id") == 2).collect()
+    assert [(r.doc_id, r.n_tokens, r.log_prob) for r in one] == [(r.doc_id, r.n_tokens, r.log_prob) for r in got if r.doc_id == 2]
+
+
+def test_lm_counts_are_added_up_within_a_task_or_after_it(spark, monkeypatch):
+    d = table(spark, SF, "documents")
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 9000)
+    monkeypatch.setattr(lm_scoring, "PASS_TOKENS", 700)
+    got = []
+    for room in (0, 1500, 10**9):
+        monkeypatch.setattr(lm_scoring, "MERGED_TOKENS", room)
+        got.append(rows(["a"], [[tuple(r)] for r in lm_scoring.score(d, None, key="doc_id", queries=F.col("doc_id") % 10 == 0).collect()]))
+    assert got[0] == got[1] == got[2] and len(got[0]) == d.filter("doc_id % 10 = 0").count()
+
+
+def test_lm_query_scores_every_fiftieth_document_by_all(spark):
     d = table(spark, SF, "documents")
     got = queries.QUERIES["op10_lm_scoring"](spark, SF).collect()
-    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in d.collect())
-    assert sum(r.n_tokens for r in got) == sum(len(lm_scoring.tokens(r.text)) for r in d.collect())
+    want = {r.doc_id: len(lm_scoring.tokens(r.text)) for r in d.collect() if r.doc_id % 50 == 0}
+    assert {r.doc_id: r.n_tokens for r in got} == want
 
 
 # pipeline
