@@ -22,17 +22,17 @@ SKETCH_BITS = 22
 #: Counters that travel together.
 SKETCH_CHUNK = 1 << 16
 #: Documents and words that are worked on at once in a task.
-CHUNK_DOCS, CHUNK_WORDS = 512, 250_000
+CHUNK_DOCS, CHUNK_WORDS = 512, 150_000
 #: Prefix n-grams of one bucket, which one task joins at once.
-BUCKET = 1_000_000
+BUCKET = 600_000
 #: Documents that share an n-gram and are compared at once; more of them are cut into blocks, and blocks into pairs of blocks.
 RUN = 4096
 #: Documents of one pack of postings.
 PACK_DOCS = 60_000
 #: Side of the square of pairs, and n-grams of the sets, of one tile that is verified at once.
-TILE, TILE_GRAMS = 700, 4_000_000
+TILE, TILE_GRAMS = 700, 2_000_000
 #: n-grams whose bits are compared at once, and words of bits.
-SLAB, GULP = 1 << 14, 1 << 21
+SLAB, GULP = 1 << 14, 1 << 19
 EPS = 1e-9
 
 _DOCS = "doc_id long, size int, gsig long, fsig long, prefix binary"
@@ -88,7 +88,8 @@ def commonness(docs: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> np.ndarr
         for batch in batches:
             for _, _, values, offsets in _chunks(batch):
                 h, _ = grams(values, offsets, n)
-                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                at, times = np.unique(h >> np.uint64(64 - bits), return_counts=True)
+                total[at.astype(np.int64)] += times.astype(np.uint32)
         size = min(SKETCH_CHUNK, 1 << bits)
         parts = [total[lo : lo + size] for lo in range(0, 1 << bits, size)]
         # counts are small: bytes of equal weight next to each other compress well
@@ -509,12 +510,16 @@ def _compared(docs: DataFrame, signed: DataFrame, names: DataFrame, nodes: DataF
 
 
 def _tiled(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tile, a, b, big) and (node, tiles) of pairs (a, b, big). Sets are sent once to each tile: the pairs whose two sides have the same least partners, as members of a cluster of copies have."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hubs = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("hub"))
-    hubs = small(materialize(hubs, "join-hubs"))
-    tiled = pairs.join(hubs.withColumnRenamed("hub", "ha"), "a").join(hubs.select(F.col("a").alias("b"), F.col("hub").alias("hb")), "b")
-    tiled = tiled.withColumn("tile", F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb"))).select("a", "b", "big", "tile")
+    """(tile, a, b, big) and (node, tiles) of pairs (a, b, big). Sets are sent once to each tile: the pairs whose two sides have the same labels.
+
+    A node's label is the least node within two steps, for a cluster of copies mostly the same for all.
+    """
+    least = lambda p: small(materialize(p.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "join-labels"))
+    first = least(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    joined = lambda labels: pairs.join(labels.select("a", F.col("label").alias("la")), "a").join(labels.select(F.col("a").alias("b"), F.col("label").alias("lb")), "b")
+    seen = joined(first).withColumn("m", F.least("la", "lb"))
+    labels = least(seen.select("a", F.col("m").alias("b")).unionByName(seen.select(F.col("b").alias("a"), F.col("m").alias("b"))))
+    tiled = joined(labels).withColumn("tile", F.xxhash64(F.least("la", "lb"), F.greatest("la", "lb"))).select("a", "b", "big", "tile")
     # a tile of many pairs, or of much text, is cut into squares
     sides = (F.approx_count_distinct("a", 0.1) + F.approx_count_distinct("b", 0.1)) * F.avg("big")
     cuts = tiled.groupBy("tile").agg(F.ceil(F.greatest(F.sqrt(F.count("*")) / TILE, sides / TILE_GRAMS)).cast("long").alias("cuts")).filter("cuts > 1")
@@ -577,8 +582,33 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int =
     return ids.join(out, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges up to which components are found in one go on the driver (16 bytes each); beyond it in rounds in the cluster.
+MAX_DRIVER_EDGES = 500_000
+
+
+def _united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node of the component of each."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], least)
+        np.minimum.at(new, root[j], least)
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def components(edges: DataFrame, on_driver: int = MAX_DRIVER_EDGES) -> DataFrame:
     """(node, root): each node of edges (a, b) with the least node of its connected component, by alternating large and small stars."""
+    edges = materialize(edges.select("a", "b").distinct(), "edges")
+    if edges.count() <= on_driver:
+        got = edges.toArrow()
+        nodes, root = _united(*(got.column(c).to_numpy().astype(np.int64) for c in ("a", "b")))
+        return edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": root}), "node long, root long")
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     while True:

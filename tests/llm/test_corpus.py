@@ -320,8 +320,10 @@ def test_components(spark):
     for _ in range(200):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
-    got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long"))
-    assert {r.node: r.root for r in got.collect()} == root
+    for limit in (0, 1000):
+        got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long"), limit)
+        assert {r.node: r.root for r in got.collect()} == root
+    assert jaccard_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # 6
