@@ -5,6 +5,7 @@ Everything that built-in functions can say stays in the JVM; only the sequence r
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -97,21 +98,30 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def sequence_ratio_above(a: str, b: str, least: float) -> bool:
-    """ratio(a, b) > least; cheap upper bounds come first."""
+    """ratio(a, b) > least; the bound by length comes first, that by characters next."""
     if not a or not b:
         return False
     if a == b:
         return least < 1.0
+    far = 2 * min(len(a), len(b)) / (len(a) + len(b)) <= least
+    if far and least >= 0.9:
+        return False
     if a in b or b in a:
         return least < 0.9
-    m = SequenceMatcher(None, a, b)
-    return m.real_quick_ratio() > least and m.quick_ratio() > least and m.ratio() > least
+    if far:
+        return False
+    both = Counter(a)
+    common = sum(min(n, both[c]) for c, n in Counter(b).items())
+    return 2 * common / (len(a) + len(b)) > least and SequenceMatcher(None, a, b).ratio() > least
 
 
 def suffix_prefix(a: str, b: str, least: int = 10, most: int = 100) -> int:
-    for n in range(least, min(len(a), len(b), most) + 1):
-        if b.startswith(a[-n:]):
-            return n
+    """The smallest n from least to most for which a ends with the first n characters of b, else 0."""
+    tail = a[-min(most, len(b)) :] if b else ""
+    head, at = b[:least], len(tail) + 1
+    while len(head) == least and (at := tail.rfind(head, 0, at + least - 1)) >= 0:
+        if b.startswith(tail[at:]):
+            return len(tail) - at
     return 0
 
 
@@ -123,7 +133,9 @@ def relation(a: str, b: str, threshold: float = 0.95) -> str:
         return "longer"
     if a.startswith(b):
         return "shorter"
-    if suffix_prefix(a, b) > 0.7 * min(len(a), len(b)):
+    enough = 0.7 * min(len(a), len(b))
+    # an overlap is 100 characters at most, which is little of long lines
+    if enough < 100 and suffix_prefix(a, b) > enough:
         return "longer" if len(b) > len(a) else "shorter"
     return "similar" if sequence_ratio_above(a, b, threshold) else "different"
 

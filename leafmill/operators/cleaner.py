@@ -30,13 +30,14 @@ def drop_repeats(lines: list[str], threshold: float = COPY, look_back: int = LOO
     line is overwritten, or the longer one lost.
     """
     kept = lines[:1]
+    bare = [x.strip() for x in kept]
     for line in lines[1:]:
         now = line.strip()
         verdict, place = "different", -1
         if now:
             lo = max(0, len(kept) - look_back)
             for i in range(lo, len(kept)):
-                before = kept[i].strip()
+                before = bare[i]
                 if not before:
                     continue
                 verdict = relation(before, now, threshold)
@@ -47,8 +48,9 @@ def drop_repeats(lines: list[str], threshold: float = COPY, look_back: int = LOO
                     break
         if verdict == "different":
             kept.append(line)
+            bare.append(now)
         elif verdict == "longer" and place >= 0:
-            kept[place] = line
+            kept[place], bare[place] = line, now
     return kept
 
 

@@ -1,4 +1,8 @@
-"""From boxes of overlapping slices to one page: mapping, removal of double readings, reading order, lines of text."""
+"""From boxes of overlapping slices to one page: mapping, removal of double readings, reading order, lines of text.
+
+Boxes without a place (null x, y, w or h) are copies of none, come last in reading order and are on no line (null line_no and
+seg_no); their text is left out of lines of text. Boxes with a null key make one page. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -17,16 +21,16 @@ def map_slices(boxes: DataFrame, slices: DataFrame, key: str = "doc_id") -> Data
     """boxes (key, slice_index, ..., relative to the slice, origin at the bottom) on the whole page, origin at the top.
 
     slices: (key, slice_index, y_start, y_end, page_height). The boxes' own place is kept as `orig`; a null
-    confidence counts as 1.
+    confidence counts as 1. Boxes of slices that aren't listed are left out.
     """
-    side = slices.select(key, "slice_index", "y_start", "y_end", "page_height")
+    side = slices.select(key, "slice_index", *[F.col(c).alias(f"__{c}") for c in ("y_start", "y_end", "page_height")])
     if side.limit(MAX_BROADCAST_SLICES + 1).count() <= MAX_BROADCAST_SLICES:
         side = F.broadcast(side)
     at = boxes.join(side, [key, "slice_index"])
-    x, y, w, h = from_slice(box(), F.col("y_start"), F.col("y_end"), F.col("page_height"))
+    x, y, w, h = from_slice(box(), F.col("__y_start"), F.col("__y_end"), F.col("__page_height"))
     return at.withColumns({
         "orig": F.struct("x", "y", "w", "h"), "x": x, "y": y, "w": w, "h": h, "confidence": F.coalesce("confidence", F.lit(1.0)),
-    }).drop("y_start", "y_end", "page_height")
+    }).drop("__y_start", "__y_end", "__page_height")
 
 
 def _similar(a: str | None, b: str | None) -> float:
@@ -41,40 +45,55 @@ def _similar(a: str | None, b: str | None) -> float:
     return len(x & y) / len(x | y)
 
 
-def deduplicate(boxes: DataFrame, overlap: float = 0.5, similarity: float = 0.8, reach: float = 0.02, key: str = "doc_id", tie: tuple[str, ...] = ("slice_index", "box_no")) -> DataFrame:
-    """boxes without second readings of the same text in the same place.
+def _kept(g: dict[str, list], overlap: float, similarity: float, reach: float) -> list[int]:
+    x, y, w, h, text, conf = (g[c] for c in ("x", "y", "w", "h", "text", "confidence"))
+    n = len(x)
+    placed = [None not in b for b in zip(x, y, w, h)]
+    gone = [False] * n
+    for i in range(n):
+        if gone[i] or not placed[i]:
+            continue
+        right, low, area = x[i] + w[i], y[i] + h[i], w[i] * h[i]
+        for j in range(i + 1, n):
+            if not placed[j]:
+                continue
+            if y[j] - low > reach:
+                break
+            if gone[j]:
+                continue
+            wide, tall = min(right, x[j] + w[j]) - max(x[i], x[j]), min(low, y[j] + h[j]) - max(y[i], y[j])
+            least = min(area, w[j] * h[j])
+            if wide <= 0 or tall <= 0 or least <= 0 or wide * tall / least <= overlap or _similar(text[i], text[j]) <= similarity:
+                continue
+            if (conf[j] or 0) > (conf[i] or 0):
+                gone[i] = True
+                break
+            gone[j] = True
+    return [i for i in range(n) if not gone[i]]
+
+
+def deduplicate(boxes: DataFrame, overlap: float = 0.5, similarity: float = 0.8, reach: float = 0.02, key: str = "doc_id", tie: tuple[str, ...] = ("slice_index", "box_no"), placed: bool = False) -> DataFrame:
+    """boxes without second readings of the same text in the same place; with `placed` also their `place` in reading order, from 0.
 
     Downwards (y, x, then the tie columns) each box that is left is held against the later ones that begin within
     `reach` of its lower edge. Of two that overlap by more than `overlap` of the smaller and read alike
-    the more confident one stays, the earlier on a tie; a box that is dropped drops no other after that.
+    the more confident one stays, the earlier on a tie; a box that is dropped drops no other after that. A null text is like none.
     """
     names = boxes.columns
 
     def step(g: dict[str, list]) -> dict[str, list]:
-        x, y, w, h, text, conf = (g[c] for c in ("x", "y", "w", "h", "text", "confidence"))
-        n = len(x)
-        gone = [False] * n
-        for i in range(n):
-            if gone[i]:
-                continue
-            right, low, area = x[i] + w[i], y[i] + h[i], w[i] * h[i]
-            for j in range(i + 1, n):
-                if y[j] - low > reach:
-                    break
-                if gone[j]:
-                    continue
-                wide, tall = min(right, x[j] + w[j]) - max(x[i], x[j]), min(low, y[j] + h[j]) - max(y[i], y[j])
-                least = min(area, w[j] * h[j])
-                if wide <= 0 or tall <= 0 or least <= 0 or wide * tall / least <= overlap or _similar(text[i], text[j]) <= similarity:
-                    continue
-                if (conf[j] or 0) > (conf[i] or 0):
-                    gone[i] = True
-                    break
-                gone[j] = True
-        kept = [i for i in range(n) if not gone[i]]
-        return {c: [g[c][i] for i in kept] for c in names}
-
-    return fold(boxes, [key], ["y", "x", *[t for t in tie if t in names]], step, _ddl(boxes))
+        kept = _kept(g, overlap, similarity, reach)
+        out = {c: [g[c][i] for i in kept] for c in names}
+        if placed:
+            last = (True, 0)
+            key_of = lambda i: tuple(last if g[c][i] is None else (False, g[c][i]) for c in ("y", "x", "box_no"))
+            out["place"] = [0] * len(kept)
+            for p, at in enumerate(sorted(range(len(kept)), key=lambda k: key_of(kept[k]))):
+                out["place"][at] = p
+        return out
+
+    order = [F.col(c).asc_nulls_last() for c in ("y", "x", *[t for t in tie if t in names])]
+    return fold(boxes, [key], order, step, _ddl(boxes) + (", place int" if placed else ""))
 
 
 def _ddl(df: DataFrame) -> str:
@@ -83,42 +102,69 @@ def _ddl(df: DataFrame) -> str:
 
 def reading_order(boxes: DataFrame, key: str = "doc_id") -> DataFrame:
     """boxes with `place`, from 0: downwards, then to the right."""
-    return boxes.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("y", "x", "box_no")) - 1)
+    return boxes.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in ("y", "x", "box_no")])) - 1)
 
 
 def merge_results(boxes: DataFrame, slices: DataFrame, overlap: float = 0.5, similarity: float = 0.8, reach: float = 0.02, key: str = "doc_id") -> DataFrame:
-    """The boxes of all slices of a page, each text once, in reading order. One exchange by key serves all steps."""
-    return reading_order(deduplicate(map_slices(boxes, slices, key=key), overlap, similarity, reach, key), key)
+    """The boxes of all slices of a page, each text once, with `place` in reading order. One exchange, by key: boxes are numbered where double readings go."""
+    return deduplicate(map_slices(boxes, slices, key=key), overlap, similarity, reach, key, placed=True)
+
+
+def _line_of(y: list, h: list, tolerance: float) -> list[int | None]:
+    line, out, ay, ah = -1, [], 0.0, 0.0
+    for a, b in zip(y, h):
+        if a is None or b is None:
+            out.append(None)
+            continue
+        if line < 0 or abs((a + b / 2) - (ay + ah / 2)) > min(tolerance, (b + ah) / 2 * 0.5):
+            line, ay, ah = line + 1, a, b
+        out.append(line)
+    return out
+
+
+def _segment_of(g: dict[str, list], tolerance: float, gap: float) -> tuple[list[int | None], list[int | None], list[int]]:
+    """Line and segment of each box, and the order of those that have one: by line, then to the right."""
+    line = _line_of(g["y"], g["h"], tolerance)
+    line = [None if None in (x, w) else n for n, x, w in zip(line, g["x"], g["w"])]
+    order = sorted((i for i, n in enumerate(line) if n is not None), key=lambda i: (line[i], g["x"][i], g["box_no"][i]))
+    seg: list[int | None] = [None] * len(line)
+    for before, i in zip([None, *order], order):
+        if before is None or line[before] != line[i]:
+            seg[i] = 0
+        else:
+            seg[i] = seg[before] + (g["x"][i] - (g["x"][before] + g["w"][before]) > gap)
+    return line, seg, order
 
 
 def line_numbers(boxes: DataFrame, tolerance: float = 0.01, key: str = "doc_id") -> DataFrame:
     """boxes with line_no, from 0: a box is on the line of the line's *first* box if their centres differ by no
     more than the tolerance, or half their mean height if that is less. The anchor moves with each line, which no window can say."""
+    step = lambda g: g | {"line_no": _line_of(g["y"], g["h"], tolerance)}
+    return fold(boxes, [key], [F.col("y").asc_nulls_last(), "box_no"], step, _ddl(boxes) + ", line_no int")
 
-    def step(g: dict[str, list]) -> dict[str, list]:
-        line, out, ay, ah = -1, [], 0.0, 0.0
-        for y, h in zip(g["y"], g["h"]):
-            if line < 0 or abs((y + h / 2) - (ay + ah / 2)) > min(tolerance, (h + ah) / 2 * 0.5):
-                line, ay, ah = line + 1, y, h
-            out.append(line)
-        return g | {"line_no": out}
 
-    return fold(boxes, [key], ["y", "box_no"], step, _ddl(boxes) + ", line_no int")
+def segments(boxes: DataFrame, tolerance: float = 0.01, gap: float = 0.15, key: str = "doc_id") -> DataFrame:
+    """boxes with line_no and seg_no within the line, from 0: a gap wider than `gap` to the box on the left starts a new one. One fold for both."""
 
+    def step(g: dict[str, list]) -> dict[str, list]:
+        line, seg, _ = _segment_of(g, tolerance, gap)
+        return g | {"line_no": line, "seg_no": seg}
 
-def segments(lined: DataFrame, gap: float = 0.15, key: str = "doc_id") -> DataFrame:
-    """With seg_no within the line, from 0: a gap wider than `gap` to the box on the left starts a new one."""
-    along = Window.partitionBy(key, "line_no").orderBy("x", "box_no")
-    wide = F.col("x") - F.lag(F.col("x") + F.col("w")).over(along) > gap
-    return lined.withColumn("__new", F.coalesce(wide.cast("int"), F.lit(0))).withColumn(
-        "seg_no", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    ).drop("__new")
+    return fold(boxes, [key], [F.col("y").asc_nulls_last(), "box_no"], step, _ddl(boxes) + ", line_no int, seg_no int")
 
 
 def merge_to_text(boxes: DataFrame, keep_lines: bool = True, tolerance: float = 0.01, gap: float = 0.05, key: str = "doc_id") -> DataFrame:
-    """(key, text): lines joined by line ends, boxes of a segment by spaces; without keep_lines all in box order by spaces."""
+    """(key, text): lines joined by line ends, boxes of a segment by spaces; without keep_lines all in box order by spaces. Null texts are left out."""
     if not keep_lines:
         return boxes.groupBy(key).agg(joined(F.collect_list(F.struct("box_no", "text")), " ").alias("text"))
-    parts = segments(line_numbers(boxes, tolerance, key), gap, key)
-    per = parts.groupBy(key, "line_no", "seg_no").agg(joined(F.collect_list(F.struct("x", "box_no", "text")), " ").alias("text"))
-    return per.groupBy(key).agg(joined(F.collect_list(F.struct("line_no", "seg_no", "text")), "\n").alias("text"))
+
+    def step(g: dict[str, list]) -> dict[str, list]:
+        line, seg, order = _segment_of(g, tolerance, gap)
+        parts: dict[tuple, list[str]] = {}
+        for i in order:
+            if g["text"][i] is not None:
+                parts.setdefault((line[i], seg[i]), []).append(g["text"][i])
+        return {key: g[key][:1], "text": ["\n".join(" ".join(p) for p in parts.values())]}
+
+    narrow = boxes.select(key, "box_no", "text", "x", "y", "w", "h")
+    return fold(narrow, [key], [F.col("y").asc_nulls_last(), "box_no"], step, f"`{key}` {dict(boxes.dtypes)[key]}, text string")

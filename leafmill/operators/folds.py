@@ -19,7 +19,7 @@ Fold = Callable[[dict[str, list]], dict[str, list]]
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str | Column], step: Fold, schema: str) -> DataFrame:
-    """step(columns of one group, in the order given) -> columns of its output; schema names them.
+    """step(columns of one group, in the order given) -> columns of its output, or nothing; schema names them.
 
     Groups are the rows of equal keys. Unlike applyInPandas a group costs no data frame of its own, and rows of
     many small groups travel in full Arrow batches. A group's rows are held in memory, as a page's are.

@@ -1,4 +1,7 @@
-"""Regions of a picture: plausibility, suppression of overlapping ones, reading order."""
+"""Regions of a picture: plausibility, suppression of overlapping ones, reading order.
+
+A region without a place (null x, y, w or h) is implausible, neither suppresses nor is suppressed, and comes last in reading order.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +26,11 @@ def suppress(regions: DataFrame, iou: float = 0.5, contained: float | None = 0.8
     def step(g: dict[str, list]) -> dict[str, list]:
         x, y, w, h = g["x"], g["y"], g["w"], g["h"]
         kept: list[int] = []
+        loose: list[int] = []
         for j in range(len(x)):
+            if None in (x[j], y[j], w[j], h[j]):
+                loose.append(j)
+                continue
             area = w[j] * h[j]
             for i in kept:
                 wide, tall = min(x[i] + w[i], x[j] + w[j]) - max(x[i], x[j]), min(y[i] + h[i], y[j] + h[j]) - max(y[i], y[j])
@@ -35,19 +42,19 @@ def suppress(regions: DataFrame, iou: float = 0.5, contained: float | None = 0.8
                     break
             else:
                 kept.append(j)
-        return {k: [v[i] for i in kept] for k, v in g.items()}
+        return {k: [v[i] for i in kept + loose] for k, v in g.items()}
 
-    order: list[Column | str] = [(F.col("w") * F.col("h")).desc(), tie]
+    order: list[Column | str] = [(F.col("w") * F.col("h")).desc_nulls_last(), tie]
     return fold(regions, [key], order, step, _ddl(regions))
 
 
 def reading_order(regions: DataFrame, key: str = "doc_id", tie: str = "region_index") -> DataFrame:
     """With row_no and place, from 0: a region is in the row of the one before (by centre) if their centres differ by less than half that one's height."""
-    down = Window.partitionBy(key).orderBy("__c", tie)
+    down = Window.partitionBy(key).orderBy(F.col("__c").asc_nulls_last(), tie)
     new = F.abs(F.col("__c") - F.lag("__c").over(down)) >= F.lag("h").over(down) * 0.5
     out = regions.withColumn("__c", F.col("y") + F.col("h") / 2).withColumn("__new", F.coalesce(new.cast("int"), F.lit(0)))
     out = out.withColumn("row_no", F.sum("__new").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("row_no", "x", "__c", tie)) - 1
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("__c").isNull(), "row_no", F.col("x").asc_nulls_last(), "__c", tie)) - 1
     return out.withColumn("place", place).drop("__c", "__new")
 
 

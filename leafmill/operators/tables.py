@@ -1,114 +1,175 @@
-"""Tables from boxes: rows, columns, cells, grids."""
+"""Tables from boxes: rows, columns, cells, and their printed forms.
+
+A page's rows, columns and cells come out of one fold: one exchange by page. From there on a table is one row with a
+nested grid, and printing is array expressions within it. Boxes without a place (null x, y, w or h) are in no row, column or cell;
+boxes with a null key make one page.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.operators.coordinates import _ddl
 from leafmill.operators.folds import fold
 
+_CELL = "struct<row:int,col:int,text:string,x:{x},y:{y},w:{w},h:{h}>"
+
+
+def _row_numbers(centers: list[float | None], tolerance: float) -> list[int | None]:
+    """Rows of centres that come from the top down, and grow upwards: each joins the first row whose running mean is within the tolerance."""
+    sums, counts, of = [], [], []
+    for c in centers:
+        if c is None:
+            of.append(None)
+            continue
+        for r in range(len(sums)):
+            if abs(c - sums[r] / counts[r]) <= tolerance:
+                break
+        else:
+            r = len(sums)
+            sums.append(0.0)
+            counts.append(0)
+        sums[r] += c
+        counts[r] += 1
+        of.append(r)
+    place = {r: i for i, r in enumerate(sorted(range(len(sums)), key=lambda r: -sums[r] / counts[r]))}
+    return [None if r is None else place[r] for r in of]
+
+
+def _chains(values: list[float], tolerance: float) -> list[float]:
+    """Means of chains of ascending values no further apart than the tolerance."""
+    out, held = [], []
+    for v in values:
+        if held and v - held[-1] > tolerance:
+            out.append(sum(held) / len(held))
+            held = []
+        held.append(v)
+    if held:
+        out.append(sum(held) / len(held))
+    return out
+
+
+def _columns(x: list[float], row: list[int], tolerance: float, alignment: float) -> list[float]:
+    """Ascending chain means that at least that share of the rows has a box at."""
+    n_rows = len(set(row))
+    return [c for c in _chains(sorted(x), tolerance) if len({r for v, r in zip(x, row) if abs(v - c) <= tolerance}) / n_rows >= alignment]
+
+
+def _column_of(x: float, centers: list[float], tolerance: float) -> int:
+    """The first column within the tolerance, else the nearest, the lowest on a tie."""
+    off = [abs(x - c) for c in centers]
+    return next((i for i, d in enumerate(off) if d <= tolerance), off.index(min(off)))
+
+
+def _from_the_top(boxes: DataFrame, key: str, top_origin: bool, step, schema: str) -> DataFrame:
+    center = F.col("y") + F.col("h") / 2
+    placed = F.col("x").isNotNull() & F.col("w").isNotNull()
+    center = F.when(placed, -center if top_origin else center)
+    return fold(boxes.withColumn("__c", center), [key], [F.col("__c").desc_nulls_last(), "box_no"], step, schema)
+
 
 def rows(boxes: DataFrame, tolerance: float = 0.015, key: str = "doc_id", top_origin: bool = False) -> DataFrame:
-    """boxes with row_no, from 0 at the top of the page.
+    """boxes with row_no, from 0 at the top of the page; null for a box without a place.
 
     From the top down a box joins the first row whose *running mean* of centres is within the tolerance. Rows are then
     numbered by their final means. y grows upwards unless top_origin says otherwise.
     """
 
     def step(g: dict[str, list]) -> dict[str, list]:
-        sums, counts, of = [], [], []
-        for c in g["__c"]:
-            for r in range(len(sums)):
-                if abs(c - sums[r] / counts[r]) <= tolerance:
-                    break
-            else:
-                r = len(sums)
-                sums.append(0.0)
-                counts.append(0)
-            sums[r] += c
-            counts[r] += 1
-            of.append(r)
-        place = {r: i for i, r in enumerate(sorted(range(len(sums)), key=lambda r: -sums[r] / counts[r]))}
-        return {k: v for k, v in g.items() if k != "__c"} | {"row_no": [place[r] for r in of]}
+        return {k: v for k, v in g.items() if k != "__c"} | {"row_no": _row_numbers(g["__c"], tolerance)}
 
-    center = F.col("y") + F.col("h") / 2
-    return fold(boxes.withColumn("__c", -center if top_origin else center), [key], [F.col("__c").desc(), "box_no"], step, _ddl(boxes) + ", row_no int")
+    return _from_the_top(boxes, key, top_origin, step, _ddl(boxes) + ", row_no int")
 
 
-def cluster_positions(boxes: DataFrame, tolerance: float = 0.025, key: str = "doc_id", column: str = "x") -> DataFrame:
-    """(key, cluster, center): chains of positions no further apart than the tolerance, and their means."""
-    along = Window.partitionBy(key).orderBy(column, *[c for c in ("box_no",) if c in boxes.columns])
-    new = F.coalesce((F.col(column) - F.lag(column).over(along) > tolerance).cast("int"), F.lit(0))
-    chained = boxes.select("*", new.alias("new")).withColumn("cluster", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return chained.groupBy(key, "cluster").agg(F.avg(column).alias("center"))
+def columns(boxes: DataFrame, y_tolerance: float = 0.015, x_tolerance: float = 0.025, alignment: float = 0.6, key: str = "doc_id", top_origin: bool = False) -> DataFrame:
+    """(key, n_rows, centers): ascending left edges at which at least that share of the rows has a box. A page without such an edge has no row here."""
 
+    def step(g: dict[str, list]) -> dict[str, list]:
+        row = _row_numbers(g["__c"], y_tolerance)
+        kept = [i for i, r in enumerate(row) if r is not None]
+        centers = _columns([g["x"][i] for i in kept], [row[i] for i in kept], x_tolerance, alignment) if kept else []
+        return {key: g[key][:1], "n_rows": [len({row[i] for i in kept})], "centers": [centers]} if centers else {}
+
+    narrow = boxes.select(key, "box_no", "x", "y", "w", "h")
+    return _from_the_top(narrow, key, top_origin, step, f"`{key}` {dict(boxes.dtypes)[key]}, n_rows int, centers array<double>")
 
-def columns(rowed: DataFrame, tolerance: float = 0.025, alignment: float = 0.6, key: str = "doc_id") -> DataFrame:
-    """(key, n_rows, centers): ascending left edges at which at least that share of the rows has a box."""
-    centers = cluster_positions(rowed, tolerance, key)
-    per = rowed.groupBy(key).agg(F.countDistinct("row_no").alias("n_rows"))
-    near = rowed.select(key, "row_no", "x").join(centers, key).filter(F.abs(F.col("x") - F.col("center")) <= tolerance)
-    share = near.groupBy(key, "center").agg(F.countDistinct("row_no").alias("n")).join(per, key).filter(F.col("n") / F.col("n_rows") >= alignment)
-    return share.groupBy(key).agg(F.first("n_rows").cast("int").alias("n_rows"), F.array_sort(F.collect_list("center")).alias("centers"))
 
+def tables(boxes: DataFrame, y_tolerance: float = 0.015, x_tolerance: float = 0.025, min_rows: int = 2, min_cols: int = 2, alignment: float = 0.6, key: str = "doc_id", top_origin: bool = False) -> DataFrame:
+    """(key, n_rows, n_cols, cells) for each page that has a table; cells is an array of (row, col, text, x, y, w, h) by row and column. Of boxes in one cell the rightmost counts."""
 
-def column_index(x: str = "x", centers: str = "centers", tolerance: float = 0.025):
-    """The first column within the tolerance, else the nearest, the lowest on a tie; from 0. No rows are multiplied for it."""
-    first = F.get(F.filter(F.sequence(F.lit(0), F.size(centers) - 1), lambda i: F.abs(F.col(x) - F.get(F.col(centers), i)) <= tolerance), F.lit(0))
-    off = F.transform(F.col(centers), lambda c: F.abs(F.col(x) - c))
-    nearest = (F.array_position(off, F.array_min(off)) - 1).cast("int")
-    return F.coalesce(first, nearest)
+    def step(g: dict[str, list]) -> dict[str, list]:
+        row = _row_numbers(g["__c"], y_tolerance)
+        kept = [i for i, r in enumerate(row) if r is not None]
+        n_rows = len({row[i] for i in kept})
+        centers = _columns([g["x"][i] for i in kept], [row[i] for i in kept], x_tolerance, alignment) if n_rows >= min_rows else []
+        if len(centers) < min_cols:
+            return {}
+        cell: dict[tuple[int, int], int] = {}
+        for i in kept:
+            at = row[i], _column_of(g["x"][i], centers, x_tolerance)
+            j = cell.get(at)
+            if j is None or (g["x"][i], g["box_no"][i]) > (g["x"][j], g["box_no"][j]):
+                cell[at] = i
+        cells = [{"row": r, "col": c} | {n: g[n][i] for n in ("text", "x", "y", "w", "h")} for (r, c), i in sorted(cell.items())]
+        return {key: g[key][:1], "n_rows": [n_rows], "n_cols": [len(centers)], "cells": [cells]}
+
+    kinds = dict(boxes.dtypes)
+    schema = f"`{key}` {kinds[key]}, n_rows int, n_cols int, cells array<{_CELL.format(**{c: kinds[c] for c in 'xywh'})}>"
+    return _from_the_top(boxes.select(key, "box_no", "text", "x", "y", "w", "h"), key, top_origin, step, schema)
 
 
 def cells(boxes: DataFrame, y_tolerance: float = 0.015, x_tolerance: float = 0.025, min_rows: int = 2, min_cols: int = 2, alignment: float = 0.6, key: str = "doc_id", top_origin: bool = False) -> DataFrame:
-    """(key, row, col, n_rows, n_cols, text, x, y, w, h): the cells of each page that has a table; of boxes in one cell the rightmost counts."""
-    rowed = rows(boxes, y_tolerance, key, top_origin)
-    shape = columns(rowed, x_tolerance, alignment, key).filter((F.col("n_rows") >= min_rows) & (F.size("centers") >= min_cols))
-    placed = rowed.join(shape, key).withColumn("col", column_index(tolerance=x_tolerance))
-    last = F.max(F.struct("x", "box_no", "text", "y", "w", "h"))
-    out = placed.groupBy(key, F.col("row_no").alias("row"), "col").agg(last.alias("b"), F.first("n_rows").alias("n_rows"), F.first(F.size("centers")).alias("n_cols"))
-    return out.select(key, "row", "col", "n_rows", "n_cols", "b.text", "b.x", "b.y", "b.w", "b.h")
+    """(key, row, col, n_rows, n_cols, text, x, y, w, h): tables() with a row for each cell."""
+    found = tables(boxes, y_tolerance, x_tolerance, min_rows, min_cols, alignment, key, top_origin)
+    return found.select(key, "n_rows", "n_cols", F.inline("cells")).select(key, "row", "col", "n_rows", "n_cols", "text", "x", "y", "w", "h")
 
 
-def grid(cell: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A row (key, row, texts, boxes) per line of the table, with an entry per column: "" and null where there is no cell.
+def of_cells(cell: DataFrame, key: str = "doc_id") -> DataFrame:
+    """cells() as tables() again, one exchange; for cells that come from elsewhere."""
+    whole = F.array_sort(F.collect_list(F.struct("row", "col", "text", "x", "y", "w", "h")))
+    return cell.groupBy(key).agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), whole.alias("cells"))
 
-    Lines are filled in their own array; no cross join. A line without any cell can't arise: each row has a box.
-    """
-    entry = F.map_from_entries(F.collect_list(F.struct("col", F.struct("text", F.struct("x", "y", "w", "h").alias("box")))))
-    per = cell.groupBy(key, "row").agg(entry.alias("m"), F.first("n_cols").alias("n_cols"))
-    every = F.sequence(F.lit(0), F.col("n_cols") - 1)
-    return per.select(
-        key, "row", F.transform(every, lambda c: F.coalesce(F.try_element_at("m", c)["text"], F.lit(""))).alias("texts"),
-        F.transform(every, lambda c: F.try_element_at("m", c)["box"]).alias("boxes"),
-    )
 
+def _grid(found: DataFrame, empty: Column, entry) -> DataFrame:
+    """found with `grid`: by row, for each column entry(cell), or empty where there is none. A row's cells are looked at, not the whole page's."""
+    per = F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), lambda r: F.filter("cells", lambda c: c["row"] == r))
+    out = found.withColumn("__rows", F.when(F.col("n_rows") > 0, per))
+
+    def line(cs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda k: F.coalesce(F.get(F.transform(F.filter(cs, lambda c: c["col"] == k), entry), F.lit(0)), empty))
+
+    return out.withColumn("grid", F.transform("__rows", line)).drop("__rows")
 
-def _lines(gridded: DataFrame, line, key: str):
-    pieces = F.collect_list(F.struct("row", line.alias("text")))
-    return gridded.groupBy(key).agg(F.transform(F.array_sort(pieces), lambda p: p["text"]).alias("lines"), F.first(F.size("texts")).alias("n_cols"))
 
+def _text(c: Column) -> Column:
+    return F.coalesce(c["text"], F.lit(""))
 
-def to_markdown(gridded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, markdown): the first row is the header."""
-    line = F.concat(F.lit("| "), F.array_join("texts", " | "), F.lit(" |"))
+
+def to_markdown(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, markdown): the first row is the header; a missing cell is empty."""
+    printed = _grid(found, F.lit(""), _text)
+    lines = F.transform("grid", lambda t: F.concat(F.lit("| "), F.array_join(t, " | "), F.lit(" |")))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("n_cols")), " | "), F.lit(" |"))
     whole = F.concat(F.slice("lines", 1, 1), F.array(rule), F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))))
-    return _lines(gridded, line, key).select(key, F.array_join(whole, "\n").alias("markdown"))
+    return printed.select(key, "n_cols", lines.alias("lines")).select(key, F.array_join(whole, "\n").alias("markdown"))
 
 
-def to_html(gridded: DataFrame, key: str = "doc_id") -> DataFrame:
+def to_html(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, html); texts go in as they are."""
-    tag = F.when(F.col("row") == 0, "th").otherwise("td")
-    line = F.concat(F.lit("  <tr>\n"), F.array_join(F.transform("texts", lambda t: F.concat(F.lit("    <"), tag, F.lit(">"), t, F.lit("</"), tag, F.lit(">\n"))), ""), F.lit("  </tr>"))
-    return _lines(gridded, line, key).select(key, F.concat(F.lit("<table>\n"), F.array_join("lines", "\n"), F.lit("\n</table>")).alias("html"))
+
+    def line(texts: Column, i: Column) -> Column:
+        tag = F.when(i == 0, "th").otherwise("td")
+        return F.concat(F.lit("  <tr>\n"), F.array_join(F.transform(texts, lambda t: F.concat(F.lit("    <"), tag, F.lit(">"), t, F.lit("</"), tag, F.lit(">\n"))), ""), F.lit("  </tr>"))
+
+    return _grid(found, F.lit(""), _text).select(key, F.concat(F.lit("<table>\n"), F.array_join(F.transform("grid", line), "\n"), F.lit("\n</table>")).alias("html"))
 
 
-def to_json(gridded: DataFrame, key: str = "doc_id") -> DataFrame:
+def to_json(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, json): rows, cols and cells (text, and bbox or null)."""
-    bbox = lambda b: F.when(b.isNotNull(), F.array(b["x"], b["y"], b["w"], b["h"]))
-    line = F.zip_with("texts", "boxes", lambda t, b: F.struct(t.alias("text"), bbox(b).alias("bbox")))
-    got = gridded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row", line.alias("cells")))).alias("r"), F.first(F.size("texts")).alias("cols"))
-    body = F.struct(F.size("r").alias("rows"), "cols", F.transform("r", lambda x: x["cells"]).alias("cells"))
-    return got.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+    bbox = lambda c: F.array(c["x"], c["y"], c["w"], c["h"])
+    kind = found.schema["cells"].dataType.elementType["x"].dataType
+    none = F.struct(F.lit("").alias("text"), F.lit(None).cast(f"array<{kind.simpleString()}>").alias("bbox"))
+    printed = _grid(found, none, lambda c: F.struct(_text(c).alias("text"), bbox(c).alias("bbox")))
+    body = F.struct(F.col("n_rows").alias("rows"), F.col("n_cols").alias("cols"), F.col("grid").alias("cells"))
+    return printed.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))

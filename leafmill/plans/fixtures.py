@@ -39,18 +39,17 @@ ocr_lines AS (SELECT doc_id, box_no, text, conf, x, (sum(gap + h) OVER (PARTITIO
 
 
 def table_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, box_no, text, x, y, w, h): a table of four columns for each order of two lines or more, with gaps; origin at the top."""
+    """(doc_id, box_no, text, x, y, w, h): a table of four columns for each order, origin at the top. Every 13th box is in the neighbouring column, which leaves a gap and two boxes in one cell."""
     li = table(spark, sf_dir, "lineitem")
-    by = Window.partitionBy("l_orderkey")
-    order = by.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     rows = li.select(
-        F.col("l_orderkey").cast("long").alias("doc_id"), (F.row_number().over(order) - 1).cast("long").alias("r"), F.count("*").over(by).alias("n"),
-        F.col("l_partkey").cast("long").alias("p"), F.col("l_suppkey").cast("long").alias("s"),
+        F.col("l_orderkey").cast("long").alias("doc_id"), (F.row_number().over(order) - 1).cast("long").alias("r"), F.col("l_partkey").cast("long").alias("p"), F.col("l_suppkey").cast("long").alias("s"),
         F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), "l_returnflag").alias("t"),
-    ).filter("n >= 2")
-    cells = rows.select("doc_id", "r", "p", "s", F.posexplode("t").alias("c", "text")).filter((F.col("p") + 3 * F.col("c")) % 13 != 0)
+    )
+    cells = rows.select("doc_id", "r", "p", "s", F.posexplode("t").alias("c", "text"))
+    at = F.when((F.col("p") + 3 * F.col("c")) % 13 != 0, F.col("c")).when(F.col("c") == 0, 1).otherwise(F.col("c") - 1)
     return cells.select(
-        "doc_id", (F.col("r") * 4 + F.col("c")).alias("box_no"), "text", (1000 + 2000 * F.col("c") + ((F.col("p") + F.col("c")) % 5) * 20).cast("long").alias("x"),
+        "doc_id", (F.col("r") * 4 + F.col("c")).alias("box_no"), "text", (1000 + 2000 * at + ((F.col("p") + F.col("c")) % 5) * 20).cast("long").alias("x"),
         (500 + 600 * F.col("r") + ((F.col("s") + F.col("c")) % 4) * 15).cast("long").alias("y"), F.lit(800).cast("long").alias("w"), F.lit(300).cast("long").alias("h"),
     )
 
@@ -58,11 +57,12 @@ def table_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 TABLE_BOXES = """
 tb0 AS (
   SELECT l_orderkey::BIGINT AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS r,
-         count(*) OVER (PARTITION BY l_orderkey) AS n, l_partkey::BIGINT AS p, l_suppkey::BIGINT AS s, l_quantity::INTEGER::VARCHAR AS q, l_returnflag AS f FROM lineitem),
-tb1 AS (SELECT *, unnest([p::VARCHAR, s::VARCHAR, q, f]) AS text, unnest([0, 1, 2, 3])::BIGINT AS c FROM tb0 WHERE n >= 2),
+         l_partkey::BIGINT AS p, l_suppkey::BIGINT AS s, l_quantity::INTEGER::VARCHAR AS q, l_returnflag AS f FROM lineitem),
+tb1 AS (SELECT *, unnest([p::VARCHAR, s::VARCHAR, q, f]) AS text, unnest([0, 1, 2, 3])::BIGINT AS c FROM tb0),
+tb2 AS (SELECT *, CASE WHEN (p + 3 * c) % 13 <> 0 THEN c WHEN c = 0 THEN 1 ELSE c - 1 END AS slot FROM tb1),
 table_boxes AS (
-  SELECT doc_id, r * 4 + c AS box_no, text, (1000 + 2000 * c + ((p + c) % 5) * 20)::BIGINT AS x, (500 + 600 * r + ((s + c) % 4) * 15)::BIGINT AS y, 800::BIGINT AS w, 300::BIGINT AS h, r, c
-  FROM tb1 WHERE (p + 3 * c) % 13 <> 0)"""
+  SELECT doc_id, r * 4 + c AS box_no, text, (1000 + 2000 * slot + ((p + c) % 5) * 20)::BIGINT AS x, (500 + 600 * r + ((s + c) % 4) * 15)::BIGINT AS y, 800::BIGINT AS w, 300::BIGINT AS h, r, c
+  FROM tb2)"""
 
 
 def slices(lines: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def layout_text(boxes: DataFrame, clean: bool = True, key: str = "doc_id") -> Da
 
 def detected_tables(boxes: DataFrame, key: str = "doc_id", top_origin: bool = True) -> DataFrame:
     """(key, markdown) of the pages that have a table."""
-    return tables.to_markdown(tables.grid(tables.cells(boxes, key=key, top_origin=top_origin), key), key)
+    return tables.to_markdown(tables.tables(boxes, key=key, top_origin=top_origin), key)
 
 
 def batch(results: DataFrame, inputs: DataFrame) -> DataFrame:

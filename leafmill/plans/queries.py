@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 @query("""
-WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN url || '/f.PDF?x=1' WHEN 2 THEN '/data/f' || page_id || '.Pdf' WHEN 3 THEN '/data/.png' WHEN 4 THEN '/data/a.JPeg' ELSE 'HTTPS://h.org/p.docx#f' END AS path FROM pages)
+WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN url || '/f.PDF?x=1' WHEN 2 THEN '/data/' || md5(url) || '.Pdf' WHEN 3 THEN '/data/' || md5(url) || '/.png' WHEN 4 THEN '/data/' || md5(url) || '.JPeg' ELSE url || '/p.docx#f' END AS path FROM pages)
 SELECT page_id, regexp_matches(path, '(?i)^https?:') AS is_url, coalesce(list_contains(['png','jpg','jpeg','gif','bmp','tiff','tif','webp'], regexp_extract(lower(path), '[^/.][^/]*\\.([^./]+)$', 1)), false) AS is_image,
        CASE WHEN regexp_matches(path, '(?i)^https?:') THEN 'url' WHEN lower(path) LIKE '%.pdf' THEN 'pdf' WHEN lower(path) LIKE '%.docx' THEN 'docx'
             WHEN list_contains(['png','jpg','jpeg','gif','bmp','tiff','tif','webp'], regexp_extract(lower(path), '[^/.][^/]*\\.([^./]+)$', 1)) THEN 'image' ELSE 'unknown' END AS kind,
@@ -43,8 +43,8 @@ FROM p""")
 def a_input_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, url = F.col("page_id") % 6, F.col("url")
     path = (
-        F.when(k == 0, url).when(k == 1, F.concat(url, F.lit("/f.PDF?x=1"))).when(k == 2, F.concat(F.lit("/data/f"), F.col("page_id").cast("string"), F.lit(".Pdf")))
-        .when(k == 3, "/data/.png").when(k == 4, "/data/a.JPeg").otherwise("HTTPS://h.org/p.docx#f")
+        F.when(k == 0, url).when(k == 1, F.concat(url, F.lit("/f.PDF?x=1"))).when(k == 2, F.concat(F.lit("/data/"), F.md5("url"), F.lit(".Pdf")))
+        .when(k == 3, F.concat(F.lit("/data/"), F.md5("url"), F.lit("/.png"))).when(k == 4, F.concat(F.lit("/data/"), F.md5("url"), F.lit(".JPeg"))).otherwise(F.concat(url, F.lit("/p.docx#f")))
     )
     p = fx.table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
     c = F.col("path")
@@ -65,13 +65,13 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     intro = F.when(F.col("conv_id") % 5 == 0, F.lit("intro"))
     return fx.table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.concat(F.lit("conv/"), (F.col("conv_id") % 50).cast("string"), F.lit(".png")).alias("source"), (F.col("turn") + 1).cast("int").alias("page_no"),
-        F.when(F.col("turn") % 4 == 3, "").otherwise(F.col("text")).alias("text"), intro.alias("docx_text"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("ts"),
+        "text", intro.alias("docx_text"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("ts"),
     )
 
 
 _PAGES = """
 pages_ AS (
-  SELECT conv_id AS doc_id, 'conv/' || (conv_id % 50)::VARCHAR || '.png' AS source, turn + 1 AS page_no, CASE WHEN turn % 4 = 3 THEN '' ELSE text END AS text, CASE WHEN conv_id % 5 = 0 THEN 'intro' END AS docx
+  SELECT conv_id AS doc_id, 'conv/' || (conv_id % 50)::VARCHAR || '.png' AS source, turn + 1 AS page_no, text, CASE WHEN conv_id % 5 = 0 THEN 'intro' END AS docx
   FROM conversations),
 docs AS (SELECT doc_id, first(source) AS source, count(*) AS n, max(docx) AS docx, list({'page_no': page_no, 'text': text} ORDER BY page_no, text) AS pages FROM pages_ GROUP BY doc_id)"""
 
@@ -228,7 +228,7 @@ l AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS line_n
 g AS (SELECT *, x - lag(x + w) OVER (PARTITION BY doc_id, line_no ORDER BY x) > 1250 AS new FROM l)
 SELECT doc_id, box_no, line_no::INTEGER AS line_no, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY x ROWS UNBOUNDED PRECEDING)::INTEGER AS seg_no FROM g""")
 def f_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coordinates.segments(coordinates.line_numbers(fx.table_boxes(spark, sf_dir), 100), 1250).select("doc_id", "box_no", "line_no", "seg_no")
+    return coordinates.segments(fx.table_boxes(spark, sf_dir), 100, 1250).select("doc_id", "box_no", "line_no", "seg_no")
 
 
 @query(f"""WITH {fx.TABLE_BOXES},
@@ -272,38 +272,37 @@ def f_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CELLS} SELECT doc_id, idx::INTEGER AS col, round(center, 6) AS center, n_rows::INTEGER AS n_rows FROM va")
 def f_table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rowed = tables.rows(fx.table_boxes(spark, sf_dir), 150, top_origin=True)
-    found = tables.columns(rowed, 250)
+    found = tables.columns(fx.table_boxes(spark, sf_dir), 150, 250, top_origin=True)
     return found.select("doc_id", F.posexplode("centers").alias("col", "center"), "n_rows").withColumn("center", F.round("center", 6))
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.cells(fx.table_boxes(spark, sf_dir), 150, 250, top_origin=True)
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.tables(fx.table_boxes(spark, sf_dir), 150, 250, top_origin=True)
 
 
 @query(f'WITH {_CELLS} SELECT doc_id, row_no::INTEGER AS "row", idx::INTEGER AS col, n_rows::INTEGER AS n_rows, n_cols::INTEGER AS n_cols, text, x, y FROM ce')
 def d_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir).drop("w", "h")
+    return tables.cells(fx.table_boxes(spark, sf_dir), 150, 250, top_origin=True).drop("w", "h")
 
 
 @query(f"""WITH {_CELLS}
 SELECT doc_id, string_agg('| ' || array_to_string(texts, ' | ') || ' |' || CASE WHEN row_no = 0 THEN chr(10) || '| ' || array_to_string(list_transform(texts, lambda t: '---'), ' | ') || ' |' ELSE '' END, chr(10) ORDER BY row_no) AS markdown FROM gr GROUP BY doc_id""")
 def b_table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.to_markdown(tables.grid(_cells(spark, sf_dir)))
+    return tables.to_markdown(_tables(spark, sf_dir))
 
 
 @query(f"""WITH {_CELLS}
 SELECT doc_id, '<table>' || chr(10) || string_agg('  <tr>' || chr(10) || array_to_string(list_transform(texts, lambda t: CASE WHEN row_no = 0 THEN '    <th>' || t || '</th>' ELSE '    <td>' || t || '</td>' END), chr(10)) || chr(10) || '  </tr>', chr(10) ORDER BY row_no) || chr(10) || '</table>' AS html
 FROM gr GROUP BY doc_id""")
 def b_table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.to_html(tables.grid(_cells(spark, sf_dir)))
+    return tables.to_html(_tables(spark, sf_dir))
 
 
 @query(f"""WITH {_CELLS}
 SELECT doc_id, '{{"rows":' || count(*) || ',"cols":' || first(n_cols) || ',"cells":[' || string_agg('[' || array_to_string(list_transform(list_zip(texts, boxes), lambda z: '{{"text":"' || z[1] || '","bbox":' || z[2] || '}}'), ',') || ']', ',' ORDER BY row_no) || ']}}' AS json
 FROM gr GROUP BY doc_id""")
 def b_table_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.to_json(tables.grid(_cells(spark, sf_dir)))
+    return tables.to_json(_tables(spark, sf_dir))
 
 
 # regions

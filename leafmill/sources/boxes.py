@@ -51,7 +51,7 @@ def recognise(pictures: DataFrame, recogniser: Callable[[bytes], list[tuple]], t
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     got = pictures.select(F.col("doc_id").cast("long"), F.col(page).cast("int"), "data").mapInArrow(run, BOXES + ", error string")
-    return got.filter(F.col("error").isNotNull() | (F.col("confidence") >= threshold))
+    return got.filter(F.col("error").isNotNull() | (F.coalesce("confidence", F.lit(1.0)) >= threshold))
 
 
 def normalise(boxes: DataFrame, origin: str = "bottom") -> DataFrame:

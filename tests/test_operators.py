@@ -34,11 +34,11 @@ GRID = [("A1", 1.0, [0.1, 0.8, 0.1, 0.05]), ("A2", 1.0, [0.3, 0.8, 0.1, 0.05]),
 def test_rows_and_columns(spark):
     rowed = tables.rows(boxes(spark, GRID), 0.02)
     assert {(r.text, r.row_no) for r in rowed.collect()} == {("A1", 0), ("A2", 0), ("B1", 1), ("B2", 1)}
-    assert tables.columns(rowed, 0.03, 0.5).first().centers == pytest.approx([0.1, 0.3])
+    assert tables.columns(boxes(spark, GRID), 0.02, 0.03, 0.5).first().centers == pytest.approx([0.1, 0.3])
 
 
 def test_table_markdown_html_json(spark):
-    g = tables.grid(tables.cells(boxes(spark, GRID)))
+    g = tables.of_cells(tables.cells(boxes(spark, GRID)))
     assert tables.to_markdown(g).first().markdown == "| A1 | A2 |\n| --- | --- |\n| B1 | B2 |"
     assert tables.to_html(g).first().html == "<table>\n  <tr>\n    <th>A1</th>\n    <th>A2</th>\n  </tr>\n  <tr>\n    <td>B1</td>\n    <td>B2</td>\n  </tr>\n</table>"
     got = json.loads(tables.to_json(g).first().json)
@@ -51,7 +51,7 @@ def test_no_table(spark):
 
 
 def test_missing_cell_and_single_row_markdown(spark):
-    g = tables.grid(tables.cells(boxes(spark, GRID[:3]), alignment=0.5))
+    g = tables.tables(boxes(spark, GRID[:3]), alignment=0.5)
     assert tables.to_markdown(g).first().markdown == "| A1 | A2 |\n| --- | --- |\n| B1 |  |"
 
 
