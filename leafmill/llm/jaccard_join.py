@@ -35,7 +35,7 @@ TILE, TILE_GRAMS = 700, 2_000_000
 SLAB, GULP = 1 << 14, 1 << 19
 EPS = 1e-9
 
-_DOCS = "doc_id long, size int, gsig long, fsig long, prefix binary"
+_DOCS = "doc_id long, size int, gsig long, fsig long, prefix binary, parity binary"
 #: Positions are kept up to this one, which makes the position filter no stricter; two bits above it say on which side of a pair of blocks a document is.
 _FAR, _SIDE, _CROSS = (1 << 14) - 1, 1 << 14, 1 << 15
 
@@ -129,8 +129,22 @@ def _ordered(values: np.ndarray, offsets: np.ndarray, n: int, rank: np.ndarray |
     return h[first], doc[first]
 
 
+def _parities(h: np.ndarray, doc: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For each document with n-grams a bit per hash value, how often it occurs being odd or even; 2 to 4 bits an n-gram, a power of two.
+
+    Two of them differ in no more bits than the sets do in members; one of twice the length is folded by XOR of its halves.
+    """
+    some = size[size > 0]
+    bits = np.maximum(64, 1 << np.ceil(np.log2(2 * some)).astype(np.int64)) if len(some) else some
+    ends = np.cumsum(bits)
+    of = (np.cumsum(size > 0) - 1)[doc]
+    at = (ends - bits)[of] + (_mix(h ^ np.uint64(0x2545F4914F6CDD1D)).view(np.int64) & (bits[of] - 1))
+    odd = np.packbits((np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8))
+    return [odd[(e - b) // 8 : e // 8].tobytes() for b, e in zip(bits, ends)]
+
+
 def signatures(docs: DataFrame, rank: np.ndarray, n: int = N, threshold: float = THRESHOLD, bits: int = SKETCH_BITS) -> DataFrame:
-    """_DOCS: size of the set, gsig (a hash of prefix and size), fsig (of the whole set) and the prefix, for each row with words."""
+    """_DOCS: size of the set, gsig (a hash of prefix and size), fsig (of the whole set) the prefix and the parity bits, for each row with words."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +164,8 @@ def signatures(docs: DataFrame, rank: np.ndarray, n: int = N, threshold: float =
                 gsig, fsig = _mix(heads + sizes * np.uint64(0x9E3779B97F4A7C15)), _mix(sums + sizes)
                 blobs = [h[a : a + k].tobytes() for a, k in zip(start[some], length[some])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(size[some].astype(np.int32)), pa.array(gsig.view(np.int64)), pa.array(fsig.view(np.int64)), pa.array(blobs, pa.binary())],
-                    names=["doc_id", "size", "gsig", "fsig", "prefix"],
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(size[some].astype(np.int32)), pa.array(gsig.view(np.int64)), pa.array(fsig.view(np.int64)), pa.array(blobs, pa.binary()), pa.array(_parities(h, doc, size), pa.binary())],
+                    names=["doc_id", "size", "gsig", "fsig", "prefix", "parity"],
                 )
 
     return _worded(docs).mapInArrow(run, _DOCS)
@@ -360,11 +374,21 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 some = np.flatnonzero(size)
                 sums = np.add.reduceat(_mix(h ^ np.uint64(0x5851F42D4C957F2D)), start[some]) if len(some) else h
                 fsig = _mix(sums + size[some].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(fsig.view(np.int64)), pa.array([h[a : a + k].tobytes() for a, k in zip(start[some], size[some])], pa.binary())], names=["fsig", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(fsig.view(np.int64)), pa.array([_thin(h[a : a + k]) for a, k in zip(start[some], size[some])], pa.binary())], names=["fsig", "grams"])
 
     return _worded(docs).mapInArrow(run, "fsig long, grams binary")
 
 
+def _thin(h: np.ndarray) -> bytes:
+    """Ascending hashes as their differences, first all lowest bytes, then all next ones: the high bytes are mostly zeros, which compression takes out."""
+    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _thick(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 class _Tile:
     """Sets (node, weight, data) and then pairs (a, b) of one tile."""
 
@@ -381,7 +405,7 @@ class _Tile:
     def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each pair the places, how many n-grams both have, and how many either has: rows of bits, a slab of n-grams at a time."""
         i, j = self.pairs()
-        grams = [np.frombuffer(d, np.uint64) for d in self.data]
+        grams = [_thick(d) for d in self.data]
         size = np.array([len(g) for g in grams])
         value, of = np.unique(np.concatenate(grams), return_inverse=True)
         owner = np.repeat(np.arange(len(grams)), size)
@@ -432,7 +456,7 @@ def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         for tile in _tiles(batches):
             _, _, both, union = tile.common()
             ok = both >= threshold * union - EPS
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(tile.a)[ok]), pa.array(np.array(tile.b)[ok]), pa.array(both[ok] / union[ok])], names=["a", "b", "jaccard"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(tile.a, np.int64)[ok]), pa.array(np.array(tile.b, np.int64)[ok]), pa.array(both[ok] / union[ok])], names=["a", "b", "jaccard"])
 
     return run
 
@@ -464,6 +488,33 @@ def _link(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def _rule_out(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, big) of tiles with parity bits for data and sizes for weights: leaves out pairs whose bits differ more than similar sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles(batches):
+            i, j = tile.pairs()
+            size, lengths = np.array(tile.weights, np.int64), np.array([len(d) for d in tile.data])
+            ok = np.zeros(len(i), bool)
+            least = np.minimum(lengths[i], lengths[j])
+            for length in np.unique(least):  # the longer of two is folded to the length of the shorter
+                mine = np.flatnonzero(least == length)
+                used, at = np.unique(np.concatenate([i[mine], j[mine]]), return_inverse=True)
+                bits = np.empty((len(used), length // 8), np.uint64)
+                for row, k in enumerate(used):
+                    bits[row] = np.bitwise_xor.reduce(np.frombuffer(tile.data[k], np.uint64).reshape(-1, length // 8), axis=0)
+                x, y = at[: len(mine)], at[len(mine) :]
+                step = max(1, GULP // (length // 8))
+                for k in range(0, len(mine), step):
+                    m = mine[k : k + step]
+                    differ = np.bitwise_count(bits[x[k : k + step]] ^ bits[y[k : k + step]]).sum(axis=1, dtype=np.int64)
+                    ok[m] = differ <= (1 - threshold) / (1 + threshold) * (size[i[m]] + size[j[m]]) + EPS
+            larger = np.maximum(size[i], size[j])[ok].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(tile.a, np.int64)[ok]), pa.array(np.array(tile.b, np.int64)[ok]), pa.array(larger)], names=["a", "b", "big"])
+
+    return run
+
+
 def _numbered(docs: DataFrame, n: int, threshold: float, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """signed: signatures with a number `row`; names: (row, doc_id, fsig) of it; nodes (node, gid, size, fsig, n_nodes, weight): the different
     sets, each as the least row that has it, with their group, as its least node, the group's nodes, and the doc_ids of the set."""
@@ -483,7 +534,8 @@ def _candidate_pairs(signed: DataFrame, nodes: DataFrame, threshold: float) -> D
     buckets = max(1, math.ceil(total / BUCKET))
     by_gram = groups.mapInArrow(_postings(buckets), _PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     by_hub = by_gram.mapInArrow(_regroup(buckets), _PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = by_hub.mapInArrow(_candidates(threshold), _PAIRS).groupBy("ga", "gb").agg(F.sum("n").alias("n"), F.max("least").alias("least"), F.max("big").alias("big"))
+    # by one side only: the pairs of a group stay next to each other and compress well
+    found = by_hub.mapInArrow(_candidates(threshold), _PAIRS).repartition("ga").groupBy("ga", "gb").agg(F.sum("n").alias("n"), F.max("least").alias("least"), F.max("big").alias("big"))
     found = materialize(found.filter("n >= least").select("ga", "gb", "big"), "join-groups")
     # members of groups: the different sets that share a prefix, and all across a pair of groups; most groups are one set
     several = materialize(nodes.filter("n_nodes > 1").select("gid", "node", "size"), "join-several")
@@ -500,8 +552,12 @@ def _candidate_pairs(signed: DataFrame, nodes: DataFrame, threshold: float) -> D
 def _compared(docs: DataFrame, signed: DataFrame, names: DataFrame, nodes: DataFrame, n: int, threshold: float) -> DataFrame:
     """Rows of tiles (tile, kind, a, b, weight, data), in order, with whole sets for data, of the pairs that may be similar."""
     pairs = _candidate_pairs(signed, nodes, threshold)
-    discard(signed)
+    # parity bits are a fraction of the sets' size and leave few pairs, and few sets, to compare in full
     tiled, places = _tiled(pairs)
+    bits_of = signed.select(F.col("row").alias("node"), F.col("size").cast("long").alias("weight"), F.col("parity").alias("data"))
+    likely = materialize(_by_tile(bits_of, tiled, places).mapInArrow(_rule_out(threshold), "a long, b long, big int"), "join-likely")
+    discard(signed)
+    tiled, places = _tiled(likely)
     leads = nodes.select("node", "fsig", "weight").join(small(places.select("node")), "node", "left_semi")
     leads = materialize(leads.join(names.select(F.col("row").alias("node"), "doc_id"), "node"), "join-leads")
     some = docs.join(small(leads.select(F.col("doc_id").alias("__nj_id")).distinct()), F.col("doc_id").cast("long") == F.col("__nj_id"), "left_semi")

@@ -18,7 +18,7 @@ from leafmill.llm.common import NOT_SPACE, list_values, materialize, table
 #: Corpus tokens in one suffix array: what a task holds at once, whatever the size of the corpus.
 SHARD_TOKENS = 2_000_000
 #: Query tokens that are looked up in a shard at once; a shard is built once, whatever the number of such blocks.
-PASS_TOKENS = 500_000
+PASS_TOKENS = 200_000
 #: Matches are extended token by token up to this length; longer ones are found by binary search with hashed comparisons.
 DEEP = 16
 #: Weight, in occurrences, of the unigram distribution in the smoothed probability.
@@ -47,12 +47,14 @@ class Shard:
         self.text = np.zeros(n + 1, np.int32)
         at = np.arange(len(hashes)) + np.repeat(np.arange(len(lengths)), lengths)
         self.text[at] = ids + 1
+        counts = np.bincount(ids, minlength=len(self.vocabulary))
+        del ids
         self.sa = self._sort(self.text, depth, at)
         # where the suffixes of each first token begin, and their first two tokens as one number
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(self.vocabulary)))])
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
         self.pairs = self.text[self.sa].astype(np.int64) * (len(self.vocabulary) + 1) + self.text[self.sa + 1] if depth > 1 else None
         self.total = len(hashes)
-        self.numbers = np.repeat(np.arange(len(lengths)) if numbers is None else numbers, lengths + 1)
+        self.numbers = np.repeat((np.arange(len(lengths)) if numbers is None else numbers).astype(np.int32), lengths + 1)
         self.lengths = lengths if numbers is None else np.bincount(numbers, weights=lengths).astype(np.int64)
         self.sums: tuple[np.ndarray, np.ndarray] | None = None
         self.owners: tuple[np.ndarray, ...] | None = None
@@ -64,7 +66,8 @@ class Shard:
             doc = self.numbers[self.sa]
             change = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if n else np.zeros(0, np.int64)
             size = np.diff(np.append(change, n))
-            self.owners = doc, np.repeat(change, size), np.repeat(change + size, size), np.sort(doc * (n + 1) + np.arange(n))
+            change, size = change.astype(np.int32), size.astype(np.int32)
+            self.owners = doc, np.repeat(change, size), np.repeat(change + size, size), np.sort(doc * np.int64(n + 1) + np.arange(n))
         return self.owners
 
     def others(self, lo: np.ndarray, hi: np.ndarray, own: np.ndarray | None) -> np.ndarray:
@@ -79,14 +82,13 @@ class Shard:
     @staticmethod
     def _sort(text: np.ndarray, depth: int, starts: np.ndarray) -> np.ndarray:
         """Prefix doubling; only groups that are still tied are sorted again. Separators start no suffix."""
-        rank = text.astype(np.int64)
-        order = np.argsort(rank[starts])
-        sa = starts[order]
-        key = rank[sa]
+        starts = starts.astype(np.int32)
+        sa = starts[np.argsort(text[starts], kind="stable")]
+        key = text[sa]
         change = np.concatenate([[True], key[1:] != key[:-1]])
         # a token's rank is the place of the first suffix of its group, 1 at least; separators keep 0
-        group = np.maximum.accumulate(np.where(change, np.arange(len(sa)), 0))
-        rank = np.zeros(len(text), np.int64)
+        group = np.maximum.accumulate(np.where(change, np.arange(len(sa), dtype=np.int32), np.int32(0)))
+        rank = np.zeros(len(text), np.int32)
         rank[sa] = group + 1
         width = 1
         while width < depth:
@@ -96,9 +98,10 @@ class Shard:
             at = sa[tied]
             # a suffix that meets a separator within `width` differs from no other by what follows it
             after = np.where(at + width < len(text), rank[np.minimum(at + width, len(text) - 1)], 0)
-            key = group[tied] * (len(text) + 1) + after
+            key = group[tied].astype(np.int64) * (len(text) + 1) + after
             order = np.argsort(key)
             key, at = key[order], at[order]
+            del order, after
             sa[tied] = at
             fresh = np.concatenate([[True], key[1:] != key[:-1]])
             change[tied] = change[tied] | fresh

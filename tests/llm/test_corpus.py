@@ -312,6 +312,27 @@ def test_keep_one_takes_the_least_of_each_class(spark):
     assert sorted(r.doc_id for r in jaccard_join.keep_one(d).collect()) == [i for i in range(len(texts)) if root[i] == i]
 
 
+def test_parities_never_rule_out_similar_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        h = np.unique(rng.integers(0, 2**63, rng.integers(3, 400)).astype(np.uint64))
+        a, b = h[: int(len(h) * 0.9)], h[int(len(h) * 0.1) :]
+        (x,), (y,) = (jaccard_join._parities(s, np.zeros(len(s), np.int64), np.array([len(s)])) for s in (a, b))
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_sets_travel_without_loss():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 300):
+        h = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (jaccard_join._thick(jaccard_join._thin(h)) == h).all()
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
