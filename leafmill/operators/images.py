@@ -110,6 +110,112 @@ def many_regions(a: np.ndarray) -> bool:
     return n >= 3 or (n >= 2 and float(cells.std(axis=0).mean()) > 25)
 
 
+def find_boxes(a: np.ndarray, cell: int = 8, apart: float = 30.0, reach: int = 2) -> list[tuple[int, int, int, int]]:
+    """Boxes (x, y, w, h) in pixels around what stands out from the colour of the picture's border.
+
+    Means of cells that differ from the border's median by more than `apart` count; cells up to `reach` apart are one region.
+    """
+    h, w = a.shape[0] // cell, a.shape[1] // cell
+    if not h or not w:
+        return []
+    means = a[: h * cell, : w * cell].reshape(h, cell, w, cell, -1).mean(axis=(1, 3))
+    edge = np.concatenate([means[0], means[-1], means[:, 0], means[:, -1]])
+    mask = np.abs(means - np.median(edge, axis=0)).max(axis=2) > apart
+    label = np.full((h, w), -1)
+    boxes = []
+    for y, x in zip(*np.nonzero(mask)):
+        if label[y, x] >= 0:
+            continue
+        label[y, x] = len(boxes)
+        todo, (top, left, low, right) = [(y, x)], (y, x, y, x)
+        while todo:
+            i, j = todo.pop()
+            top, left, low, right = min(top, i), min(left, j), max(low, i), max(right, j)
+            i0, j0 = max(0, i - reach), max(0, j - reach)
+            near = np.argwhere(mask[i0 : i + reach + 1, j0 : j + reach + 1] & (label[i0 : i + reach + 1, j0 : j + reach + 1] < 0)) + (i0, j0)
+            label[near[:, 0], near[:, 1]] = len(boxes)
+            todo += [tuple(p) for p in near]
+        boxes.append((int(left) * cell, int(top) * cell, int(right - left + 1) * cell, int(low - top + 1) * cell))
+    return boxes
+
+
+def resize(a: np.ndarray, scale: float) -> np.ndarray:
+    """Bilinear, pixel centres on pixel centres."""
+    h, w = max(1, round(a.shape[0] * scale)), max(1, round(a.shape[1] * scale))
+    at = lambda n, m: np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
+    y, x = at(h, a.shape[0]), at(w, a.shape[1])
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
+    more = (1,) * (a.ndim - 2)
+    fy, fx = (y - y0).reshape(-1, 1, *more), (x - x0).reshape(1, -1, *more)
+    f = a.astype(np.float64)
+    top, low = f[y0][:, x0] * (1 - fx) + f[y0][:, x1] * fx, f[y1][:, x0] * (1 - fx) + f[y1][:, x1] * fx
+    return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
+
+
+def blur3(a: np.ndarray) -> np.ndarray:
+    """The mean of 3 x 3 pixels, edges repeated."""
+    p = np.pad(a.astype(np.float64), ((1, 1), (1, 1)) + ((0, 0),) * (a.ndim - 2), mode="edge")
+    return sum(p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3)) / 9
+
+
+def sharpen(a: np.ndarray, strength: float = 1.0) -> np.ndarray:
+    """Unsharp mask: the difference to the 3 x 3 mean, added again."""
+    return np.clip(np.rint(a + strength * (a - blur3(a))), 0, 255).astype(np.uint8)
+
+
+def raise_contrast(a: np.ndarray, strength: float = 1.0) -> np.ndarray:
+    """Away from the mean by half the strength."""
+    return np.clip(np.rint((a.astype(np.float64) - a.mean()) * (1 + strength / 2) + a.mean()), 0, 255).astype(np.uint8)
+
+
+def rotate(a: np.ndarray, degrees: float, fill: int = 255) -> np.ndarray:
+    """Counter-clockwise about the middle, nearest pixel, the size kept."""
+    t = np.deg2rad(degrees)
+    cy, cx = (a.shape[0] - 1) / 2, (a.shape[1] - 1) / 2
+    y, x = np.mgrid[: a.shape[0], : a.shape[1]]
+    sx = np.rint(np.cos(t) * (x - cx) - np.sin(t) * (y - cy) + cx).astype(int)
+    sy = np.rint(np.sin(t) * (x - cx) + np.cos(t) * (y - cy) + cy).astype(int)
+    inside = (sx >= 0) & (sx < a.shape[1]) & (sy >= 0) & (sy < a.shape[0])
+    out = np.full_like(a, fill)
+    out[inside] = a[sy[inside], sx[inside]]
+    return out
+
+
+def skew(g: np.ndarray, most: float = 5.0, step: float = 0.5) -> float:
+    """The rotation within +/- most degrees after which dark pixels are most concentrated in rows; 0 of equals first."""
+    dark = 255 - g.astype(np.float64)
+    angles = sorted(np.arange(-most, most + step / 2, step), key=abs)
+    return float(max(angles, key=lambda d: (round(float(rotate(dark, d, 0).sum(axis=1).var()), 6), -abs(d))))
+
+
+def prepare(a: np.ndarray, scale: float, steps: list[str]) -> np.ndarray:
+    """A picture after the steps of its preprocessing_plan."""
+    if scale > 1:
+        a = resize(a, scale)
+    for s in steps:
+        name, _, strength = s.partition("_")
+        a = PLAN_STEPS[name](a, float(strength or 1))
+    return a
+
+
+def camera_mark(data: bytes) -> bool:
+    """Whether a JPEG's EXIF block names a camera's make or model."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            block = data[at + 10 : at + 2 + size]
+            order = {b"II": "little", b"MM": "big"}.get(block[:2])
+            if order is None:
+                return False
+            start = int.from_bytes(block[4:8], order)
+            n = int.from_bytes(block[start : start + 2], order)
+            return any(int.from_bytes(block[start + 2 + 12 * i :][:2], order) in (0x010F, 0x0110) for i in range(n))
+        at += 2 + size
+    return False
+
+
 def measure(a: np.ndarray) -> tuple:
     s = sample(a, SAMPLE)
     g = gray(s)
@@ -240,10 +346,15 @@ def red_to_dark(a: np.ndarray) -> np.ndarray:
     return np.clip((255 - np.clip(r - np.maximum(g, b), 0, 255) - 128) * 1.5 + 128, 0, 255).astype(np.uint8)
 
 
+#: Steps of preprocessing plans, each with its strength.
+PLAN_STEPS: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {
+    "gamma": lambda a, _: gamma(a), "color": lambda a, _: OPERATIONS["stretch"](a), "contrast": raise_contrast, "denoise": lambda a, _: median3(a), "sharpen": sharpen, "binarize": lambda a, _: OPERATIONS["otsu"](a),
+}
+
 OPERATIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "gray": gray, "gamma": gamma, "stretch": lambda a: np.stack([stretch(a[:, :, i]) for i in range(a.shape[2])], axis=2) if a.ndim == 3 else stretch(a),
     "binarize": lambda a: binarize(gray(a)), "otsu": lambda a: binarize(gray(a), otsu(gray(a))), "block_binarize": lambda a: block_binarize(gray(a)),
-    "median3": median3, "whiten_background": whiten_background, "red_to_dark": red_to_dark,
+    "median3": median3, "sharpen": sharpen, "contrast": raise_contrast, "deskew": lambda a: rotate(a, skew(gray(a))), "whiten_background": whiten_background, "red_to_dark": red_to_dark,
 }
 
 

@@ -17,6 +17,43 @@ def plausible(regions: DataFrame, width: str = "width", height: str = "height")
     return regions.filter(plausible_region(box(), F.col(width), F.col(height)))
 
 
+def survivors(x: list, y: list, w: list, h: list, iou: float = 0.5, contained: float | None = 0.8) -> list[int]:
+    """Of boxes from the largest down those that stay, then those without a place."""
+    kept: list[int] = []
+    loose: list[int] = []
+    for j in range(len(x)):
+        if None in (x[j], y[j], w[j], h[j]):
+            loose.append(j)
+            continue
+        area = w[j] * h[j]
+        for i in kept:
+            wide, tall = min(x[i] + w[i], x[j] + w[j]) - max(x[i], x[j]), min(y[i] + h[i], y[j] + h[j]) - max(y[i], y[j])
+            both = wide * tall if wide > 0 and tall > 0 else 0
+            if area > 0 and contained is not None and both / area >= contained:
+                break
+            union = area + w[i] * h[i] - both
+            if union > 0 and both / union > iou:
+                break
+        else:
+            kept.append(j)
+    return kept + loose
+
+
+def arranged(boxes: list[tuple[int, int, int, int]], width: int, height: int, least: float = 0.02, most: float = 0.95, slimmest: float = 0.1, widest: float = 10.0) -> list[tuple[int, int, int, int]]:
+    """What plausible(), suppress(), reading_order() and with_fallback() make of one picture's boxes (x, y, w, h), within Python."""
+    good = [b for b in boxes if b[3] > 0 and least <= b[2] * b[3] / (width * height) <= most and slimmest <= b[2] / b[3] <= widest and b[0] >= 0 and b[1] >= 0 and b[0] + b[2] <= width and b[1] + b[3] <= height]
+    good = sorted(good, key=lambda b: -b[2] * b[3])
+    good = [good[i] for i in survivors(*map(list, zip(*good)))] if good else []
+    rows: list[list[tuple[int, int, int, int]]] = []
+    for b in sorted(good, key=lambda b: b[1] + b[3] / 2):
+        last = rows[-1][-1] if rows else None
+        if last and abs((b[1] + b[3] / 2) - (last[1] + last[3] / 2)) < last[3] * 0.5:
+            rows[-1].append(b)
+        else:
+            rows.append([b])
+    return [b for r in rows for b in sorted(r, key=lambda b: b[0])] or [(0, 0, width, height)]
+
+
 def suppress(regions: DataFrame, iou: float = 0.5, contained: float | None = 0.8, key: str = "doc_id", tie: str = "region_index") -> DataFrame:
     """regions without those that a larger one has in it (at least that share, None: no such test) or overlaps by more than that intersection over union.
 
@@ -24,25 +61,8 @@ def suppress(regions: DataFrame, iou: float = 0.5, contained: float | None = 0.8
     """
 
     def step(g: dict[str, list]) -> dict[str, list]:
-        x, y, w, h = g["x"], g["y"], g["w"], g["h"]
-        kept: list[int] = []
-        loose: list[int] = []
-        for j in range(len(x)):
-            if None in (x[j], y[j], w[j], h[j]):
-                loose.append(j)
-                continue
-            area = w[j] * h[j]
-            for i in kept:
-                wide, tall = min(x[i] + w[i], x[j] + w[j]) - max(x[i], x[j]), min(y[i] + h[i], y[j] + h[j]) - max(y[i], y[j])
-                both = wide * tall if wide > 0 and tall > 0 else 0
-                if area > 0 and contained is not None and both / area >= contained:
-                    break
-                union = area + w[i] * h[i] - both
-                if union > 0 and both / union > iou:
-                    break
-            else:
-                kept.append(j)
-        return {k: [v[i] for i in kept + loose] for k, v in g.items()}
+        kept = survivors(g["x"], g["y"], g["w"], g["h"], iou, contained)
+        return {k: [v[i] for i in kept] for k, v in g.items()}
 
     order: list[Column | str] = [(F.col("w") * F.col("h")).desc_nulls_last(), tie]
     return fold(regions, [key], order, step, _ddl(regions))

@@ -144,3 +144,21 @@ profiles AS (
   SELECT p_partkey::BIGINT AS doc_id, (200 + p_partkey * 13 % 2400)::INTEGER AS width, (200 + p_partkey * 97 % 14000)::INTEGER AS height, (p_partkey % 100) / 100.0::DOUBLE AS contrast,
          (p_partkey * 7 % 100) / 100.0::DOUBLE AS noise, (p_partkey * 11 % 100) / 100.0::DOUBLE AS sharp,
          CASE p_partkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'mixed' ELSE 'document' END AS content_type, p_partkey % 3 = 0 AS code, p_partkey % 5 < 2 AS multi FROM part)"""
+
+
+def banded_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray pictures of 2 to 61 bands of 100 rows, each of its own gray, a picture per part."""
+    n = (2 + F.col("p_partkey") % 60).cast("int")
+    band = lambda i: F.repeat(F.lpad(F.hex(i + 1), 2, "0"), F.lit(100 * 8))
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), band), ""))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), (n * 100).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+
+
+def read_bands(a) -> list[tuple]:
+    """A stand-in for a recogniser: reads each band that it sees whole as the number of its gray."""
+    import numpy as np
+
+    column = a[:, 0].astype(int)
+    starts = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
+    ends = np.append(starts[1:], len(column))
+    return [(f"b{column[s] - 1}", 1.0, 0.0, 1 - e / len(column), 1.0, (e - s) / len(column)) for s, e in zip(starts.tolist(), ends.tolist()) if e - s == 100]

@@ -12,7 +12,7 @@ from leafmill.functions import paths
 from leafmill.functions.text import character_similarity, ends_sentence, goes_on, is_han, line_relation, list_item_title, overlap_length, sequence_ratio, starts_paragraph
 from leafmill.operators import cleaner, coordinates, images, layout, quality, regions, slicing, tables
 from leafmill.plans import fixtures as fx
-from leafmill.plans import pipelines
+from leafmill.plans import pipelines, recognition
 from leafmill.sinks import documents as sink
 from leafmill.sources.boxes import page_text
 
@@ -385,6 +385,12 @@ def k_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "attempt", "strategy", F.round("quality_score", 12).alias("quality_score"))
 
 
+@query("""SELECT p_partkey::BIGINT AS doc_id, array_to_string(list_transform(range(2 + p_partkey % 60), lambda i: 'b' || i), chr(10)) AS text, (2 + p_partkey % 60) * 100 > 4000 AS sliced, 2 + p_partkey % 60 AS n_boxes FROM part""")
+def k_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = recognition.adaptive(recognition.profiled(fx.banded_pictures(spark, sf_dir)), fx.read_bands, preprocess=False)
+    return got.select("doc_id", "text", (F.col("processing_info.slice_count") > 0).alias("sliced"), F.size("boxes").cast("long").alias("n_boxes"))
+
+
 # cleaning
 
 
