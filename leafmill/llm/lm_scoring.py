@@ -288,8 +288,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             n += int(offsets[hi] - offsets[lo])
             lo = hi
             if n >= 0.9 * SHARD_TOKENS:
-                yield np.concatenate(held), np.concatenate(sizes), np.concatenate(rows)
+                whole = np.concatenate(held), np.concatenate(sizes), np.concatenate(rows)
                 held, sizes, rows, n = [], [], [], 0
+                yield whole
+                del whole
     if n:
         yield np.concatenate(held), np.concatenate(sizes), np.concatenate(rows)
 
@@ -333,6 +335,7 @@ def count_matches(corpus: DataFrame, files: list[str], depth: int) -> DataFrame:
         for values, lengths, numbers in _shards(batches):
             known, number = np.unique(numbers, return_inverse=True)
             shard = Shard(values, lengths, depth, number)
+            del values
             room = MERGED_TOKENS
             for k, (rows, sizes, hashes) in enumerate(_blocks(files)):
                 at = np.minimum(np.searchsorted(known, rows), len(known) - 1)
@@ -347,6 +350,8 @@ def count_matches(corpus: DataFrame, files: list[str], depth: int) -> DataFrame:
                     held.append([rows, sizes, total, tuple(x.astype(np.int32) for x in found)])
                 else:
                     yield out(rows, sizes, total, found)
+                del found
+            del shard  # before the next one is built
         for part in held:
             yield out(*part)
 
