@@ -25,6 +25,8 @@ SKETCH_CHUNK = 1 << 16
 CHUNK_DOCS, CHUNK_WORDS = 512, 150_000
 #: Prefix n-grams of one bucket, which one task joins at once.
 BUCKET = 600_000
+#: Pairs that a task adds up before it passes them on.
+HELD = 2_000_000
 #: Documents that share an n-gram and are compared at once; more of them are cut into blocks, and blocks into pairs of blocks.
 RUN = 4096
 #: Documents of one pack of postings.
@@ -335,10 +337,10 @@ def _candidates(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             found.append((np.minimum(x, y) << 32) | np.maximum(x, y))
             times.append(np.ones(len(x), np.int32))
             held += len(x)
-            if held > BUCKET:
+            if held > HELD:
                 add_up()
                 held = len(found[0])
-                if held > BUCKET // 2:
+                if held > HELD // 2:
                     yield out(found[0], times[0], ids, size)
                     found.clear()
                     times.clear()
@@ -392,7 +394,8 @@ def _thick(data: bytes) -> np.ndarray:
 class _Tile:
     """Sets (node, weight, data) and then pairs (a, b) of one tile."""
 
-    def __init__(self):
+    def __init__(self, key: int = 0):
+        self.key = key
         self.nodes, self.weights, self.data, self.a, self.b, self.known = [], [], [], [], [], set()
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -436,7 +439,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[_Tile]:
             if key != now:
                 if tile.a:
                     yield tile
-                now, tile = key, _Tile()
+                now, tile = key, _Tile(key)
             if kind:
                 tile.a.append(a)
                 tile.b.append(b)
@@ -489,7 +492,7 @@ def _link(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def _rule_out(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, big) of tiles with parity bits for data and sizes for weights: leaves out pairs whose bits differ more than similar sets can."""
+    """(tile, a, b) of tiles with parity bits for data and sizes for weights: leaves out pairs whose bits differ more than similar sets can."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _tiles(batches):
@@ -509,8 +512,7 @@ def _rule_out(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                     m = mine[k : k + step]
                     differ = np.bitwise_count(bits[x[k : k + step]] ^ bits[y[k : k + step]]).sum(axis=1, dtype=np.int64)
                     ok[m] = differ <= (1 - threshold) / (1 + threshold) * (size[i[m]] + size[j[m]]) + EPS
-            larger = np.maximum(size[i], size[j])[ok].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(tile.a, np.int64)[ok]), pa.array(np.array(tile.b, np.int64)[ok]), pa.array(larger)], names=["a", "b", "big"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(ok.sum()), tile.key)), pa.array(np.array(tile.a, np.int64)[ok]), pa.array(np.array(tile.b, np.int64)[ok])], names=["tile", "a", "b"])
 
     return run
 
@@ -555,9 +557,9 @@ def _compared(docs: DataFrame, signed: DataFrame, names: DataFrame, nodes: DataF
     # parity bits are a fraction of the sets' size and leave few pairs, and few sets, to compare in full
     tiled, places = _tiled(pairs)
     bits_of = signed.select(F.col("row").alias("node"), F.col("size").cast("long").alias("weight"), F.col("parity").alias("data"))
-    likely = materialize(_by_tile(bits_of, tiled, places).mapInArrow(_rule_out(threshold), "a long, b long, big int"), "join-likely")
+    tiled = materialize(_by_tile(bits_of, tiled, places).mapInArrow(_rule_out(threshold), "tile long, a long, b long"), "join-likely")
+    places = _places(tiled)
     discard(signed)
-    tiled, places = _tiled(likely)
     leads = nodes.select("node", "fsig", "weight").join(small(places.select("node")), "node", "left_semi")
     leads = materialize(leads.join(names.select(F.col("row").alias("node"), "doc_id"), "node"), "join-leads")
     some = docs.join(small(leads.select(F.col("doc_id").alias("__nj_id")).distinct()), F.col("doc_id").cast("long") == F.col("__nj_id"), "left_semi")
@@ -566,7 +568,7 @@ def _compared(docs: DataFrame, signed: DataFrame, names: DataFrame, nodes: DataF
 
 
 def _tiled(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tile, a, b, big) and (node, tiles) of pairs (a, b, big). Sets are sent once to each tile: the pairs whose two sides have the same labels.
+    """(tile, a, b) and (node, tiles) of pairs (a, b, big). Sets are sent once to each tile: the pairs whose two sides have the same labels.
 
     A node's label is the least node within two steps, for a cluster of copies mostly the same for all.
     """
@@ -583,9 +585,14 @@ def _tiled(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tiled = tiled.join(cuts, "tile", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
     tiled = tiled.withColumn("tile", F.when(F.col("cuts") == 1, F.col("tile")).otherwise(F.xxhash64("tile", F.least(part("a"), part("b")), F.greatest(part("a"), part("b")))))
-    tiled = materialize(tiled.select("tile", "a", "b", "big"), "join-tiles")
+    tiled = materialize(tiled.select("tile", "a", "b"), "join-tiles")
+    return tiled, _places(tiled)
+
+
+def _places(tiled: DataFrame) -> DataFrame:
+    """(node, tiles) of pairs (tile, a, b)."""
     places = tiled.select("tile", F.col("a").alias("node")).unionByName(tiled.select("tile", F.col("b").alias("node"))).groupBy("node").agg(F.collect_set("tile").alias("tiles"))
-    return tiled, materialize(places, "join-places")
+    return materialize(places, "join-places")
 
 
 def _by_tile(sets: DataFrame, tiled: DataFrame, places: DataFrame) -> DataFrame:
