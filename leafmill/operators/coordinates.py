@@ -6,7 +6,7 @@ seg_no); their text is left out of lines of text. Boxes with a null key make one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.geometry import box, from_slice
@@ -86,7 +86,7 @@ def deduplicate(boxes: DataFrame, overlap: float = 0.5, similarity: float = 0.8,
         out = {c: [g[c][i] for i in kept] for c in names}
         if placed:
             last = (True, 0)
-            key_of = lambda i: tuple(last if g[c][i] is None else (False, g[c][i]) for c in ("y", "x", "box_no"))
+            key_of = lambda i: (None in (g["x"][i], g["y"][i], g["w"][i], g["h"][i]), *(last if g[c][i] is None else (False, g[c][i]) for c in ("y", "x", "box_no")))
             out["place"] = [0] * len(kept)
             for p, at in enumerate(sorted(range(len(kept)), key=lambda k: key_of(kept[k]))):
                 out["place"][at] = p
@@ -102,7 +102,12 @@ def _ddl(df: DataFrame) -> str:
 
 def reading_order(boxes: DataFrame, key: str = "doc_id") -> DataFrame:
     """boxes with `place`, from 0: downwards, then to the right."""
-    return boxes.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in ("y", "x", "box_no")])) - 1)
+    return boxes.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(unplaced(boxes), *[F.col(c).asc_nulls_last() for c in ("y", "x", "box_no")])) - 1)
+
+
+def unplaced(boxes: DataFrame) -> Column:
+    """Whether a box lacks any part of its place."""
+    return F.greatest(F.lit(False), *[F.col(c).isNull() for c in "xywh" if c in boxes.columns])
 
 
 def merge_results(boxes: DataFrame, slices: DataFrame, overlap: float = 0.5, similarity: float = 0.8, reach: float = 0.02, key: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.geometry import box, plausible_region
-from leafmill.operators.coordinates import _ddl
+from leafmill.operators.coordinates import _ddl, unplaced
 from leafmill.operators.folds import fold
 
 
@@ -70,11 +70,11 @@ def suppress(regions: DataFrame, iou: float = 0.5, contained: float | None = 0.8
 
 def reading_order(regions: DataFrame, key: str = "doc_id", tie: str = "region_index") -> DataFrame:
     """With row_no and place, from 0: a region is in the row of the one before (by centre) if their centres differ by less than half that one's height."""
-    down = Window.partitionBy(key).orderBy(F.col("__c").asc_nulls_last(), tie)
+    down = Window.partitionBy(key).orderBy(unplaced(regions), F.col("__c").asc_nulls_last(), tie)
     new = F.abs(F.col("__c") - F.lag("__c").over(down)) >= F.lag("h").over(down) * 0.5
     out = regions.withColumn("__c", F.col("y") + F.col("h") / 2).withColumn("__new", F.coalesce(new.cast("int"), F.lit(0)))
     out = out.withColumn("row_no", F.sum("__new").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("__c").isNull(), "row_no", F.col("x").asc_nulls_last(), "__c", tie)) - 1
+    place = F.row_number().over(Window.partitionBy(key).orderBy(unplaced(regions), "row_no", F.col("x").asc_nulls_last(), "__c", tie)) - 1
     return out.withColumn("place", place).drop("__c", "__new")
 
 

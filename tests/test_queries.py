@@ -7,7 +7,7 @@ import pytest
 from leafmill.plans.queries import QUERIES, SQL
 from tests.oracle import compare
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
