@@ -13,25 +13,26 @@ from pyspark.sql import functions as F
 from leafmill.operators.coordinates import _ddl
 from leafmill.operators.folds import fold
 
-_CELL = "struct<row:int,col:int,text:string,x:{x},y:{y},w:{w},h:{h}>"
-
 
 def _row_numbers(centers: list[float | None], tolerance: float) -> list[int | None]:
     """Rows of centres that come from the top down, and grow upwards: each joins the first row whose running mean is within the tolerance."""
     sums, counts, of = [], [], []
+    means: list[float] = []
     for c in centers:
         if c is None:
             of.append(None)
             continue
-        for r in range(len(sums)):
-            if abs(c - sums[r] / counts[r]) <= tolerance:
+        for r, m in enumerate(means):
+            if abs(c - m) <= tolerance:
                 break
         else:
             r = len(sums)
             sums.append(0.0)
             counts.append(0)
+            means.append(0.0)
         sums[r] += c
         counts[r] += 1
+        means[r] = sums[r] / counts[r]
         of.append(r)
     place = {r: i for i, r in enumerate(sorted(range(len(sums)), key=lambda r: -sums[r] / counts[r]))}
     return [None if r is None else place[r] for r in of]
@@ -53,13 +54,22 @@ def _chains(values: list[float], tolerance: float) -> list[float]:
 def _columns(x: list[float], row: list[int], tolerance: float, alignment: float) -> list[float]:
     """Ascending chain means that at least that share of the rows has a box at."""
     n_rows = len(set(row))
-    return [c for c in _chains(sorted(x), tolerance) if len({r for v, r in zip(x, row) if abs(v - c) <= tolerance}) / n_rows >= alignment]
+    centers = _chains(sorted(x), tolerance)
+    near: list[set[int]] = [set() for _ in centers]
+    for v, r in zip(x, row):
+        for c, rows_ in zip(centers, near):
+            if abs(v - c) <= tolerance:
+                rows_.add(r)
+    return [c for c, rows_ in zip(centers, near) if len(rows_) / n_rows >= alignment]
 
 
 def _column_of(x: float, centers: list[float], tolerance: float) -> int:
     """The first column within the tolerance, else the nearest, the lowest on a tie."""
+    for i, c in enumerate(centers):
+        if abs(x - c) <= tolerance:
+            return i
     off = [abs(x - c) for c in centers]
-    return next((i for i, d in enumerate(off) if d <= tolerance), off.index(min(off)))
+    return off.index(min(off))
 
 
 def _from_the_top(boxes: DataFrame, key: str, top_origin: bool, step, schema: str) -> DataFrame:
@@ -111,12 +121,14 @@ def tables(boxes: DataFrame, y_tolerance: float = 0.015, x_tolerance: float = 0.
             j = cell.get(at)
             if j is None or (g["x"][i], g["box_no"][i]) > (g["x"][j], g["box_no"][j]):
                 cell[at] = i
-        cells = [{"row": r, "col": c} | {n: g[n][i] for n in ("text", "x", "y", "w", "h")} for (r, c), i in sorted(cell.items())]
-        return {key: g[key][:1], "n_rows": [n_rows], "n_cols": [len(centers)], "cells": [cells]}
+        at = sorted(cell)
+        return {key: g[key][:1], "n_rows": [n_rows], "n_cols": [len(centers)], "row": [[r for r, _ in at]], "col": [[c for _, c in at]]} | {n: [[g[n][cell[p]] for p in at]] for n in ("text", "x", "y", "w", "h")}
 
     kinds = dict(boxes.dtypes)
-    schema = f"`{key}` {kinds[key]}, n_rows int, n_cols int, cells array<{_CELL.format(**{c: kinds[c] for c in 'xywh'})}>"
-    return _from_the_top(boxes.select(key, "box_no", "text", "x", "y", "w", "h"), key, top_origin, step, schema)
+    lists = {"row": "int", "col": "int"} | {c: kinds[c] for c in ("text", "x", "y", "w", "h")}
+    schema = f"`{key}` {kinds[key]}, n_rows int, n_cols int, " + ", ".join(f"{c} array<{k}>" for c, k in lists.items())
+    found = _from_the_top(boxes.select(key, "box_no", "text", "x", "y", "w", "h"), key, top_origin, step, schema)
+    return found.select(key, "n_rows", "n_cols", F.arrays_zip(*lists).alias("cells"))  # flat lists come out of Python faster than structs
 
 
 def cells(boxes: DataFrame, y_tolerance: float = 0.015, x_tolerance: float = 0.025, min_rows: int = 2, min_cols: int = 2, alignment: float = 0.6, key: str = "doc_id", top_origin: bool = False) -> DataFrame:
