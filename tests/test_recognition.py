@@ -126,3 +126,44 @@ def test_camera_mark(tag, want):
         data = b"\xff\xd8\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + b"\xff\xda"
         assert images.camera_mark(data) is want
     assert not images.camera_mark(b"") and not images.camera_mark(b"\xff\xd8\xff")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from leafmill.__main__ import run
+
+    (tmp_path / "in").mkdir()
+    for name, data in (("a.png", b"2"), ("b.png", b"3"), ("c.png", b"?"), ("no.xyz", b"1")):
+        (tmp_path / "in" / name).write_bytes(data)
+    how = ["--recogniser", "tests.stand_ins:recognise", "--decoder", "tests.stand_ins:decode", "--way", "basic", "-f", "text"]
+    assert run(spark, [str(tmp_path / "in"), "-o", str(tmp_path / "out"), *how]) == 1
+    assert (tmp_path / "out" / "a.txt").read_text() == "b0\nb1" and (tmp_path / "out" / "b.txt").read_text() == "b0\nb1\nb2"
+    assert not (tmp_path / "out" / "c.txt").exists() and "2 written, 1 failed" in capsys.readouterr().out
+    assert run(spark, [str(tmp_path / "in" / "b.png"), str(tmp_path / "in" / "a.png"), *how]) == 0
+    assert capsys.readouterr().out.split("\n")[0].startswith("--- [1/2] ") and True
+    with pytest.raises(SystemExit):
+        run(spark, how)
+
+
+def test_small_parts_have_callers(spark):
+    from pyspark.sql import functions as F
+
+    from leafmill.operators import layout, quality
+    from leafmill.plans import pipelines
+    from leafmill.sinks import documents as sink
+    from leafmill.sources.boxes import explode_tokens
+
+    b = spark.createDataFrame([(1, 0, "T", 1.0, 0.1, 0.1, 0.3, 0.06), (1, 1, "body text", 1.0, 0.1, 0.4, 0.8, 0.03)], "doc_id long, box_no long, text string, confidence double, x double, y double, w double, h double")
+    assert layout.average_height(b).first().avg_h == pytest.approx(0.045)
+    assert pipelines.layout_text(b, clean=False).first().text == "### T\n\nbody text\n"
+    assert pipelines.layout_text(b).first().text == "### T\n\nbody text\n"
+    scored = spark.createDataFrame([(1, 0, 0.2), (1, 1, 0.9)], "doc_id long, attempt int, quality_score double")
+    assert [(r.attempt, r.place) for r in quality.ranked_attempts(scored).orderBy("place").collect()] == [(1, 1), (0, 2)]
+    child = "array<struct<text:string,x:double,y:double,w:double,h:double>>"
+    lines = spark.createDataFrame([(1, 0, "a b", [("a", 0.0, 0.0, 0.1, 0.1), ("b", 0.2, 0.0, 0.1, 0.1)]), (1, 1, "c", [("c", 0.0, 0.5, 0.1, 0.1)])], f"doc_id long, line_no int, text string, children {child}")
+    assert [(r.box_no, r.text, r.confidence) for r in explode_tokens(lines).orderBy("box_no").collect()] == [(0, "a", 1.0), (1, "b", 1.0), (2, "c", 1.0)]
+    assert explode_tokens(lines, "line").select("text", "confidence").orderBy("line_no").first().text == "a b"
+    page = lambda n, t: spark.createDataFrame([(1, "s", n, t, None)], "doc_id long, source string, page_no int, text string, docx_text string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    assert sink.all_text(sink.add_page(page(1, "one"), page(2, "two"))).first().text == "one\n\ntwo"
+    grid = [("A1", 0.1, 0.1), ("A2", 0.3, 0.1), ("B1", 0.1, 0.3), ("B2", 0.3, 0.3)]
+    t = spark.createDataFrame([(1, i, s, 1.0, x, y, 0.1, 0.05) for i, (s, x, y) in enumerate(grid)], b.schema)
+    assert pipelines.detected_tables(t).first().markdown == "| A1 | A2 |\n| --- | --- |\n| B1 | B2 |"
