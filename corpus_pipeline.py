@@ -2,6 +2,9 @@
 
 run(spark, sf_dir) is the query `pipeline`. Between stages the rows are written as Parquet to the
 shared scratch folder and read again.
+
+All stages take nulls in any column, repeated rows, texts of any length, more columns (kept by all but the last) and empty tables, which give
+empty results. Rows without doc_id go through as others do; no stage but the first drops a row for it.
 """
 
 from __future__ import annotations
@@ -15,27 +18,27 @@ from leafmill.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fertility bands of their language reject go; so do empty ones."""
+    """Documents that the fertility bands of their language reject go; so do null and empty texts. Rows of equal doc_id, language and text stay or go together."""
     return fertility.keep_good(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of three-line windows are cut out; a document of which no line is left goes."""
+    """Later copies of three-line windows are cut out; a document of which no line is left goes. Of documents with null doc_id the passages count as the first."""
     return line_dedup.dedup_lines(docs, drop_emptied=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays."""
+    """Of each class of near copies the rows with the least doc_id stay; so do texts without a word and rows without doc_id."""
     return jaccard_join.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mixture of the target shares stay."""
+    """Documents of the mixture of the target shares stay; null is a source of its own, texts without a word have 0 tokens."""
     return mixing.keep_mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in the packed sequences."""
+    """The place of every piece of every document in the packed sequences; texts without a word have none."""
     return packing.pack(docs)
 
 

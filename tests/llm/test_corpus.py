@@ -662,3 +662,18 @@ def test_pipeline_against_sql_after_the_first_stage(spark, tmp_path):
     got = corpus_pipeline.run(spark, SF)
     n, m, off = compare(got, SF, sql, {"good": str(tmp_path / "good")})
     assert n == m > 0 and not off, off
+
+
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark):
+    import corpus_pipeline
+
+    words = " ".join(r.text for r in table(spark, SF, "documents").filter("lang = 'en'").limit(3).collect())
+    d = docs(spark, [*ODD, words, words, (None, words, None, None, None)]).withColumn("extra", F.lit(7))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, SF)
+        rows_ = out.collect()
+        assert stage(spark, docs(spark, []), SF).count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == d.columns, name
+            before = Counter(r.doc_id for r in d.collect())
+            assert all(n <= before[i] for i, n in Counter(r.doc_id for r in rows_).items()), name
