@@ -1,7 +1,7 @@
 """Pixel operators on pictures as Spark's image source gives them: (height, width, nChannels, data), channels in the order B, G, R, A.
 
-Decoding is Spark's; the arithmetic is numpy within an Arrow UDF, a picture at a time. What needs a resampling library
-is left to the caller: pictures larger than SAMPLE on a side are measured on every kth pixel, which differs slightly from a smooth resize.
+Decoding is Spark's; the arithmetic is numpy within an Arrow UDF, a picture at a time. Pictures larger than LARGEST on a side are measured
+on the means of squares of pixels.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators.slicing import TALL, parameters
 
-SAMPLE, REGION_SAMPLE = 1000, 500
+LARGEST, LARGEST_FOR_REGIONS = 1000, 500
 LOW_CONTRAST, HIGH_NOISE, LONG = 0.5, 0.4, 3.0
 
 MEASURES = "contrast double, noise double, edge_sharpness double, content_type string, has_code_blocks boolean, multiple_regions boolean"
@@ -35,9 +35,15 @@ def gray(a: np.ndarray) -> np.ndarray:
     return ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.uint8)
 
 
-def sample(a: np.ndarray, most: int) -> np.ndarray:
+def shrink(a: np.ndarray, most: int) -> np.ndarray:
+    """Means of squares of pixels, all of them, so that no side is longer than `most`; squares at the far edges may be smaller."""
     k = -(-max(a.shape[:2]) // most)
-    return a[::k, ::k]
+    if k == 1:
+        return a
+    y, x = np.arange(0, a.shape[0], k), np.arange(0, a.shape[1], k)
+    sums = np.add.reduceat(np.add.reduceat(a.astype(np.uint32), y, axis=0), x, axis=1)
+    size = np.diff(np.append(y, a.shape[0]))[:, None] * np.diff(np.append(x, a.shape[1]))[None, :]
+    return np.rint(sums / size.reshape(*size.shape, *(1,) * (a.ndim - 2))).astype(np.uint8)
 
 
 def contrast(g: np.ndarray) -> float:
@@ -217,9 +223,9 @@ def camera_mark(data: bytes) -> bool:
 
 
 def measure(a: np.ndarray) -> tuple:
-    s = sample(a, SAMPLE)
+    s = shrink(a, LARGEST)
     g = gray(s)
-    return contrast(g), noise(g), sharpness(g), content_type(s), has_code(g), many_regions(sample(a, REGION_SAMPLE))
+    return contrast(g), noise(g), sharpness(g), content_type(s), has_code(g), many_regions(shrink(a, LARGEST_FOR_REGIONS))
 
 
 def _each(pictures: DataFrame, schema: str, work: Callable[[np.ndarray], tuple], keys: list[str]) -> DataFrame:

@@ -103,6 +103,16 @@ def test_find_and_arrange_boxes():
     assert images.find_boxes(np.zeros((3, 3), np.uint8)) == []
 
 
+def test_shrunk_pictures_take_all_pixels():
+    rng = np.random.default_rng(0)
+    for shape in ((7, 11), (8, 5, 3), (4, 4)):
+        a = rng.integers(0, 256, shape).astype(np.uint8)
+        got = images.shrink(a, 4)
+        k = -(-max(shape[:2]) // 4)
+        want = [[np.rint(a[y : y + k, x : x + k].reshape(-1, *shape[2:]).mean(axis=0)) for x in range(0, shape[1], k)] for y in range(0, shape[0], k)]
+        assert np.array_equal(got, np.array(want).astype(np.uint8))
+
+
 def test_pixel_operations():
     a = np.tile(np.arange(0, 200, 10, dtype=np.uint8), (20, 1))
     assert images.resize(a, 2).shape == (40, 40) and images.resize(a, 1.0).tolist() == a.tolist()
