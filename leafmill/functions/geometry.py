@@ -43,6 +43,11 @@ def y_center(b: Box) -> Column:
     return b[1] + b[3] / 2
 
 
+def edges(b: Box) -> Column:
+    """struct(top, bottom) of a box with its origin at the bottom: the upper edge has the larger y."""
+    return F.struct((b[1] + b[3]).alias("top"), b[1].alias("bottom"))
+
+
 def _intersection(a: Box, b: Box) -> Column:
     ax, ay, aw, ah = a
     bx, by, bw, bh = b

@@ -175,6 +175,80 @@ def raise_contrast(a: np.ndarray, strength: float = 1.0) -> np.ndarray:
     return np.clip(np.rint((a.astype(np.float64) - a.mean()) * (1 + strength / 2) + a.mean()), 0, 255).astype(np.uint8)
 
 
+def local_contrast(g: np.ndarray, tiles: int = 8, clip: float = 2.0) -> np.ndarray:
+    """Histogram equalisation by tiles, limited and blended between tile centres; of a colour picture each channel.
+
+    Counts above `clip` times the mean are spread over all grays, so that flat parts don't turn to noise.
+    """
+    if g.ndim == 3:
+        return np.stack([local_contrast(g[:, :, i], tiles, clip) for i in range(g.shape[2])], axis=2)
+    h, w = g.shape
+    ty, tx = min(tiles, h), min(tiles, w)
+    ys, xs = np.linspace(0, h, ty + 1).astype(int), np.linspace(0, w, tx + 1).astype(int)
+    maps = np.empty((ty, tx, 256))
+    for i in range(ty):
+        for j in range(tx):
+            n = np.bincount(g[ys[i] : ys[i + 1], xs[j] : xs[j + 1]].ravel(), minlength=256).astype(float)
+            limit = clip * n.sum() / 256
+            n = np.minimum(n, limit) + np.maximum(n - limit, 0).sum() / 256
+            maps[i, j] = np.cumsum(n) * 255 / n.sum()
+
+    def blend(n: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        centers = (edges[1:] + edges[:-1] - 1) / 2
+        hi = np.clip(np.searchsorted(centers, np.arange(n)), 0, len(centers) - 1)
+        lo = np.maximum(hi - 1, 0)
+        gap = np.where(hi > lo, centers[hi] - centers[lo], 1.0)
+        return lo, hi, np.clip((np.arange(n) - centers[lo]) / gap, 0, 1)
+
+    y0, y1, fy = (v[:, None] for v in blend(h, ys))
+    x0, x1, fx = (v[None, :] for v in blend(w, xs))
+    top, low = maps[y0, x0, g] * (1 - fx) + maps[y0, x1, g] * fx, maps[y1, x0, g] * (1 - fx) + maps[y1, x1, g] * fx
+    return np.clip(np.rint(top * (1 - fy) + low * fy), 0, 255).astype(np.uint8)
+
+
+def vivid(a: np.ndarray, color: float = 1.5, strength: float = 1.3) -> np.ndarray:
+    """Colours away from their gray, then everything away from the mean gray; coloured print stands out."""
+    g, f = gray(a).astype(np.float64), a.astype(np.float64)
+    if a.ndim == 3:
+        f = g[:, :, None] + color * (f[:, :, :3] - g[:, :, None])
+    out = np.clip(np.rint((f - g.mean()) * strength + g.mean()), 0, 255).astype(np.uint8)
+    return np.concatenate([out, a[:, :, 3:]], axis=2) if a.ndim == 3 else out
+
+
+def outline(a: np.ndarray, boxes: list[tuple[int, int, int, int]], color: tuple[int, ...] = (255, 0, 0), width: int = 1) -> np.ndarray:
+    """A copy with the frames of boxes (x1, y1, x2, y2) drawn in; what lies outside the picture is left out."""
+    out = np.repeat(a[:, :, None], 3, axis=2) if a.ndim == 2 else a.copy()
+    h, w = out.shape[:2]
+    for x1, y1, x2, y2 in boxes:
+        x1, x2, y1, y2 = max(0, x1), min(w, x2 + 1), max(0, y1), min(h, y2 + 1)
+        if x1 >= x2 or y1 >= y2:
+            continue
+        for part in (np.s_[y1 : min(y2, y1 + width), x1:x2], np.s_[max(y1, y2 - width) : y2, x1:x2], np.s_[y1:y2, x1 : min(x2, x1 + width)], np.s_[y1:y2, max(x1, x2 - width) : x2]):
+            out[part][..., :3] = color
+    return out
+
+
+def annotate(pictures: DataFrame, boxes: DataFrame, color: tuple[int, int, int] = (255, 0, 0), width: int = 1, key: str = "doc_id") -> DataFrame:
+    """Pictures (key, height, width, nChannels, data) with the frames of their boxes (key, x, y, w, h; relative, origin at the bottom) drawn in. Boxes without a place aren't drawn."""
+    at = F.struct(*[F.col(c).cast("double").alias(c) for c in "xywh"])
+    listed = boxes.filter("x is not null and y is not null and w is not null and h is not null").groupBy(key).agg(F.collect_list(at).alias("__b"))
+    joined = pictures.join(listed, key, "left").withColumn("__b", F.coalesce("__b", F.array().cast("array<struct<x:double,y:double,w:double,h:double>>")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, channels = [], []
+            for h, w, c, d, found in zip(*[batch.column(i).to_pylist() for i in range(1, 6)]):
+                corners = [tuple(int(v) for v in (b["x"] * w, (1 - b["y"] - b["h"]) * h, (b["x"] + b["w"]) * w, (1 - b["y"]) * h)) for b in found]
+                a = outline(pixels(h, w, c, d), corners, color, width)
+                channels.append(a.shape[2])
+                data.append(np.ascontiguousarray(a[:, :, [2, 1, 0, *range(3, a.shape[2])]]).tobytes())
+            if data:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(channels, pa.int32()), pa.array(data, pa.binary())], names=[*batch.schema.names[:5]])
+
+    narrow = joined.select(key, "height", "width", "nChannels", "data", "__b")
+    return narrow.mapInArrow(run, f"`{key}` {dict(pictures.dtypes)[key]}, height int, width int, nChannels int, data binary")
+
+
 def rotate(a: np.ndarray, degrees: float, fill: int = 255) -> np.ndarray:
     """Counter-clockwise about the middle, nearest pixel, the size kept."""
     t = np.deg2rad(degrees)
@@ -360,7 +434,7 @@ PLAN_STEPS: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {
 OPERATIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "gray": gray, "gamma": gamma, "stretch": lambda a: np.stack([stretch(a[:, :, i]) for i in range(a.shape[2])], axis=2) if a.ndim == 3 else stretch(a),
     "binarize": lambda a: binarize(gray(a)), "otsu": lambda a: binarize(gray(a), otsu(gray(a))), "block_binarize": lambda a: block_binarize(gray(a)),
-    "median3": median3, "sharpen": sharpen, "contrast": raise_contrast, "deskew": lambda a: rotate(a, skew(gray(a))), "whiten_background": whiten_background, "red_to_dark": red_to_dark,
+    "median3": median3, "sharpen": sharpen, "contrast": raise_contrast, "local_contrast": local_contrast, "vivid": vivid, "deskew": lambda a: rotate(a, skew(gray(a))), "whiten_background": whiten_background, "red_to_dark": red_to_dark,
 }
 
 

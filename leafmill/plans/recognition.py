@@ -133,6 +133,15 @@ def basic(pictures: DataFrame, recogniser: Recogniser) -> DataFrame:
     return out.select("doc_id", F.array_join(F.transform("boxes", lambda b: b["text"]), "\n").alias("text"), "boxes", "error")
 
 
+def by_page(pictures: DataFrame, recogniser: Recogniser) -> DataFrame:
+    """(doc_id, page_no, text, error): tall pictures in slices of PAGE_HEIGHT, each a page from 1 on; what two slices share is read twice."""
+    sized = pictures.withColumns({"slice_height": F.lit(slicing.PAGE_HEIGHT), "overlap": F.lit(slicing.PAGE_OVERLAP), "branch": F.lit("slices"), "scale": F.lit(1.0), "steps": F.array().cast("array<string>")})
+    read = _recognised(sized.withColumn("parts", _slices()), recogniser)
+    piece = F.when(F.col("box_no").isNotNull(), F.struct("box_no", "text"))
+    out = read.groupBy("doc_id", (F.col("part") + 1).alias("page_no")).agg(F.array_sort(F.collect_list(piece)).alias("b"), F.max("error").alias("error"))
+    return out.select("doc_id", "page_no", F.array_join(F.transform("b", lambda b: b["text"]), "\n").alias("text"), "error")
+
+
 def _those(pictures: DataFrame, docs: DataFrame) -> DataFrame:
     """The pictures of some documents; a short list of them is broadcast, so that no pixels move."""
     few = docs.limit(MAX_BROADCAST_DOCS + 1).count() <= MAX_BROADCAST_DOCS

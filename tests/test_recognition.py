@@ -177,3 +177,34 @@ def test_small_parts_have_callers(spark):
     grid = [("A1", 0.1, 0.1), ("A2", 0.3, 0.1), ("B1", 0.1, 0.3), ("B2", 0.3, 0.3)]
     t = spark.createDataFrame([(1, i, s, 1.0, x, y, 0.1, 0.05) for i, (s, x, y) in enumerate(grid)], b.schema)
     assert pipelines.detected_tables(t).first().markdown == "| A1 | A2 |\n| --- | --- |\n| B1 | B2 |"
+
+
+def test_pages_of_a_tall_picture(spark):
+    got = [(r.doc_id, r.page_no, r.text.split("\n")) for r in recognition.by_page(pictures(spark, banded(3), banded(120)), read_bands).orderBy("doc_id", "page_no").collect()]
+    assert got == [(0, 1, ["b0", "b1", "b2"]), (1, 1, [f"b{i}" for i in range(100)]), (1, 2, [f"b{i}" for i in range(95, 120)])]
+
+
+def test_frames_local_contrast_and_vivid_colours(spark):
+    a = np.full((10, 20), 200, np.uint8)
+    b = spark.createDataFrame([(0, 0.1, 0.2, 0.5, 0.4), (0, None, 0.2, 0.5, 0.4), (0, 5.0, 5.0, 1.0, 1.0)], "doc_id long, x double, y double, w double, h double")
+    got = images.annotate(pictures(spark, a, a), b).orderBy("doc_id").collect()
+    p = images.pixels(*got[0][1:])
+    red = (p == (255, 0, 0)).all(axis=2)
+    want = np.zeros((10, 20), bool)
+    want[4:9, 2:13] = True
+    want[5:8, 3:12] = False
+    assert (red == want).all() and (images.pixels(*got[1][1:]) == 200).all()
+    ramp = np.tile(np.linspace(100, 130, 64).astype(np.uint8), (64, 1))
+    assert int(np.ptp(images.local_contrast(ramp, 2, 4.0))) > 60 and images.local_contrast(np.full((9, 9, 3), 8, np.uint8)).shape == (9, 9, 3)
+    c = np.zeros((4, 4, 4), np.uint8) + np.array([180, 120, 120, 77], np.uint8)
+    v = images.vivid(c)
+    assert v[0, 0, 0] > 180 and v[0, 0, 1] < 120 and (v[:, :, 3] == 77).all() and images.vivid(c[:, :, 0]).shape == (4, 4)
+
+
+def test_edges(spark):
+    from pyspark.sql import functions as F
+
+    from leafmill.functions.geometry import box, edges
+
+    r = spark.createDataFrame([(0.1, 0.2, 0.3, 0.4)], "x double, y double, w double, h double").select(edges(box()).alias("e")).select(F.round("e.top", 9), "e.bottom").first()
+    assert tuple(r) == (0.6, 0.2)
