@@ -104,6 +104,20 @@ def test_line_dedup_rules(spark):
     assert run("1\n2\n3\n4\n-\n1\n2\n3\n4") == [(0, "1\n2\n3\n4\n-", 9)]
 
 
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    """Time in proportion to lines, though nearly all of them are cut; and both ways to join the cuts."""
+    many = "\n".join("ab"[i % 2] for i in range(60_000))
+    texts = [many, "x\na\nb\na\ny"]
+    d = docs(spark, texts)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()}
+    assert [got[0], got[1]] == brute_dedup(texts)
+    kept, line_dedup.MAX_BROADCAST_LINES = line_dedup.MAX_BROADCAST_LINES, 0
+    try:
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()} == got
+    finally:
+        line_dedup.MAX_BROADCAST_LINES = kept
+
+
 # 2
 
 
