@@ -29,8 +29,10 @@ BUCKET = 600_000
 HELD = 2_000_000
 #: Documents that share an n-gram and are compared at once; more of them are cut into blocks, and blocks into pairs of blocks.
 RUN = 4096
-#: Documents of one pack of postings.
-PACK_DOCS = 60_000
+#: Documents of one pack of postings, and n-grams. A pack has a row for each bucket: small ones would be mostly overhead where buckets are many.
+PACK_DOCS, PACK_GRAMS = 60_000, 1_200_000
+#: Bits of an n-gram that travel with its bucket.
+GRAM_BITS = 24
 #: Side of the square of pairs, and n-grams of the sets, of one tile that is verified at once.
 TILE, TILE_GRAMS = 700, 2_000_000
 #: n-grams whose bits are compared at once, and words of bits.
@@ -173,37 +175,42 @@ def signatures(docs: DataFrame, rank: np.ndarray, n: int = N, threshold: float =
     return _worded(docs).mapInArrow(run, _DOCS)
 
 
-_PACKED = "bucket long, h binary, doc binary, pos binary, base long, id binary, size binary"
+_PACKED = "bucket long, h binary, times binary, pos binary, id binary, size binary"
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """First all lowest bytes, then all next ones: high bytes are mostly zeros, which compression takes out."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _pack(bucket: np.ndarray, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    """A row of _PACKED for each bucket; doc: places in ids and size.
+    """A row of _PACKED for each bucket, postings by document; doc: places in ids and size; times: each document's postings.
 
-    Only equality within a bucket counts: 32 bits of h do, as two n-grams that look alike only add pairs that are compared in vain.
+    Only equality within a bucket counts: GRAM_BITS of h do for its BUCKET n-grams, as two that look alike only add pairs that are compared in vain.
     """
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
+    order = np.lexsort((doc, bucket))
+    bucket, h, doc, pos = bucket[order], h[order].astype(np.uint32), doc[order], pos[order].astype(np.uint16)
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    rows: list[list] = [[] for _ in range(7)]
+    rows: list[list] = [[] for _ in range(6)]
     for a, b in zip(starts, [*starts[1:], len(bucket)]):
-        at = order[a:b]
-        mine, local = np.unique(doc[at], return_inverse=True)
-        base = ids[mine].min()
-        for row, x in zip(rows, (bucket[a], h[at].astype(np.uint32).tobytes(), local.astype(np.uint16).tobytes(), pos[at].astype(np.uint16).tobytes(), base, (ids[mine] - base).astype(np.uint64).tobytes(), size[mine].astype(np.uint32).tobytes())):
+        mine, times = np.unique(doc[a:b], return_counts=True)
+        for row, x in zip(rows, (bucket[a], _planes(h[a:b]), _planes(times.astype(np.uint32)), _planes(pos[a:b]), _thin(ids[mine].view(np.uint64)), _planes(size[mine].astype(np.uint32)))):
             row.append(x)
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=[c.split()[0] for c in _PACKED.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(r, pa.binary() if k else pa.int64()) for k, r in enumerate(rows)], names=[c.split()[0] for c in _PACKED.split(", ")])
 
 
 def _unpack(rows: list[tuple]) -> tuple[np.ndarray, ...]:
     """h, doc, pos, ids and sizes of the postings in rows of _PACKED."""
-    lengths = [len(r[5]) // 8 for r in rows]
-    first = np.cumsum([0, *lengths[:-1]])
-    h = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
-    doc = np.concatenate([np.frombuffer(r[2], np.uint16).astype(np.int64) + b for r, b in zip(rows, first)])
-    pos = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows]).astype(np.int64)
-    ids = np.concatenate([np.frombuffer(r[5], np.uint64).astype(np.int64) + r[4] for r in rows])
-    return h, doc, pos, ids, np.concatenate([np.frombuffer(r[6], np.uint32) for r in rows]).astype(np.int64)
+    h = np.concatenate([_from_planes(r[1], np.uint32) for r in rows])
+    times = np.concatenate([_from_planes(r[2], np.uint32) for r in rows])
+    pos = np.concatenate([_from_planes(r[3], np.uint16) for r in rows]).astype(np.int64)
+    ids = np.concatenate([_thick(r[4]) for r in rows]).view(np.int64)
+    size = np.concatenate([_from_planes(r[5], np.uint32) for r in rows]).astype(np.int64)
+    return h, np.repeat(np.arange(len(ids)), times), pos, ids, size
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -228,8 +235,8 @@ def _postings(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         doc = np.repeat(np.arange(len(ids)), lengths)
         pos = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        # the high bits go with the bucket's least
-        return _pack(bucket, (h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFF), doc, np.minimum(pos, _FAR), np.array(ids, np.int64), np.array(size, np.int64))
+        # of the bits that are not the bucket's
+        return _pack(bucket, _mix(h) & np.uint64((1 << GRAM_BITS) - 1), doc, np.minimum(pos, _FAR), np.array(ids, np.int64), np.array(size, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, size, prefix, held = [], [], [], 0
@@ -239,7 +246,7 @@ def _postings(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 size.append(z)
                 prefix.append(p)
                 held += len(p) // 8
-                if held >= CHUNK_WORDS or len(ids) >= PACK_DOCS:
+                if held >= PACK_GRAMS or len(ids) >= PACK_DOCS:
                     yield pack(ids, size, prefix)
                     ids, size, prefix, held = [], [], [], 0
         if held:
@@ -267,6 +274,8 @@ def _regroup(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         doc, pos = doc[at], pos[at]
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         lengths = np.diff(np.append(starts, len(h)))
+        # n-grams of other buckets will be beside them
+        h = (_mix(h.astype(np.uint64) | np.uint64(rows[0][0] << 32)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         hub = np.repeat(np.minimum.reduceat(ids[doc], starts), lengths).view(np.uint64)
         to = _mix(hub)
         long = np.repeat(lengths > RUN, lengths)
@@ -382,13 +391,12 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _thin(h: np.ndarray) -> bytes:
-    """Ascending hashes as their differences, first all lowest bytes, then all next ones: the high bytes are mostly zeros, which compression takes out."""
-    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Ascending hashes as their differences."""
+    return _planes(np.diff(h, prepend=np.uint64(0)))
 
 
 def _thick(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_from_planes(data, np.uint64), dtype=np.uint64)
 
 
 class _Tile:
