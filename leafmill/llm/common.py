@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +98,23 @@ def words_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return values[kept].astype(np.int64), running[offsets]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, that hands freed memory back to the system at its end: Spark keeps the worker, and what the C library
+    and Arrow hold in reserve there counts against the executor while others work."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in batches:
         yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()

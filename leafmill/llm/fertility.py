@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, small, table, text_batches
+from leafmill.llm.common import materialize, small, table, tidy
 
 #: Folder of the public vocabularies (a parameter everywhere) and the files read from it.
 TOKENIZERS = "/opt/tokenizers"
@@ -22,8 +22,8 @@ PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.tiktoken"
 #: Words of the byte-level vocabulary, as its authors split text.
 BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Tokenised words that one worker remembers, per vocabulary; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Tokenised words that one worker remembers, per vocabulary; beyond it the memory starts anew. It changes no result.
+REMEMBERED = 400_000
 
 #: Texts that are measured at once.
 CHUNK = 500
@@ -175,20 +175,24 @@ def script() -> Column:
     return best
 
 
+def measured_parts(vocabularies: Vocabularies, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SCHEMA's rows of batches of (doc_id, grp, th, text); no more than CHUNK texts are Python strings at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(lo, CHUNK)
+            cols = vocabularies.measure(part.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, cols)], names=["doc_id", "grp", "th", "n_tokens", *METRICS])
+
+
 def measure(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """SCHEMA's columns for each row with a text; grp is the language, or "script:<name>" without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabularies = Vocabularies(folder)
-        for batch, texts in text_batches(batches):
-            for lo in range(0, len(texts), CHUNK):
-                cols = vocabularies.measure(texts[lo : lo + CHUNK])
-                part = batch.slice(lo, CHUNK)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, cols)], names=["doc_id", "grp", "th", "n_tokens", *METRICS])
+        yield from measured_parts(Vocabularies(folder), batches)
 
     group = F.when(F.coalesce("lang", F.lit("")) != "", F.col("lang")).otherwise(F.concat(F.lit("script:"), script()))
     some = docs.filter(F.coalesce("text", F.lit("")) != "")
-    return some.select(F.col("doc_id").cast("long"), group.alias("grp"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, SCHEMA)
+    return some.select(F.col("doc_id").cast("long"), group.alias("grp"), F.xxhash64("text").alias("th"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def _values() -> dict[str, Column]:

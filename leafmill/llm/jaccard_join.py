@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import discard, materialize, small, table, word_hashes, words_of
+from leafmill.llm.common import discard, materialize, small, table, tidy, word_hashes, words_of
 
 #: Words in an n-gram, and the least Jaccard similarity of a pair.
 N = 3
@@ -109,7 +109,7 @@ def commonness(docs: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> np.ndarr
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["chunk", "counts"])
 
-    rows = _worded(docs).select("words").mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
+    rows = _worded(docs).select("words").mapInArrow(tidy(count), "chunk int, counts binary").repartition("chunk").mapInArrow(tidy(add), "chunk int, counts binary").collect()
     total = np.zeros(1 << bits, np.uint64)
     for r in rows:
         c = np.frombuffer(r.counts, np.uint64)
@@ -172,7 +172,7 @@ def signatures(docs: DataFrame, rank: np.ndarray, n: int = N, threshold: float =
                     names=["doc_id", "size", "gsig", "fsig", "prefix", "parity"],
                 )
 
-    return _worded(docs).mapInArrow(run, _DOCS)
+    return _worded(docs).mapInArrow(tidy(run), _DOCS)
 
 
 _PACKED = "bucket long, h binary, times binary, pos binary, id binary, size binary"
@@ -387,7 +387,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 fsig = _mix(sums + size[some].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(fsig.view(np.int64)), pa.array([_thin(h[a : a + k]) for a, k in zip(start[some], size[some])], pa.binary())], names=["fsig", "grams"])
 
-    return _worded(docs).mapInArrow(run, "fsig long, grams binary")
+    return _worded(docs).mapInArrow(tidy(run), "fsig long, grams binary")
 
 
 def _thin(h: np.ndarray) -> bytes:
@@ -542,10 +542,10 @@ def _candidate_pairs(signed: DataFrame, nodes: DataFrame, threshold: float) -> D
     groups = signed.select("row", "size", "prefix").join(small(nodes.filter("node = gid").select(F.col("node").alias("row"))), "row", "left_semi")
     total = signed.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET))
-    by_gram = groups.mapInArrow(_postings(buckets), _PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    by_hub = by_gram.mapInArrow(_regroup(buckets), _PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    by_gram = groups.mapInArrow(tidy(_postings(buckets)), _PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    by_hub = by_gram.mapInArrow(tidy(_regroup(buckets)), _PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     # by one side only: the pairs of a group stay next to each other and compress well
-    found = by_hub.mapInArrow(_candidates(threshold), _PAIRS).repartition("ga").groupBy("ga", "gb").agg(F.sum("n").alias("n"), F.max("least").alias("least"), F.max("big").alias("big"))
+    found = by_hub.mapInArrow(tidy(_candidates(threshold)), _PAIRS).repartition("ga").groupBy("ga", "gb").agg(F.sum("n").alias("n"), F.max("least").alias("least"), F.max("big").alias("big"))
     found = materialize(found.filter("n >= least").select("ga", "gb", "big"), "join-groups")
     # members of groups: the different sets that share a prefix, and all across a pair of groups; most groups are one set
     several = materialize(nodes.filter("n_nodes > 1").select("gid", "node", "size"), "join-several")
@@ -565,7 +565,7 @@ def _compared(docs: DataFrame, signed: DataFrame, names: DataFrame, nodes: DataF
     # parity bits are a fraction of the sets' size and leave few pairs, and few sets, to compare in full
     tiled, places = _tiled(pairs)
     bits_of = signed.select(F.col("row").alias("node"), F.col("size").cast("long").alias("weight"), F.col("parity").alias("data"))
-    tiled = materialize(_by_tile(bits_of, tiled, places).mapInArrow(_rule_out(threshold), "tile long, a long, b long"), "join-likely")
+    tiled = materialize(_by_tile(bits_of, tiled, places).mapInArrow(tidy(_rule_out(threshold)), "tile long, a long, b long"), "join-likely")
     places = _places(tiled)
     discard(signed)
     leads = nodes.select("node", "fsig", "weight").join(small(places.select("node")), "node", "left_semi")
@@ -616,7 +616,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bit
     Rows as in join(). A pair of sets of one doc_id isn't listed.
     """
     signed, names, nodes = _numbered(docs, n, threshold, bits)
-    pairs = _compared(docs, signed, names, nodes, n, threshold).mapInArrow(_verify(threshold), "a long, b long, jaccard double")
+    pairs = _compared(docs, signed, names, nodes, n, threshold).mapInArrow(tidy(_verify(threshold)), "a long, b long, jaccard double")
     leads = names.groupBy("fsig").agg(F.min("doc_id").alias("lead")).join(nodes, "fsig").select("node", "lead")
     leads = small(materialize(leads, "join-leads"))
     named = pairs.join(leads.select(F.col("node").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("node").alias("b"), F.col("lead").alias("y")), "b")
@@ -634,7 +634,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bits: int =
     table gives no rows.
     """
     signed, names, nodes = _numbered(docs, n, threshold, bits)
-    linked = materialize(_compared(docs, signed, names, nodes, n, threshold).mapInArrow(_link(threshold), "node long, links long, root long"), "join-linked")
+    linked = materialize(_compared(docs, signed, names, nodes, n, threshold).mapInArrow(tidy(_link(threshold)), "node long, links long, root long"), "join-linked")
     members = materialize(names.select("doc_id", "fsig").distinct().join(small(nodes.select("fsig", "node", "weight")), "fsig").select("doc_id", "node", "weight"), "join-members")
     edges = linked.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     several = materialize(members.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("doc_id", "b"), "join-several")

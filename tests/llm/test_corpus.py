@@ -5,14 +5,17 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.llm import fertility, jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, queries, quality_classifier, secrets, top_k
-from leafmill.llm.common import table
+from leafmill.llm.common import table, tidy
 from tests.oracle import compare, duck, rows
 
 SF = "/root/testdata/sf0.001"
@@ -429,6 +432,41 @@ def test_fertility_small_groups_keep_their_median(spark, n):
     assert not judged[10**6 + n].keep
 
 
+def test_fertility_holds_few_texts_at_a_time():
+    class Counting:
+        def measure(self, texts):
+            self.most = max(getattr(self, "most", 0), len(texts))
+            n = np.array(list(map(len, texts)))
+            return n, *[n.astype(float)] * 4
+
+    n, v = 5000, Counting()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["en"] * n), pa.array(range(n)), pa.array([f"{i} " * 800 for i in range(n)])], names=["doc_id", "grp", "th", "text"])
+    tracemalloc.start()
+    try:
+        rows_out = [r for part in fertility.measured_parts(v, iter([batch])) for r in part.column(0).to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 18 MB of texts, of which a chunk at most is held as strings
+    assert rows_out == list(range(n)) and v.most <= fertility.CHUNK and peak < 6e6
+
+
+def test_workers_hand_freed_memory_back():
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    def run(batches):
+        held = [bytearray(b"x" * 50_000) for _ in range(6000)]
+        pins.append(held[-1])  # what is at the heap's end keeps the rest from being returned
+        held.clear()
+        yield from batches
+
+    pins: list = []
+    before = resident()
+    assert list(tidy(run)(iter([1, 2]))) == [1, 2] and pins
+    assert resident() - before < 150
+
+
 # 7
 
 
