@@ -1,9 +1,10 @@
-"""LM scoring by unbounded n-grams over sharded suffix arrays of the corpus."""
+"""LM scoring by unbounded n-grams: short ones counted by hash, long ones in suffix arrays over what the corpus shares with the queries."""
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,12 @@ import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import NOT_SPACE, list_values, materialize, table
+from leafmill.llm.common import NOT_SPACE, discard, list_values, materialize, scratch_root, table
 
+#: Stretches of up to so many tokens, 2 at least, are counted by hash; only corpus text that shares one of that length with a query goes into suffix arrays.
+GRAM = 6
+#: Corpus tokens whose stretches a task counts at once, and query tokens whose stretches it looks up among the counts at once.
+COUNT_TOKENS, FOUND_TOKENS = 4_000_000, 1_000_000
 #: Corpus tokens in one suffix array: what a task holds at once, whatever the size of the corpus.
 SHARD_TOKENS = 2_000_000
 #: Query tokens that are looked up in a shard at once; a shard is built once, whatever the number of such blocks.
@@ -260,7 +265,7 @@ class Shard:
         return length, context, follow, unigram
 
 
-COUNTS = "row long, total long, length array<int>, context array<int>, follow array<int>, unigram array<int>"
+COUNTS = "row long, part int, total long, length array<int>, context array<long>, follow array<long>, unigram array<long>"
 SUMS = "row long, log_prob double, mean_match double, longest_match long"
 
 
@@ -272,8 +277,9 @@ def _added(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> tuple[
     return np.maximum(length, length0), np.where(less, 0, context) + np.where(more, 0, context0), np.where(less, 0, follow) + np.where(more, 0, follow0), unigram + unigram0
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Token hashes, document lengths and rows, about SHARD_TOKENS at a time; a longer document is a shard of its own."""
+def _shards(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Token hashes, document lengths and rows, about `most` (SHARD_TOKENS) tokens at a time; a longer document is a shard of its own."""
+    most = most or SHARD_TOKENS
     held, sizes, rows, n = [], [], [], 0
     for batch in batches:
         values, offsets = list_values(batch.column("tokens"))
@@ -281,13 +287,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         lengths = np.diff(offsets)
         lo = 0
         while lo < len(lengths):
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SHARD_TOKENS - n, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most - n, "right")) - 1)
             held.append(values[offsets[lo] : offsets[hi]])
             sizes.append(lengths[lo:hi])
             rows.append(row[lo:hi])
             n += int(offsets[hi] - offsets[lo])
             lo = hi
-            if n >= 0.9 * SHARD_TOKENS:
+            if n >= 0.9 * most:
                 whole = np.concatenate(held), np.concatenate(sizes), np.concatenate(rows)
                 held, sizes, rows, n = [], [], [], 0
                 yield whole
@@ -296,39 +302,253 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield np.concatenate(held), np.concatenate(sizes), np.concatenate(rows)
 
 
-def _blocks(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows, sizes and token hashes of the queries that have tokens, read from the shared folder PASS_TOKENS at a time."""
-    rows, arrays, n = [], [], 0
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _row_grams(rows: np.ndarray) -> np.ndarray:
+    """Documents among the stretches: as if of 0 tokens."""
+    return _mixed(rows.astype(np.int64).view(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+
+
+def _longer(h: np.ndarray, at: np.ndarray, d: int, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of stretches of d tokens that have one more within their document, with it."""
+    on = at + d < ends[at]
+    at = at[on]
+    return _mixed(h[on] * np.uint64(0x9E3779B97F4A7C15) + tokens[at + d]), at
+
+
+class Sieve:
+    """Bits of the queries' stretches of one length, two for each, kept in a file: what isn't among them is told apart but for about 1 in 70."""
+
+    def __init__(self, log: int, bits: np.ndarray):
+        self.log, self.bits = log, bits
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.uint64(64 - self.log)
+        return (h * np.uint64(0xE7037ED1A0B428DB)) >> shift, (h * np.uint64(0x8EBC6AF09C88C6E3)) >> shift
+
+    def add(self, h: np.ndarray) -> None:
+        place = np.unique(np.concatenate(self.places(h)))
+        if len(place):
+            byte = place >> np.uint64(3)
+            first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+            self.bits[byte[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (place & np.uint64(7)).astype(np.uint8), first)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        one, other = self.places(h)
+        found = np.flatnonzero(self._bit(one))
+        out = np.zeros(len(h), bool)
+        out[found[self._bit(other[found])]] = True
+        return out
+
+    def _bit(self, place: np.ndarray) -> np.ndarray:
+        return (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def _open_sieve(folder: str, level: int, log: int) -> Sieve:
+    system, path = pa.fs.FileSystem.from_uri(f"{folder}/{level}")
+    if isinstance(system, pa.fs.LocalFileSystem):  # workers share its pages
+        return Sieve(log, np.memmap(path, np.uint8, "r"))
+    with system.open_input_file(path) as file:
+        return Sieve(log, np.frombuffer(file.read(), np.uint8))
+
+
+def _sieves(spark: SparkSession, files: list[str], n: int) -> tuple[str, int]:
+    """Folder of sieves of the queries in the files, of n tokens, for stretches of 0 (documents) to GRAM tokens, a task for each; log2 of their bits."""
+    log, most = max(10, math.ceil(math.log2(16 * max(1, n)))), GRAM
+    root = scratch_root(spark)
+    folder = f"{root if '://' in root else 'file://' + root}/lm-sieves-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for level in batch.column(0).to_pylist():
+                sieve = Sieve(log, np.zeros(1 << (log - 3), np.uint8))
+                for rows, _, sizes, hashes in _blocks(files):
+                    if level == 0:
+                        sieve.add(_row_grams(rows))
+                        continue
+                    ends, tokens = np.repeat(np.cumsum(sizes), sizes), hashes.view(np.uint64)
+                    h, at = tokens, np.arange(len(tokens))
+                    for d in range(1, level):
+                        h, at = _longer(h, at, d, tokens, ends)
+                    sieve.add(h)
+                system, path = pa.fs.FileSystem.from_uri(folder)
+                system.create_dir(path)
+                with system.open_output_stream(f"{path}/{level}") as file:
+                    file.write(sieve.bits)
+            yield batch
+
+    spark.range(0, most + 1, 1, most + 1).mapInArrow(run, "id long").collect()
+    return folder, log
+
+
+def _count(corpus: DataFrame, sieves: tuple[str, int]) -> DataFrame:
+    """(gram, kind, n): how often each token occurs in the corpus, and each stretch (of kind tokens, 0: document) that the sieves have; kind -1: tokens that they don't have."""
+    most = GRAM, COUNT_TOKENS
+
+    def part(h: np.ndarray, n: np.ndarray, kind: np.ndarray | int) -> pa.RecordBatch:
+        kind = np.full(len(h), kind) if isinstance(kind, int) else kind
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(n.astype(np.int64))], names=["gram", "kind", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values, lengths, rows in _shards(batches, most[1]):
+            h = _row_grams(rows)
+            h, n = np.unique(h[_open_sieve(sieves[0], 0, sieves[1]).has(h)], return_counts=True)
+            yield part(h, n, 0)
+            tokens, ends = values.view(np.uint64), np.repeat(np.cumsum(lengths), lengths)
+            h, at = tokens, np.arange(len(tokens))
+            for d in range(1, most[0] + 1):
+                sieve = _open_sieve(sieves[0], d, sieves[1])
+                if d == 1:
+                    one, n = np.unique(h, return_counts=True)
+                    yield part(one, n, np.where(sieve.has(one), 1, -1))
+                here = sieve.has(h)
+                h, at = h[here], at[here]
+                if d > 1:
+                    yield part(*np.unique(h, return_counts=True), d)
+                h, at = _longer(h, at, d, tokens, ends)
+
+    counted = corpus.mapInArrow(run, "gram long, kind int, n long")
+    return counted.repartition("gram").groupBy("gram").agg(F.max("kind").alias("kind"), F.sum("n").alias("n"))
+
+
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of numbers one after the other."""
+    new = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1])) if len(at) else np.zeros(0, np.int64)
+    return at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at
+
+
+def _cut(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.ListArray:
+    """The stretches of values from begin to end (these not included)."""
+    size = end - begin
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])]))
+
+
+def _shared(corpus: DataFrame, sieves: tuple[str, int]) -> DataFrame:
+    """(row, tokens): the longest stretches of the corpus of which the sieves have each part of GRAM tokens."""
+    most = GRAM, COUNT_TOKENS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values, lengths, rows in _shards(batches, most[1]):
+            tokens, ends = values.view(np.uint64), np.repeat(np.cumsum(lengths), lengths)
+            h, at = tokens, np.arange(len(tokens))
+            for d in range(1, most[0] + 1):
+                here = _open_sieve(sieves[0], d, sieves[1]).has(h)
+                h, at = h[here], at[here]
+                if d < most[0]:
+                    h, at = _longer(h, at, d, tokens, ends)
+            begin, last = _runs(at)
+            doc = np.searchsorted(np.cumsum(lengths), begin, "right")
+            yield pa.RecordBatch.from_arrays([pa.array(rows[doc]), _cut(values, begin, last + most[0])], names=["row", "tokens"])
+
+    return corpus.mapInArrow(run, "row long, tokens array<long>")
+
+
+def _short_matches(queries: DataFrame, found: list[str], all_tokens: int) -> DataFrame:
+    """For every query with tokens a row of COUNTS, part -1, from the counts in the files `found`; where the longest context has GRAM tokens or more,
+    length is GRAM, context and follow are 0 and the counts are left to further rows. Those tokens with what leads up to them are rows of their own:
+    part, where they begin, and `tokens`."""
+    most = GRAM, FOUND_TOKENS
+
+    def occurrences(grams: np.ndarray) -> np.ndarray:
+        """Of sorted stretches, how often each occurs."""
+        out = np.zeros(len(grams), np.int64)
+        for uri in found:
+            system, path = pa.fs.FileSystem.from_uri(uri)
+            with system.open_input_file(path) as file:
+                for batch in pa.parquet.ParquetFile(file).iter_batches(batch_size=200_000, columns=["gram", "n"]):
+                    gram, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+                    order = np.argsort(gram)
+                    gram = gram[order]
+                    at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+                    same = grams[at] == gram
+                    out[at[same]] = n[order][same]
+        return out
+
+    def look_up(values: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, limits = len(values), np.cumsum(sizes)
+        tokens, ends, doc = values.view(np.uint64), np.repeat(limits, sizes), np.repeat(np.arange(len(sizes)), sizes)
+        firsts = limits - sizes
+        h, at = tokens, np.arange(n)
+        levels = []
+        for d in range(1, most[0] + 1):
+            levels.append((h, at))
+            h, at = _longer(h, at, d, tokens, ends)
+        grams, inverse = np.unique(np.concatenate([_row_grams(rows), *[h for h, _ in levels]]), return_inverse=True)
+        count = occurrences(grams)
+        times = count[inverse[: len(rows)]]  # how often the document itself is in the corpus
+        others, lo = np.zeros((most[0] + 1, n), np.int64), len(rows)
+        for d, (_, at) in enumerate(levels, 1):
+            mine = inverse[lo : lo + len(at)]
+            lo += len(at)
+            _, again, own = np.unique(doc[at] * np.int64(len(grams)) + mine, return_inverse=True, return_counts=True)
+            others[d, at] = count[mine] - own[again] * times[doc[at]]
+        del grams, inverse, count, levels
+        place = np.arange(n)
+        reach = place + (others[1:] > 0).sum(axis=0)  # what a longer stretch's beginning is occurs with it
+        start = np.maximum(np.minimum(np.searchsorted(np.maximum.accumulate(reach), place, "left"), place), firsts[doc])
+        length = place - start
+        total = all_tokens - times * sizes
+        context = np.where(length > 0, others[length, start], total[doc])
+        follow = others[np.minimum(length + 1, most[0]), start]
+        context[length == most[0]] = follow[length == most[0]] = 0
+        offsets = pa.array(np.concatenate([[0], limits]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (length.astype(np.int32), context, follow, others[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.full(len(rows), -1, np.int32)), pa.array(total), *lists, pa.nulls(len(rows), pa.list_(pa.int64()))], names=names)
+        begin, last = _runs(np.flatnonzero(others[most[0]] > 0))
+        end = np.minimum(last + most[0] + 1, ends[begin])
+        kept = end - begin > most[0]  # a token follows
+        begin, end = begin[kept], end[kept]
+        absent = [pa.nulls(len(begin), pa.list_(t)) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+        part = (begin - firsts[doc[begin]]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[doc[begin]]), pa.array(part), pa.array(total[doc[begin]]), *absent, _cut(values, begin, end)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values, sizes, rows in _shards(batches, most[1]):
+            some = sizes > 0
+            yield from look_up(values, sizes[some], rows[some])
+
+    names = ["row", "part", "total", "length", "context", "follow", "unigram", "tokens"]
+    return queries.select("row", "tokens").mapInArrow(run, COUNTS + ", tokens array<long>")
+
+
+def _blocks(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, parts, sizes and token hashes of the queries that have tokens, read from the shared folder PASS_TOKENS at a time."""
+    rows, parts, arrays, n = [], [], [], 0
 
     def block():
-        return np.array(rows, np.int64), np.array([len(a) for a in arrays], np.int64), np.concatenate(arrays)
+        return np.array(rows, np.int64), np.array(parts, np.int32), np.array([len(a) for a in arrays], np.int64), np.concatenate(arrays)
 
     for uri in files:
         system, path = pa.fs.FileSystem.from_uri(uri)
         with system.open_input_file(path) as file:
-            for batch in pa.parquet.ParquetFile(file).iter_batches(batch_size=256, columns=["row", "tokens"]):
+            for batch in pa.parquet.ParquetFile(file).iter_batches(batch_size=256, columns=["row", "part", "tokens"]):
                 values, offsets = list_values(batch.column("tokens"))
-                for row, lo, hi in zip(batch.column("row").to_pylist(), offsets, offsets[1:]):
+                for row, part, lo, hi in zip(batch.column("row").to_pylist(), batch.column("part").to_pylist(), offsets, offsets[1:]):
                     if lo == hi:
                         continue
                     rows.append(row)
+                    parts.append(part)
                     arrays.append(values[lo:hi])
                     n += int(hi - lo)
                     if n >= PASS_TOKENS:
                         yield block()
-                        rows, arrays, n = [], [], 0
+                        rows, parts, arrays, n = [], [], [], 0
     if rows:
         yield block()
 
 
 def count_matches(corpus: DataFrame, files: list[str], depth: int) -> DataFrame:
-    """A row of COUNTS, with a value for each token, for every query and shard. corpus: (row, tokens); files have the same of the
+    """A row of COUNTS, with a value for each token, for every query and shard. corpus: (row, tokens); files have (row, part, tokens) of the
     queries, of depth tokens at most. A query isn't held against corpus rows of its own number."""
 
-    def out(rows: np.ndarray, sizes: np.ndarray, total: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    def out(rows: np.ndarray, parts: np.ndarray, sizes: np.ndarray, total: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in found]
-        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(total), *lists], names=["row", "total", "length", "context", "follow", "unigram"])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64 if k else np.int32))) for k, x in enumerate(found)]
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(parts), pa.array(total), *lists], names=["row", "part", "total", "length", "context", "follow", "unigram"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
@@ -337,7 +557,7 @@ def count_matches(corpus: DataFrame, files: list[str], depth: int) -> DataFrame:
             shard = Shard(values, lengths, depth, number)
             del values
             room = MERGED_TOKENS
-            for k, (rows, sizes, hashes) in enumerate(_blocks(files)):
+            for k, (rows, parts, sizes, hashes) in enumerate(_blocks(files)):
                 at = np.minimum(np.searchsorted(known, rows), len(known) - 1)
                 own = np.where(known[at] == rows, at, -1)
                 here = bool((own >= 0).any())
@@ -345,11 +565,11 @@ def count_matches(corpus: DataFrame, files: list[str], depth: int) -> DataFrame:
                 total = shard.total - np.where(own >= 0, shard.lengths[own], 0)
                 room -= len(hashes)
                 if k < len(held):
-                    held[k][2:] = held[k][2] + total, _added(held[k][3], found)
+                    held[k][3:] = held[k][3] + total, _added(held[k][4], found)
                 elif room >= 0:
-                    held.append([rows, sizes, total, tuple(x.astype(np.int32) for x in found)])
+                    held.append([rows, parts, sizes, total, tuple(x.astype(np.int32) for x in found)])
                 else:
-                    yield out(rows, sizes, total, found)
+                    yield out(rows, parts, sizes, total, found)
                 del found
             del shard  # before the next one is built
         for part in held:
@@ -359,14 +579,15 @@ def count_matches(corpus: DataFrame, files: list[str], depth: int) -> DataFrame:
 
 
 def _merge(alpha: float, vocabulary: int):
-    """From rows of COUNTS, those of a query one after the other, a row of SUMS for each query."""
+    """From rows of COUNTS, those of a query one after the other and by part, a row of SUMS for each query."""
+    most = GRAM
 
     def finish(row: int, total: int, length: np.ndarray, context: np.ndarray, follow: np.ndarray, n: np.ndarray) -> tuple:
         u = (n + 1) / (total + vocabulary)
         return row, float(np.log((follow + alpha * u) / (context + alpha)).sum()), float(length.mean()), int(length.max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = long = None
 
         def batch_of(done: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64())
@@ -376,14 +597,18 @@ def _merge(alpha: float, vocabulary: int):
             done = []
             flat = [list_values(batch.column(c)) for c in ("length", "context", "follow", "unigram")]
             offsets = flat[0][1]
-            for row, total, lo, hi in zip(batch.column("row").to_pylist(), batch.column("total").to_pylist(), offsets, offsets[1:]):
-                length, context, follow, n = (x[lo:hi].astype(np.int64) for x, _ in flat)
-                if held is not None and held[0] == row:
-                    length, context, follow, n = _added((length, context, follow, n), held[2:])
-                    total += held[1]
-                elif held is not None:
-                    done.append(finish(*held))
-                held = row, total, length, context, follow, n
+            for row, part, total, lo, hi in zip(batch.column("row").to_pylist(), batch.column("part").to_pylist(), batch.column("total").to_pylist(), offsets, offsets[1:]):
+                here = [x[lo:hi].astype(np.int64) for x, _ in flat]
+                if part < 0:
+                    if held is not None:
+                        done.append(finish(*held))
+                    held, long = (row, total, *here), here[0] == most
+                    continue
+                # a part of a query: what it has for contexts of fewer tokens is counted already
+                where = part + np.flatnonzero(long[part : part + hi - lo])
+                sums = _added(tuple(x[where] for x in held[2:5]) + (0,), tuple(x[where - part] for x in here[:3]) + (0,))
+                for x, y in zip(held[2:5], sums):
+                    x[where] = y
             if done:
                 yield batch_of(done)
         if held is not None:
@@ -398,13 +623,13 @@ def score(texts: DataFrame, corpus: DataFrame | None, key: str = "item_id", alph
 
     For each token the longest context before it, of any length within its text, that occurs in the
     corpus is found. With the number c of its occurrences and f of those that the token follows,
-    summed over all shards, p = (f + alpha * u) / (c + alpha), where u = (n + 1) / (N + V + 1) is
-    the token's unigram probability, n of the N corpus tokens being the token and V the different tokens of the whole corpus (one more stands for all others). A shard in which only a shorter
-    context occurs adds nothing to c and f: there the longest occurs 0 times.
+    p = (f + alpha * u) / (c + alpha), where u = (n + 1) / (N + V + 1) is
+    the token's unigram probability, n of the N corpus tokens being the token and V the different tokens of the whole corpus (one more stands for all others).
 
-    Each shard's suffix array is built once; the task reads all queries' tokens from the shared scratch folder, PASS_TOKENS
-    (and one text) at a time. Every query meets every shard: work and what comes back, a value per query token and task,
-    grow with the product of both tables. It is summed in the cluster. Logarithms are natural; perplexity is exp(-log_prob / n_tokens).
+    Stretches of up to GRAM tokens are counted by 64-bit hashes in one pass over the corpus, which passes on those that a sieve of the
+    queries' stretches has. Tokens whose context is as long as that or longer are looked up in suffix arrays, in shards, over what the corpus shares with
+    the queries: the runs of stretches of GRAM tokens that occur in both. That alone grows with the product of both tables, less what they don't share.
+    Logarithms are natural; perplexity is exp(-log_prob / n_tokens).
 
     Null and empty texts have 0 tokens, log_prob 0 and null perplexity and matches. Rows with null or repeated keys are
     scored each. Rows with the same text and different keys are scored by each other; those with the same key as well (null among them) are one document, which isn't held against itself.
@@ -414,15 +639,27 @@ def score(texts: DataFrame, corpus: DataFrame | None, key: str = "item_id", alph
     same = F.xxhash64(F.col(key).cast("string"), "text")
     asked = texts if queries is None else texts.filter(queries)
     rows = materialize(asked.select(same.alias("row"), F.col(key).alias("key"), F.col("text")).withColumns({"tokens": token_hashes("text")}).drop("text").withColumn("n_tokens", F.size("tokens").cast("long")), "lm-queries")
-    once = materialize(rows.select("row", "tokens").dropDuplicates(["row"]), "lm-lookups")
-    depth = rows.agg(F.max("n_tokens")).first()[0] or 0  # no context is longer
+    once = materialize(rows.select("row", F.lit(-1).alias("part"), "tokens", "n_tokens").dropDuplicates(["row"]), "lm-lookups")
+    asked_tokens = once.agg(F.sum("n_tokens")).first()[0] or 0
     index = (texts if corpus is None else corpus).select((same if corpus is None else F.lit(None).cast("long")).alias("row"), token_hashes("text").alias("tokens"))
     # queries have hashes for numbers; the corpus of others has none of them
     index = index.withColumn("row", F.coalesce("row", F.lit(-1).cast("long")))
-    total, vocabulary = index.select(F.explode("tokens").alias("t")).groupBy("t").count().agg(F.sum("count"), F.count("*")).first()
-    tasks = max(math.ceil((total or 0) / (SHARD_TOKENS * SHARDS_A_TASK)), 2 * texts.sparkSession.sparkContext.defaultParallelism)
-    counts = count_matches(index.coalesce(tasks), once.inputFiles(), depth)
-    sums = counts.repartition("row").sortWithinPartitions("row").mapInArrow(_merge(alpha, vocabulary + 1), SUMS)
+    spark = texts.sparkSession
+    counted = materialize(_count(index, _sieves(spark, once.inputFiles(), asked_tokens)), "lm-counted")
+    token = F.abs("kind") == 1
+    total, vocabulary = counted.agg(F.coalesce(F.sum(F.when(token, F.col("n"))), F.lit(0)), F.count(F.when(token, 1))).first()
+    found = materialize(counted.filter("kind >= 0").select("gram", "n"), "lm-found")
+    discard(counted)
+    base = materialize(_short_matches(once, found.inputFiles(), total), "lm-short")
+    long = materialize(base.filter("part >= 0").select("row", "part", "tokens"), "lm-long")
+    counts = base.filter("part < 0").drop("tokens")
+    long_tokens, depth = long.agg(F.sum(F.size("tokens")), F.max(F.size("tokens"))).first()
+    if long_tokens:
+        shared = materialize(_shared(index, _sieves(spark, long.inputFiles(), long_tokens)), "lm-shared")
+        n = shared.agg(F.sum(F.size("tokens"))).first()[0] or 0
+        tasks = max(1, math.ceil(n / (SHARD_TOKENS * SHARDS_A_TASK)), min(2 * spark.sparkContext.defaultParallelism, math.ceil(n / SHARD_TOKENS)))
+        counts = counts.unionByName(count_matches(shared.coalesce(tasks), long.inputFiles(), depth))
+    sums = counts.repartition("row").sortWithinPartitions("row", "part").mapInArrow(_merge(alpha, vocabulary + 1), SUMS)
     # without any corpus token the shards say nothing
     log_prob = F.coalesce("log_prob", F.col("n_tokens") * F.lit(math.log(1 / (vocabulary + 1))))
     return rows.drop("tokens").join(sums, "row", "left").select(

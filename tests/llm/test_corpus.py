@@ -680,6 +680,31 @@ def test_lm_query_scores_every_fiftieth_document_by_all(spark):
     assert {r.doc_id: r.n_tokens for r in got} == want
 
 
+def test_lm_suffix_arrays_hold_only_what_is_shared_with_queries(spark, monkeypatch):
+    rng = random.Random(5)
+    copied = " ".join(f"c{i}" for i in range(30))
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(60)]
+    texts[7] += " " + copied + " end"
+    texts[50] += " " + copied + " tail"
+    d, kept, held = docs(spark, texts), lm_scoring.count_matches, []
+
+    def counting(corpus, *rest):
+        held.append(corpus.agg(F.sum(F.size("tokens"))).first()[0])
+        return kept(corpus, *rest)
+
+    monkeypatch.setattr(lm_scoring, "count_matches", counting)
+    got = {r.doc_id: r for r in lm_scoring.score(d, None, key="doc_id", queries=F.col("doc_id") % 50 == 0).collect()}
+    assert got[50].longest_match == 30 and held[0] < 100  # of 6,062 tokens
+
+
+def test_lm_scores_are_the_same_wherever_suffix_arrays_begin(spark, monkeypatch):
+    d, got = table(spark, SF, "documents"), []
+    for gram in (2, 9):
+        monkeypatch.setattr(lm_scoring, "GRAM", gram)
+        got.append(rows(["a"], [[tuple(r)] for r in lm_scoring.score(d, None, key="doc_id", queries=F.col("doc_id") % 10 == 0).collect()]))
+    assert got[0] == got[1] and len(got[0]) == d.filter("doc_id % 10 = 0").count()
+
+
 # pipeline
 
 
