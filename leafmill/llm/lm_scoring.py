@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +15,14 @@ import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import NOT_SPACE, discard, list_values, materialize, scratch_root, table
+from leafmill.llm.common import NOT_SPACE, discard, list_values, materialize, scratch_root, table, tidy
 
 #: Stretches of up to so many tokens, 2 at least, are counted by hash; only corpus text that shares one of that length with a query goes into suffix arrays.
 GRAM = 6
 #: Corpus tokens whose stretches a task counts at once, and query tokens whose stretches it looks up among the counts at once.
 COUNT_TOKENS, FOUND_TOKENS = 4_000_000, 1_000_000
+#: Different stretches of the queries in one part, about, and partial counts that are added up at once: what a task that adds up counts holds.
+PART_GRAMS, ADDED_GRAMS = 500_000, 2_000_000
 #: Corpus tokens in one suffix array: what a task holds at once, whatever the size of the corpus.
 SHARD_TOKENS = 2_000_000
 #: Query tokens that are looked up in a shard at once; a shard is built once, whatever the number of such blocks.
@@ -384,34 +387,88 @@ def _sieves(spark: SparkSession, files: list[str], n: int) -> tuple[str, int]:
     return folder, log
 
 
-def _count(corpus: DataFrame, sieves: tuple[str, int]) -> DataFrame:
-    """(gram, kind, n): how often each token occurs in the corpus, and each stretch (of kind tokens, 0: document) that the sieves have; kind -1: tokens that they don't have."""
-    most = GRAM, COUNT_TOKENS
-
-    def part(h: np.ndarray, n: np.ndarray, kind: np.ndarray | int) -> pa.RecordBatch:
-        kind = np.full(len(h), kind) if isinstance(kind, int) else kind
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(n.astype(np.int64))], names=["gram", "kind", "n"])
+def _pack(grams: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted hashes and the counts of each, in about 6 bytes: gaps and counts as planes of bytes of equal weight. Those of the gaps
+    that are as good as random stay as they are, others are compressed."""
+    gaps = np.diff(grams, prepend=np.uint64(0))
+    raw = max(0, (int(np.median(gaps)).bit_length() - 1) // 8) if len(gaps) else 0
+    planes, counts = (x.astype("<u8").view(np.uint8).reshape(-1, 8).T for x in (gaps, n))
+    return np.array([len(gaps), raw], "<i8").tobytes() + planes[:raw].tobytes() + zlib.compress(planes[raw:].tobytes() + counts.tobytes(), 1)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, raw = np.frombuffer(data, "<i8", 2).tolist()
+    planes = np.frombuffer(data[16 : 16 + raw * size] + zlib.decompress(data[16 + raw * size :]), np.uint8).reshape(2, 8, size)
+    gaps, n = (np.ascontiguousarray(x.T).view("<u8").ravel() for x in planes)
+    return np.cumsum(gaps, dtype=np.uint64), n.astype(np.int64)
+
+
+def _total(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and the sum of the counts of each."""
+    if not any(len(g) for g, _ in counts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams = np.concatenate([g for g, _ in counts])
+    order = np.argsort(grams, kind="stable")  # it merges what is sorted
+    grams = grams[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], np.add.reduceat(np.concatenate([n for _, n in counts])[order], first)
+
+
+def _count(corpus: DataFrame, sieves: tuple[str, int], parts: int) -> DataFrame:
+    """(counts, total, vocabulary), a row for each of so many parts of the hashes: packed, how often each stretch that the sieves have (document,
+    token or more) occurs in the corpus; of all tokens, those of the sieves or not, how many there are and how many different ones.
+
+    Counts travel packed, sorted and by part: hashes in rows of their own would take twice the bytes."""
+    most = GRAM, COUNT_TOKENS, ADDED_GRAMS
+
+    def packs(grams: np.ndarray, n: np.ndarray, token: bool) -> pa.RecordBatch:
+        """Of sorted hashes."""
+        ends = np.searchsorted((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(ends))
+        data = [_pack(grams[ends[k] : ends[k + 1]], n[ends[k] : ends[k + 1]]) for k in some]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), token)), pa.array(data, pa.binary())], names=["part", "token", "counts"])
+
+    def count(values: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
+        h = _row_grams(rows)
+        found = [np.unique(h[_open_sieve(sieves[0], 0, sieves[1]).has(h)], return_counts=True)]
+        tokens, ends = values.view(np.uint64), np.repeat(np.cumsum(lengths), lengths)
+        single = np.unique(tokens, return_counts=True)
+        h, at = tokens, np.arange(len(tokens))
+        for d in range(1, most[0] + 1):
+            here = _open_sieve(sieves[0], d, sieves[1]).has(h)
+            h, at = h[here], at[here]
+            if d > 1:
+                found.append(np.unique(h, return_counts=True))
+            h, at = _longer(h, at, d, tokens, ends)
+        return found, single
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for values, lengths, rows in _shards(batches, most[1]):
-            h = _row_grams(rows)
-            h, n = np.unique(h[_open_sieve(sieves[0], 0, sieves[1]).has(h)], return_counts=True)
-            yield part(h, n, 0)
-            tokens, ends = values.view(np.uint64), np.repeat(np.cumsum(lengths), lengths)
-            h, at = tokens, np.arange(len(tokens))
-            for d in range(1, most[0] + 1):
-                sieve = _open_sieve(sieves[0], d, sieves[1])
-                if d == 1:
-                    one, n = np.unique(h, return_counts=True)
-                    yield part(one, n, np.where(sieve.has(one), 1, -1))
-                here = sieve.has(h)
-                h, at = h[here], at[here]
-                if d > 1:
-                    yield part(*np.unique(h, return_counts=True), d)
-                h, at = _longer(h, at, d, tokens, ends)
-
-    counted = corpus.mapInArrow(run, "gram long, kind int, n long")
-    return counted.repartition("gram").groupBy("gram").agg(F.max("kind").alias("kind"), F.sum("n").alias("n"))
+        for shard in _shards(batches, most[1]):
+            found, single = count(*shard)
+            del shard
+            yield packs(*single, True)
+            yield packs(*_total(found), False)
+            del found, single
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of one part."""
+        held: tuple[list, list] = [], []
+        room = most[2]
+        for batch in batches:
+            for token, data in zip(batch.column("token").to_pylist(), batch.column("counts")):
+                held[token].append(_unpack(data.as_buffer().to_pybytes()))
+                room -= len(held[token][-1][0])
+                if room < 0:
+                    for x in held:
+                        x[:] = [_total(x)]
+                    room = most[2]
+        found, single = map(_total, held)
+        asked = _open_sieve(sieves[0], 1, sieves[1]).has(single[0])
+        data = _pack(*_total([found, (single[0][asked], single[1][asked])]))
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([int(single[1].sum())]), pa.array([len(single[0])])], names=["counts", "total", "vocabulary"])
+
+    counted = corpus.mapInArrow(tidy(run), "part int, token boolean, counts binary")
+    return counted.repartitionById(parts, "part").mapInArrow(tidy(add), "counts binary, total long, vocabulary long")
 
 
 def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -459,13 +516,11 @@ def _short_matches(queries: DataFrame, found: list[str], all_tokens: int) -> Dat
         for uri in found:
             system, path = pa.fs.FileSystem.from_uri(uri)
             with system.open_input_file(path) as file:
-                for batch in pa.parquet.ParquetFile(file).iter_batches(batch_size=200_000, columns=["gram", "n"]):
-                    gram, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-                    order = np.argsort(gram)
-                    gram = gram[order]
+                for batch in pa.parquet.ParquetFile(file).iter_batches(batch_size=1, columns=["counts"]):
+                    gram, n = _unpack(batch.column(0)[0].as_buffer().to_pybytes())
                     at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
                     same = grams[at] == gram
-                    out[at[same]] = n[order][same]
+                    out[at[same]] = n[same]
         return out
 
     def look_up(values: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -645,12 +700,12 @@ def score(texts: DataFrame, corpus: DataFrame | None, key: str = "item_id", alph
     # queries have hashes for numbers; the corpus of others has none of them
     index = index.withColumn("row", F.coalesce("row", F.lit(-1).cast("long")))
     spark = texts.sparkSession
-    counted = materialize(_count(index, _sieves(spark, once.inputFiles(), asked_tokens)), "lm-counted")
-    token = F.abs("kind") == 1
-    total, vocabulary = counted.agg(F.coalesce(F.sum(F.when(token, F.col("n"))), F.lit(0)), F.count(F.when(token, 1))).first()
-    found = materialize(counted.filter("kind >= 0").select("gram", "n"), "lm-found")
-    discard(counted)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(asked_tokens * GRAM / PART_GRAMS))
+    found = materialize(_count(index, _sieves(spark, once.inputFiles(), asked_tokens), parts), "lm-found")
+    total, vocabulary = found.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
     base = materialize(_short_matches(once, found.inputFiles(), total), "lm-short")
+    discard(found)
+    discard(once)
     long = materialize(base.filter("part >= 0").select("row", "part", "tokens"), "lm-long")
     counts = base.filter("part < 0").drop("tokens")
     long_tokens, depth = long.agg(F.sum(F.size("tokens")), F.max(F.size("tokens"))).first()

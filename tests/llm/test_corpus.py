@@ -705,6 +705,46 @@ def test_lm_scores_are_the_same_wherever_suffix_arrays_begin(spark, monkeypatch)
     assert got[0] == got[1] and len(got[0]) == d.filter("doc_id % 10 = 0").count()
 
 
+def test_lm_counts_travel_and_stay_packed(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(20000)}" for _ in range(400)) for _ in range(200)]
+    asked = [lm_scoring.tokens(t) for t in texts[::2]]
+    # what has to be counted: all different tokens, documents, and the queries' stretches; each is in the corpus
+    counted = len({x for t in texts for x in t.split()} | {tuple(w[i : i + d]) for w in asked for d in range(2, lm_scoring.GRAM + 1) for i in range(len(w) - d + 1)}) + len(asked)
+    store, gateway, kept, disk = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway, lm_scoring.materialize, {}
+
+    def shuffled():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    def watched(df, tag):
+        before = shuffled()
+        out = kept(df, tag)
+        disk[tag] = shuffled() - before, sum(Path(f.removeprefix("file://")).stat().st_size for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(lm_scoring, "materialize", watched)
+    got = lm_scoring.score(docs(spark, texts).coalesce(1), None, key="doc_id", queries=F.col("doc_id") % 2 == 0).collect()
+    assert len(got) == len(asked)
+    moved, stay = (sum(disk[tag][k] for tag in disk if tag in ("lm-counted", "lm-found")) for k in (0, 1))
+    assert 4 * counted < moved < 9 * counted and stay < 9 * counted, (moved, stay, counted)
+
+
+@pytest.mark.parametrize(("tokens_at_once", "added"), [(3, 1), (50, 40), (4_000_000, 2_000_000)])
+def test_lm_counts_are_whole_however_they_are_packed(spark, monkeypatch, tokens_at_once, added):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "a b c d"]
+    d = docs(spark, texts)
+    want = {r.doc_id: r for r in lm_scoring.score(d, None, key="doc_id").collect()}
+    for name, value in (("COUNT_TOKENS", tokens_at_once), ("ADDED_GRAMS", added), ("PART_GRAMS", 20)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    assert {r.doc_id: r for r in lm_scoring.score(d, None, key="doc_id").collect()} == want
+    h = np.sort(np.unique(np.random.default_rng(0).integers(0, 2**64, 500, np.uint64)))
+    for grams in (h[:0], h[:1], h, np.array([0, 2**64 - 1], np.uint64)):
+        n = np.arange(len(grams)) * 2**33 + 1
+        assert [x.tolist() for x in lm_scoring._unpack(lm_scoring._pack(grams, n))] == [grams.tolist(), n.tolist()]
+
+
 # pipeline
 
 
