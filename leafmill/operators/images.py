@@ -299,7 +299,7 @@ def camera_mark(data: bytes) -> bool:
 def measure(a: np.ndarray) -> tuple:
     s = shrink(a, LARGEST)
     g = gray(s)
-    return contrast(g), noise(g), sharpness(g), content_type(s), has_code(g), many_regions(shrink(a, LARGEST_FOR_REGIONS))
+    return contrast(g), noise(g), sharpness(g), content_type(s), has_code(g), a.ndim == 3 and many_regions(shrink(a, LARGEST_FOR_REGIONS))
 
 
 def _each(pictures: DataFrame, schema: str, work: Callable[[np.ndarray], tuple], keys: list[str]) -> DataFrame:

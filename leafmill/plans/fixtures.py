@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(keys: DataFrame) -> DataFrame:
+    """A narrow table's rows over all cores, before each is made into a picture: its file is a few tasks' only."""
+    spark = keys.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return keys.repartition(n, *keys.columns)
+
+
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, box_no, text, conf, x, y, w, h), a box for each line of each document, origin at the top."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -151,7 +158,7 @@ def banded_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (2 + F.col("p_partkey") % 60).cast("int")
     band = lambda i: F.repeat(F.lpad(F.hex(i + 1), 2, "0"), F.lit(100 * 8))
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), band), ""))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), (n * 100).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.col("p_partkey").cast("long").alias("doc_id"), (n * 100).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
 
 
 def read_bands(a) -> list[tuple]:

@@ -6,6 +6,7 @@ the picture is: parts are cut out within the picture's row, no pixels are exchan
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,9 @@ from leafmill.sources import files
 Recogniser = Callable[[np.ndarray], list[tuple]]
 
 _PARTS = "array<struct<part:int,x:int,y:int,w:int,h:int>>"
-_BOXES = "doc_id long, part int, px int, py int, pw int, ph int, page_height int, box_no long, text string, confidence double, x double, y double, w double, h double, error string"
+_FOUND = {c: (k, t) for k, t, cs in (
+    ("int", pa.int32(), "part px py pw ph page_height"), ("bigint", pa.int64(), "box_no"), ("string", pa.string(), "text"), ("double", pa.float64(), "confidence x y w h"), ("string", pa.string(), "error")
+) for c in cs.split()}
 #: Strategies by name: regions on or off, layout analysed after or not.
 WAYS = {name: (with_regions, with_layout) for name, with_regions, with_layout in quality.STRATEGIES}
 #: Rows of a list of documents up to which it is broadcast.
@@ -30,9 +33,14 @@ MAX_BROADCAST_DOCS = 1_000_000
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once: in the checkpoint folder if the session has one, else cached (and computed again where that is lost)."""
+    """df, computed once: as Parquet in the checkpoint folder if the session has one, else cached (and computed again where that is lost)."""
     spark = df.sparkSession
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        path = f"{root.rstrip('/')}/kept-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return df.checkpoint()
     return df.persist()
 
@@ -52,31 +60,36 @@ def profiled(pictures: DataFrame, exif: str | None = None) -> DataFrame:
     return images.recommend(images._each(pictures, images.MEASURES, images.measure, keys), F.col("__exif")).drop("__exif")
 
 
-def _recognised(planned: DataFrame, recogniser: Recogniser) -> DataFrame:
-    """_BOXES of every part of every picture. A part without boxes has one row with a null box_no, and so has one that failed, with the error."""
+def _recognised(planned: DataFrame, recogniser: Recogniser, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row for each picture: the carried columns and `found`, an array of _FOUND. A part without boxes has one entry with a null box_no, and so has one that failed, with the error."""
+    kept_ = planned.select(*carried)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_.schema) + ", found array<struct<" + ",".join(f"{c}:{k}" for c, (k, _) in _FOUND.items()) + ">>"
+    n = len(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _BOXES.split(", ")]
-        kinds = [pa.int64(), *[pa.int32()] * 6, pa.int64(), pa.string(), *[pa.float64()] * 5, pa.string()]
         for batch in batches:
             rows: list[tuple] = []
-            for doc, height, width, channels, data, branch, scale, steps, parts in zip(*[c.to_pylist() for c in batch.columns]):
+            ends = [0]
+            for height, width, channels, data, branch, scale, steps, parts in zip(*[c.to_pylist() for c in batch.columns[n:]]):
                 none = (None,) * 7
                 try:
                     a = images.pixels(height, width, channels, data)
                     if branch == "regions":
                         parts = [{"part": i, "x": x, "y": y, "w": w, "h": h} for i, (x, y, w, h) in enumerate(regions.arranged(images.find_boxes(a), width, height))]
                     for p in parts:
-                        at = (doc, p["part"], p["x"], p["y"], p["w"], p["h"], height)
+                        at = (p["part"], p["x"], p["y"], p["w"], p["h"], height)
                         crop = a[p["y"] : p["y"] + p["h"], p["x"] : p["x"] + p["w"]]
                         found = recogniser(images.prepare(crop, scale, steps))
                         rows += [(*at, i, *b, None) for i, b in enumerate(found)] or [(*at, *none, None)]
                 except Exception as e:  # one picture's failure is a value, not the job's end
-                    rows.append((doc, 0, 0, 0, width, height, height, *none, f"{type(e).__name__}: {e}"))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    rows.append((0, 0, 0, width, height, height, *none, f"{type(e).__name__}: {e}"))
+                ends.append(len(rows))
+            if batch.num_rows:
+                cols = zip(*rows) if rows else [()] * len(_FOUND)
+                entries = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FOUND.values())], names=list(_FOUND))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], names=[*carried, "found"])
 
-    return planned.select("doc_id", "height", "width", "nChannels", "data", "branch", "scale", "steps", "parts").mapInArrow(run, _BOXES)
+    return planned.select(*carried, *[F.col(c).alias(f"__{c}") for c in ("height", "width", "nChannels", "data", "branch", "scale", "steps", "parts")]).mapInArrow(run, ddl)
 
 
 def adaptive(pictures: DataFrame, recogniser: Recogniser, options: Options | None = None, preprocess: bool = True) -> DataFrame:
@@ -92,15 +105,17 @@ def adaptive(pictures: DataFrame, recogniser: Recogniser, options: Options | Non
     plan = plan.withColumns({
         "scale": F.when(prepared, F.col("scale")).otherwise(1.0), "steps": F.when(prepared, F.col("steps")).otherwise(F.array().cast("array<string>")), "parts": F.when(F.col("branch") == "slices", _slices()).otherwise(whole),
     })
-    read = kept(_recognised(plan, recogniser))
-    info = plan.select(
-        "doc_id", "branch", "content_type",
+    plan = plan.withColumn(
+        "info",
         F.struct("source", "content_type", F.round("contrast", 2).alias("contrast_level"), F.round("noise", 2).alias("noise_level"), "needs_preprocessing", "needs_slicing",
-                 F.when(F.col("branch") == "slices", F.size("parts")).otherwise(0).alias("slice_count"), prepared.alias("preprocessing_applied")).alias("info"),
+                 F.when(F.col("branch") == "slices", F.size("parts")).otherwise(0).alias("slice_count"), prepared.alias("preprocessing_applied")),
     )
-    counts = read.groupBy("doc_id").agg(F.max("error").alias("error"), F.countDistinct("part").alias("n_parts"))
-    boxes = read.filter(F.col("box_no").isNotNull() & (F.coalesce("confidence", F.lit(1.0)) >= o.threshold)).join(info.select("doc_id", "branch"), "doc_id")
-    merged = coordinates.deduplicate(_on_page(boxes.filter("branch <> 'regions'")), placed=True).drop("branch")
+    # pictures are measured and read once: what is told of them travels with their boxes
+    read = kept(_recognised(plan, recogniser, ("doc_id", "branch", "content_type", "info")))
+    info, found = read.drop("found"), read.select("doc_id", "branch", F.inline("found"))
+    counts = found.groupBy("doc_id").agg(F.max("error").alias("error"), F.countDistinct("part").alias("n_parts"))
+    boxes = found.filter(F.col("box_no").isNotNull() & (F.coalesce("confidence", F.lit(1.0)) >= o.threshold))
+    merged = kept(coordinates.deduplicate(_on_page(boxes.filter("branch <> 'regions'")), placed=True).drop("branch"))
     apart = boxes.filter("branch = 'regions'").withColumns({"confidence": F.coalesce("confidence", F.lit(1.0)), "x": F.col("x") * F.col("pw") + F.col("px"), "y": (1 - F.col("y") - F.col("h")) * F.col("ph") + F.col("py"), "w": F.col("w") * F.col("pw"), "h": F.col("h") * F.col("ph")})
     texts = coordinates.merge_to_text(merged.withColumn("box_no", F.col("place").cast("long"))).unionByName(region_text(apart.withColumn("place", F.col("part"))))
     box = F.struct("box_no", "text", "confidence", "x", "y", "w", "h")
@@ -127,7 +142,7 @@ def _on_page(boxes: DataFrame) -> DataFrame:
 def basic(pictures: DataFrame, recogniser: Recogniser) -> DataFrame:
     """(doc_id, text, boxes, error): each picture (doc_id, height, width, nChannels, data) read once and whole, lines in the recogniser's order."""
     whole = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))).cast(_PARTS)
-    read = _recognised(pictures.withColumns({"branch": F.lit("whole"), "scale": F.lit(1.0), "steps": F.array().cast("array<string>"), "parts": whole}), recogniser)
+    read = _recognised(pictures.withColumns({"branch": F.lit("whole"), "scale": F.lit(1.0), "steps": F.array().cast("array<string>"), "parts": whole}), recogniser).select("doc_id", F.inline("found"))
     piece = F.when(F.col("box_no").isNotNull(), F.struct("box_no", "text", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "x", (1 - F.col("y") - F.col("h")).alias("y"), "w", "h"))
     out = read.groupBy("doc_id").agg(F.array_sort(F.collect_list(piece)).alias("boxes"), F.max("error").alias("error"))
     return out.select("doc_id", F.array_join(F.transform("boxes", lambda b: b["text"]), "\n").alias("text"), "boxes", "error")
@@ -136,7 +151,7 @@ def basic(pictures: DataFrame, recogniser: Recogniser) -> DataFrame:
 def by_page(pictures: DataFrame, recogniser: Recogniser) -> DataFrame:
     """(doc_id, page_no, text, error): tall pictures in slices of PAGE_HEIGHT, each a page from 1 on; what two slices share is read twice."""
     sized = pictures.withColumns({"slice_height": F.lit(slicing.PAGE_HEIGHT), "overlap": F.lit(slicing.PAGE_OVERLAP), "branch": F.lit("slices"), "scale": F.lit(1.0), "steps": F.array().cast("array<string>")})
-    read = _recognised(sized.withColumn("parts", _slices()), recogniser)
+    read = _recognised(sized.withColumn("parts", _slices()), recogniser).select("doc_id", F.inline("found"))
     piece = F.when(F.col("box_no").isNotNull(), F.struct("box_no", "text"))
     out = read.groupBy("doc_id", (F.col("part") + 1).alias("page_no")).agg(F.array_sort(F.collect_list(piece)).alias("b"), F.max("error").alias("error"))
     return out.select("doc_id", "page_no", F.array_join(F.transform("b", lambda b: b["text"]), "\n").alias("text"), "error")

@@ -208,3 +208,22 @@ def test_edges(spark):
 
     r = spark.createDataFrame([(0.1, 0.2, 0.3, 0.4)], "x double, y double, w double, h double").select(edges(box()).alias("e")).select(F.round("e.top", 9), "e.bottom").first()
     assert tuple(r) == (0.6, 0.2)
+
+
+def test_pictures_are_read_once_and_by_all_cores(spark, tmp_path):
+    """Each picture is measured and read once, and a small table of keys doesn't make one task of them."""
+    from leafmill.plans import fixtures as fx
+
+    made = fx.banded_pictures(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            count.add(b.num_rows)
+            yield b
+
+    pictures = recognition.profiled(made.limit(20))
+    pictures = pictures.mapInArrow(counted, pictures.schema)
+    assert recognition.adaptive(pictures, fx.read_bands, preprocess=False).count() == 20
+    assert count.value == 20
