@@ -523,6 +523,6 @@ def j_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.sequence(F.lit(0), F.lit(60 * 40 * 3 - 1))
     byte = lambda i: F.right(F.hex((i * (F.col("doc_id") % 7 + 1) + F.col("doc_id") * 31 + (i / 120).cast("int") * 50) % 256 + 256), F.lit(2))
     data = F.unhex(F.array_join(F.transform(n, byte), ""))
-    p = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.lit(60).alias("height"), F.lit(40).alias("width"), F.lit(3).alias("nChannels"))
+    p = fx.spread(fx.table(spark, sf_dir, "supplier").select("s_suppkey")).select(F.col("s_suppkey").alias("doc_id"), F.lit(60).alias("height"), F.lit(40).alias("width"), F.lit(3).alias("nChannels"))
     got = images.profiles(p.withColumn("data", data))
     return got.select("doc_id", "content_type", "source", "has_code_blocks", "has_multiple_regions", *[F.round(c, 4).alias(c) for c in ("contrast", "noise", "edge_sharpness")])

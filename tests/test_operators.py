@@ -18,6 +18,7 @@ from leafmill.functions import paths
 from leafmill.functions.text import character_similarity, overlap_length, ratio, relation, sequence_ratio
 from leafmill.operators import cleaner, coordinates, images, layout, quality, regions, slicing, tables
 from leafmill.plans import pipelines
+from leafmill.plans.queries import QUERIES
 from leafmill.sinks import documents as sink
 from leafmill.sources import boxes as src
 from leafmill.sources import files
@@ -389,3 +390,8 @@ def test_folds_against_plain_python(spark, seed):
                 gone.add(j)
     got = {r.box_no for r in coordinates.deduplicate(boxes(spark, rows)).collect()}
     assert got == set(range(60)) - gone
+
+
+def test_measured_pictures_are_spread_over_all_cores(spark):
+    """A small table of keys doesn't make one task of all the pictures."""
+    assert QUERIES["j_measures"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
