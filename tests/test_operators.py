@@ -395,3 +395,18 @@ def test_folds_against_plain_python(spark, seed):
 def test_measured_pictures_are_spread_over_all_cores(spark):
     """A small table of keys doesn't make one task of all the pictures."""
     assert QUERIES["j_measures"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_matched_is_what_difflib_matches():
+    """Short and long texts (frequent characters begin no block from 200 on), near copies, few letters."""
+    from difflib import SequenceMatcher
+
+    from leafmill.functions.text import matched
+
+    r = random.Random(3)
+    made = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    pairs = [(made(ab, r.randrange(300)), made(ab, r.randrange(300))) for ab in ("a", "ab", "abc", "abcdefghij klmnop") for _ in range(40)]
+    pairs += [(a, a[:k] + "xyz" + a[k + 2 :]) for a, _ in pairs[80:] for k in (0, 5, len(a) // 2)]
+    pairs += [(a * 7, b * 9) for a, b in pairs[150:160]]
+    for a, b in pairs:
+        assert matched(a, b) == sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks()), (a, b)
