@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import GOING_ON, OPEN_ENDS, OPENERS, relation, strip
+from leafmill.operators.folds import hand_back
 
 #: How many of the lines that are left a line is held against, and from which likeness on it is a copy.
 LOOK_BACK, COPY = 10, 0.95
 LEGACY_LOOK_BACK, LEGACY_COPY = 5, 0.8
 SHORT_LINE, SHORT_TITLE = 25, 15
+#: Texts that are Python strings at a time.
+PIECE = 200
 
 _TITLE = re.compile(r"\*\*\d+\.\*\*\s*(.+)")
 _NUMBER = re.compile(r"\d+\.")
@@ -136,11 +139,17 @@ def folded(text: str, variant: str = "sequence", threshold: float | None = None,
 
 
 def fold_lines(text: Column, variant: str = "sequence", threshold: float | None = None, compat: bool = False) -> Column:
-    """The three order-dependent steps on whole texts, in one trip to Python."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else folded(t, variant, threshold, compat) for t in texts])
+    """The three order-dependent steps on whole texts, in one trip to Python. Of a batch only PIECE texts are Python strings at a time."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        made = [pa.array([], pa.string())]
+        for at in range(0, len(texts), PIECE):
+            made.append(pa.array([None if t is None else folded(t, variant, threshold, compat) for t in texts.slice(at, PIECE).to_pylist()], pa.string()))
+        out = pa.concat_arrays(made)
+        del made
+        hand_back()
+        return out
 
     return run(text)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,15 @@ cloudpickle.register_pickle_by_value(sys.modules["leafmill"])
 #: Output rows that are held before they are passed on.
 HELD = 20_000
 
+
+def hand_back() -> None:
+    """Freed memory goes back to the system: Spark keeps the worker, and what Arrow and the C library hold in reserve there counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 Fold = Callable[[dict[str, list]], dict[str, list]]
 
 

@@ -410,3 +410,30 @@ def test_matched_is_what_difflib_matches():
     pairs += [(a * 7, b * 9) for a, b in pairs[150:160]]
     for a, b in pairs:
         assert matched(a, b) == sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks()), (a, b)
+
+
+def test_few_texts_are_python_strings_at_a_time(spark, monkeypatch):
+    """Cleaning takes its batch in pieces: never more than PIECE texts are asked for at once, and all come back in order."""
+    import pyarrow as pa
+
+    texts = [None if i % 97 == 0 else f"line {i}\nline {i}\n" for i in range(3 * cleaner.PIECE + 1)]
+    asked = []
+
+    class Watched:
+        def __init__(self, a):
+            self.a = a
+
+        def __len__(self):
+            return len(self.a)
+
+        def slice(self, at, n):
+            asked.append(len(self.a.slice(at, n)))
+            return self.a.slice(at, n)
+
+    held = {}
+    monkeypatch.setattr(cleaner.F, "arrow_udf", lambda kind: lambda f: lambda c: held.setdefault("f", f))
+    cleaner.fold_lines(None)
+    got = held["f"](Watched(pa.array(texts))).to_pylist()
+    assert got == [None if t is None else cleaner.folded(t) for t in texts]
+    assert max(asked) == cleaner.PIECE and sum(asked) == len(texts)
+    assert held["f"](pa.array([], pa.string())).to_pylist() == []
