@@ -6,6 +6,7 @@ import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -78,3 +79,42 @@ def fold(df: DataFrame, keys: list[str], order: list[str | Column], step: Fold,
             yield flush()
 
     return sorted_.mapInArrow(run, schema)
+
+
+def fold_pages(df: DataFrame, keys: list[str], order: list[str | Column], step: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """As fold(), but step gets many whole groups at once as Arrow, and the place at which each begins; it gives batches of the schema's columns."""
+    sorted_ = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def key(batch: pa.RecordBatch, i: int) -> tuple:
+            return tuple(batch.column(k)[i].as_py() for k in keys)
+
+        def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [p for p in parts if p.num_rows]
+            if parts:
+                one = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                yield from step(one, starts_of(one, keys))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = int(starts_of(batch, keys)[-1])
+            if last or (held and key(held[-1], held[-1].num_rows - 1) != key(batch, 0)):
+                yield from whole([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        yield from whole(held)
+
+    return sorted_.mapInArrow(run, schema)
+
+
+def starts_of(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where runs of equal keys begin; null is a key of its own."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        ids = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= ids[1:] != ids[:-1]
+    return np.flatnonzero(new)

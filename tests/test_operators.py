@@ -437,3 +437,43 @@ def test_few_texts_are_python_strings_at_a_time(spark, monkeypatch):
     assert got == [None if t is None else cleaner.folded(t) for t in texts]
     assert max(asked) == cleaner.PIECE and sum(asked) == len(texts)
     assert held["f"](pa.array([], pa.string())).to_pylist() == []
+
+
+def _random_boxes(spark, kind, seed):
+    """Pages on a grid, pages about the tolerances, pages with equal places and with boxes without one."""
+    r = random.Random(seed)
+    out = []
+    for doc in range(120):
+        loose, unit = r.choice([20, 60, 140, 400]), 1 if kind == "long" else 0.0001
+        for n in range(r.randrange(1, 40)):
+            x, y = 2000 * r.randrange(4) + r.randrange(loose), 600 * r.randrange(6) + r.randrange(loose)
+            x, y, w, h = (v * unit for v in (x, y, 800, 300))
+            if doc % 10 == 0 and r.random() < 0.1:
+                x, y, h = r.choice([(None, y, h), (x, None, h), (x, y, None)])
+            out.append((None if doc == 7 else doc, n // 2 if doc % 9 == 0 else n, r.choice(["a", "b", None]), x, y, w, h))
+    return spark.createDataFrame(out, f"doc_id long, box_no long, text string, x {kind}, y {kind}, w {kind}, h {kind}")
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_many_pages_at_once_are_as_each_page_by_itself(spark, monkeypatch, kind):
+    boxes = _random_boxes(spark, kind, 5).repartition(3).cache()
+    at = (150, 250) if kind == "long" else (0.015, 0.025)
+    made = {
+        "rows": lambda: tables.rows(boxes, at[0], top_origin=True), "columns": lambda: tables.columns(boxes, *at, top_origin=True), "low": lambda: tables.columns(boxes, *at, alignment=0.2),
+        "tables": lambda: tables.tables(boxes, *at, top_origin=True), "wide": lambda: tables.tables(boxes, *at, alignment=0.2), "single": lambda: tables.tables(boxes, *at, min_rows=1, min_cols=1),
+    }
+    take = lambda f: sorted(map(repr, f().collect()))
+    fast = {k: take(f) for k, f in made.items()}
+    monkeypatch.setattr(tables, "AWAY", float("inf"))  # every page by itself
+    for k, f in made.items():
+        assert fast[k] and fast[k] == take(f), k
+
+
+def test_clean_pages_take_the_short_way(spark, monkeypatch):
+    def long_way(*_):
+        raise AssertionError("a page by itself")
+
+    monkeypatch.setattr(tables, "_row_numbers", long_way)
+    boxes = spark.createDataFrame([(d, 2 * r + c, "t", 2000 * c, 600 * r, 800, 300) for d in range(5) for r in range(3) for c in range(2)], "doc_id long, box_no long, text string, x long, y long, w long, h long")
+    assert tables.rows(boxes, 150, top_origin=True).filter("row_no = box_no div 2").count() == 30
+    assert [(r.n_rows, r.n_cols, len(r.cells)) for r in tables.tables(boxes, 150, 250, top_origin=True).collect()] == [(3, 2, 6)] * 5
