@@ -477,3 +477,13 @@ def test_clean_pages_take_the_short_way(spark, monkeypatch):
     boxes = spark.createDataFrame([(d, 2 * r + c, "t", 2000 * c, 600 * r, 800, 300) for d in range(5) for r in range(3) for c in range(2)], "doc_id long, box_no long, text string, x long, y long, w long, h long")
     assert tables.rows(boxes, 150, top_origin=True).filter("row_no = box_no div 2").count() == 30
     assert [(r.n_rows, r.n_cols, len(r.cells)) for r in tables.tables(boxes, 150, 250, top_origin=True).collect()] == [(3, 2, 6)] * 5
+
+
+def test_overlaps_are_looked_for_only_where_one_may_be(spark):
+    r = random.Random(9)
+    made = lambda n: "".join(r.choice("ab") for _ in range(n))
+    pairs = [(made(r.randrange(40)), made(r.randrange(40))) for _ in range(100)] + [(x + y, y + x) for x, y in [(made(200), made(n)) for n in (5, 10, 99, 100, 101)]] + [(None, "a"), ("a", None)]
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", overlap_length(F.col("a"), F.col("b")).alias("n")).collect()
+    want = lambda a, b: next((n for n in range(10, min(len(a), len(b), 100) + 1) if a[-n:] == b[:n]), 0) if a is not None and b is not None else 0
+    assert [x.n for x in sorted(got)] == [want(*p) for p in pairs]
+    assert "contains" in str(overlap_length(F.col("a"), F.col("b"))).lower()
